@@ -18,11 +18,12 @@ KNEE_GRID = 10_000  # points on [0, 1] the tangent knee is searched on
 KNEE_PERCENT = 97  # the longest 3% are left out
 
 
-def value_counts(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
+def value_counts(df: DataFrame, keys: Sequence[str], value: Column, groups: Groups | None = None) -> DataFrame:
     """Distinct values ``x`` per group with their count ``n``, rank ``upto`` and the group's ``total``."""
     counted = df.select(*keys, value.cast("double").alias("x")).where(F.col("x").isNotNull())
     counts = counted.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("n"))
-    ranked = ordered(counts, keys, ["x"]).running({"upto": ("sum", F.col("n"))}).frame()
+    groups = groups or Groups.measure(df, keys)  # there are no more distinct values than rows
+    ranked = ordered(counts, keys, ["x"], groups).running({"upto": ("sum", F.col("n"))}).frame()
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
     return key_join(ranked, totals, keys) if keys else ranked.join(F.broadcast(totals))
 
@@ -172,10 +173,10 @@ def area_left_of(df: DataFrame, keys: Sequence[str], value: Column, percent: int
     return steps.groupBy(*keys).agg(F.sum("_a").alias("area"))
 
 
-def _curve_area(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _curve_area(counts: DataFrame, keys: Sequence[str], groups: Groups) -> DataFrame:
     """Trapezoid area under (value, rank - 1 over total) below ``limit``; with the last point on it."""
     kept = counts.where(F.col("x") < F.col("limit"))
-    rows = ordered(kept, keys, ["x"]).shifted({"_px": lambda w: F.lag("x").over(w), "_pu": lambda w: F.lag("upto").over(w)}, before=1).frame()
+    rows = ordered(kept, keys, ["x"], groups).shifted({"_px": lambda w: F.lag("x").over(w), "_pu": lambda w: F.lag("upto").over(w)}, before=1).frame()
     # equal values have no width; the step to the next value rises by one row
     area = (F.col("x") - F.col("_px")) * (2 * F.col("_pu") - 1) / (2 * F.col("total"))
     return rows.groupBy(*keys).agg(
@@ -187,11 +188,12 @@ def _curve_area(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def cdf_gain(df: DataFrame, keys: Sequence[str], value: Column, accepted: Column) -> DataFrame:
     """Gain of the accepted rows' distribution area over that of all rows, as percent text; ``0%`` below 100 rows."""
+    groups = Groups.measure(df, keys)
     rows = df.withColumn("_v", value.cast("double"))
-    stats = order_statistics(rows, keys, {"v": F.col("_v")}, [0.7])
+    stats = order_statistics(rows, keys, {"v": F.col("_v")}, [0.7], groups)
     limits = stats.select(*keys, F.greatest(F.col("v_pct")[0] * 3, F.lit(1000.0)).alias("limit"))
-    raw = _curve_area(key_join(value_counts(rows, keys, F.col("_v")), limits, keys), keys)
-    best = _curve_area(key_join(value_counts(rows.where(accepted), keys, F.col("_v")), limits, keys), keys)
+    raw = _curve_area(key_join(value_counts(rows, keys, F.col("_v"), groups), limits, keys), keys, groups)
+    best = _curve_area(key_join(value_counts(rows.where(accepted), keys, F.col("_v"), groups), limits, keys), keys, groups)
     best = best.select(*keys, F.col("area").alias("best"), F.col("end_x").alias("best_x"), F.col("end_y").alias("best_y"))
     sizes = rows.groupBy(*keys).agg(F.count("_v").alias("_n"))
     joined = key_join(key_join(raw, best, keys, "left"), sizes, keys)
@@ -202,13 +204,14 @@ def cdf_gain(df: DataFrame, keys: Sequence[str], value: Column, accepted: Column
 
 def accepted_cdf(df: DataFrame, keys: Sequence[str], value: Column, accepted: Column) -> DataFrame:
     """Distribution of all rows and of the accepted ones, with the share of slow rows and the plotting limit."""
+    groups = Groups.measure(df, keys)
     rows = df.select(*keys, value.cast("double").alias("_v"), accepted.alias("_ok"))
-    stats = order_statistics(rows, keys, {"v": F.col("_v")}, [0.7])
+    stats = order_statistics(rows, keys, {"v": F.col("_v")}, [0.7], groups)
     limits = stats.select(*keys, F.greatest(F.col("v_pct")[0] * 3, F.lit(1000.0)).alias("x_limit"))
     sizes = rows.groupBy(*keys).agg(F.floor(F.count_if(~F.col("_ok")) * 100 / F.count(F.lit(1))).alias("percent_slow"))
     y = ((F.col("upto") - 1) / F.col("total")).alias("y")
     curves = [
-        value_counts(part, keys, F.col("_v")).select(*keys, F.lit(kind).alias("kind"), "x", y)
+        value_counts(part, keys, F.col("_v"), groups).select(*keys, F.lit(kind).alias("kind"), "x", y)
         for kind, part in (("raw", rows), ("accepted", rows.where(F.col("_ok"))))
     ]
     return key_join(key_join(curves[0].unionByName(curves[1]), limits, keys), sizes, keys)

@@ -158,22 +158,22 @@ class RunIndex:
         return self.runs.join(self.last, KEY).where(keep).select("series", "group", F.col(at).alias("_at"), value.alias("_v"))
 
     def _find(self, probes: DataFrame, at: str, group: str, facts: DataFrame, ahead: bool) -> DataFrame:
-        asked = probes.withColumns({"_at": F.col(at), "_g": F.col(group)})
-        facts = facts.withColumnRenamed("group", "_g")
-        return asof(asked, facts, ["series", "_g"], "_at", "_v", ahead=ahead).drop("_at", "_g")
+        asked = probes.withColumns({"_at": F.col(at), "_wanted": F.col(group)})
+        facts = facts.withColumnRenamed("group", "_wanted")
+        return asof(asked, facts, ["series", "_wanted"], "_at", "_v", ahead=ahead).drop("_at", "_wanted")
 
     def nearest_before(self, probes: DataFrame, at: str, group: str, out: str) -> DataFrame:
         """Closest row at or before ``at`` (never row 0) with that group; ``at`` itself if there is none."""
         facts = self._facts("run_start", F.struct("run_start", "run_end"), F.col("run_end") >= 1)
         found = self._find(probes, at, group, facts, ahead=False)
-        return found.withColumn(out, F.coalesce(F.greatest(F.least(F.col("_v.run_end"), F.col(at))), F.col(at))).drop("_v")
+        return found.withColumn(out, F.coalesce(F.least(F.col("_v.run_end"), F.col(at)), F.col(at))).drop("_v")
 
     def nearest_after(self, probes: DataFrame, at: str, group: str, out: str) -> DataFrame:
         """Closest row after ``at`` (before the last row) with that group; ``at`` itself if there is none."""
         asked = probes.withColumn("_next", F.col(at) + 1)
         facts = self._facts("run_end", F.struct("run_start", "run_end"), F.col("run_start") < F.col("last_idx"))
         found = self._find(asked, "_next", group, facts, ahead=True).join(self.last, KEY)
-        row = F.greatest(F.col("_v.run_start"), F.col("_next"))
+        row = F.when(F.col("_v").isNotNull(), F.greatest(F.col("_v.run_start"), F.col("_next")))
         return found.withColumn(out, F.coalesce(F.when(row < F.col("last_idx"), row), F.col(at))).drop("_v", "_next", "last_idx")
 
     def run_start_before(self, probes: DataFrame, at: str, group: str, out: str) -> DataFrame:
@@ -535,7 +535,7 @@ def _first_trend_end(modes: np.ndarray, min_length: int, reach: int, alpha: floa
     x = modes[:reach]
     steps = np.diff(x)
     counts, ties, s = {}, 0.0, 0
-    for n, value in enumerate(x, start=1):
+    for n, value in enumerate(x.tolist(), start=1):
         s += sum(c * ((value > other) - (value < other)) for other, c in counts.items())
         t = counts.get(value, 0)
         ties += (t + 1) * t * (2 * t + 7) - t * (t - 1) * (2 * t + 5)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spindle.functions.scalars import ratio, round_half_even
 from spindle.functions.stats import statistics
-from spindle.operators.ordered import key_join, ordered
+from spindle.operators.ordered import Groups, key_join, ordered
 
 # fixed values: machine epsilon used as clipping bound, smoothing of the error rates, confidence margin
 EPSILON = 2.220446049250313e-16
@@ -199,8 +199,9 @@ def accuracy_weights(df: DataFrame, keys: Sequence[str], limit: int, epsilon: fl
 def borda_ranks(df: DataFrame, keys: Sequence[str], concept: str = "accuracy", covariate: str = "overlap") -> DataFrame:
     """Rank of each model by accuracy plus rank by leaf overlap; the lowest sum wins, the first model on a tie."""
     rows = df.withColumns({"_a": -F.col(concept), "_c": -F.col(covariate)})
-    rows = ordered(rows, keys, ["_a", "model"]).numbered("concept_rank").frame()
-    rows = ordered(rows, keys, ["_c", "model"]).numbered("covariate_rank").frame()
+    groups = Groups.measure(df, keys)
+    rows = ordered(rows, keys, ["_a", "model"], groups).numbered("concept_rank").frame()
+    rows = ordered(rows, keys, ["_c", "model"], groups).numbered("covariate_rank").frame()
     rows = rows.withColumn("borda", F.col("concept_rank") + F.col("covariate_rank")).drop("_a", "_c")
     best = rows.groupBy(*keys).agg(F.min(F.struct("borda", "model")).alias("_b")).select(*keys, F.col("_b.model").alias("_best"))
     return key_join(rows, best, keys).withColumn("is_best", F.col("model") == F.col("_best")).drop("_best")

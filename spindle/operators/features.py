@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindle.operators.label import rounded_throughput
-from spindle.operators.ordered import ordered
+from spindle.operators.ordered import Groups, ordered
 from spindle.operators.sequence import queue_length, with_previous
 
 # fixed values: the model inputs, in order
@@ -19,30 +19,35 @@ FEATURES = (
 N_HISTORY = 3
 
 
-def feature_set(df: DataFrame, device: Sequence[str], chunk: str, order: Sequence[str], rolling: bool = True) -> DataFrame:
+def feature_set(
+    df: DataFrame, device: Sequence[str], chunk: str, order: Sequence[str], rolling: bool = True, trace: DataFrame | None = None
+) -> DataFrame:
     """Queue length and the last three queue lengths, latencies and throughputs of every request.
 
     ``rolling`` looks back across chunk borders of a device, so only its first three rows lack history and are
     dropped. Otherwise every chunk is compared with the end of the device's first chunk. Writes are never rejected.
+    ``trace`` is the unlabelled trace, if at hand: group sizes are taken from it, which is cheaper than from ``df``.
     """
-    rows = queue_length(rounded_throughput(df), [*device, chunk], order[-1])
+    trace = df if trace is None else trace
+    rows = queue_length(rounded_throughput(df), [*device, chunk], order[-1], sizes=trace)
     columns = ["queue_len", "latency", "throughput"]
     made = [f"prev_{c}_{i}" for c in columns for i in range(1, N_HISTORY + 1)]
     if rolling:
-        seq = with_previous(ordered(rows, device, [chunk, *order]), columns, N_HISTORY).frame()
+        seq = with_previous(ordered(rows, device, [chunk, *order], Groups.measure(trace, device)), columns, N_HISTORY).frame()
     else:
         first = rows.groupBy(*device).agg(F.min(chunk).alias("_first_chunk"))
         marked = rows.join(first, list(device))
         back = [F.col(o).cast("double") * -1 for o in order]
-        tails = ordered(marked.where(F.col(chunk) == F.col("_first_chunk")).withColumns({f"_b{i}": b for i, b in enumerate(back)}),
-                        device, [f"_b{i}" for i in range(len(back))]).numbered("_n").frame()
+        opening = marked.where(F.col(chunk) == F.col("_first_chunk")).withColumns({f"_b{i}": b for i, b in enumerate(back)})
+        tails = ordered(opening, device, [f"_b{i}" for i in range(len(back))], Groups.measure(trace, device)).numbered("_n").frame()
         tails = tails.where(F.col("_n") <= N_HISTORY).drop("_n", *[f"_b{i}" for i in range(len(back))])
         later = marked.where(F.col(chunk) != F.col("_first_chunk"))
         # the three rows go in front of every later chunk; a device has few chunks compared with rows
         heads = tails.drop(chunk).join(later.select(*device, chunk).distinct(), list(device)).select(*later.columns)
         both = later.withColumn("_own", F.lit(1)).unionByName(heads.withColumn("_own", F.lit(0)))
         both = both.unionByName(marked.where(F.col(chunk) == F.col("_first_chunk")).withColumn("_own", F.lit(1)))
-        seq = with_previous(ordered(both, [*device, chunk], ["_own", *order]), columns, N_HISTORY).frame()
+        sizes = Groups.measure(trace, [*device, chunk])
+        seq = with_previous(ordered(both, [*device, chunk], ["_own", *order], sizes), columns, N_HISTORY).frame()
         seq = seq.where(F.col("_own") == 1).drop("_own", "_first_chunk")
     complete = seq.where(F.col(made[N_HISTORY - 1]).isNotNull())
     complete = complete.withColumn("reject", F.when(F.col("io_type") == 0, 0).otherwise(F.col("reject")))

@@ -11,6 +11,7 @@ from spindle.functions.scalars import percent_text, round_half_even, throughput
 from spindle.operators.distribution import cdf_gain, tangent_knee
 from spindle.operators.ordered import Groups, Ordered, key_join, order_statistics, ordered
 from spindle.operators.sequence import in_long_run, tail_state, with_future, with_history
+from spindle.session import stable
 
 # fixed values: rows looked back and ahead, and the drop that starts a slow period
 N_HISTORY = 3
@@ -99,6 +100,7 @@ def knee_label(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def label_report(marked: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Counts and shares of fast and slow I/Os and outliers, and the distribution gain of the accepted reads."""
+    marked = stable(marked)
     kept, is_read, slow = F.col("outlier") == 0, F.col("io_type") == 1, F.col("reject") == 1
     counts = marked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("num_io"),
@@ -125,5 +127,6 @@ def label_report(marked: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def label_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows only one of two labelings has, tagged with the side."""
+    left, right = stable(left), stable(right)
     only_left = left.exceptAll(right).withColumn("side", F.lit("left"))
     return only_left.unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))

@@ -91,12 +91,19 @@ def _number(rows: DataFrame, keys: Sequence[str], order: Sequence[str], limit: i
 class Ordered:
     """Rows of ordered groups: ``cold`` fits plain windows, ``hot`` carries ``_rn`` and ``_blk``."""
 
-    keys: tuple[str, ...]
+    groups: Groups
     order: tuple[str, ...]
-    limit: int
     cold: DataFrame | None
     hot: DataFrame | None
 
+    @property
+    def keys(self) -> tuple[str, ...]:
+        return self.groups.keys
+
+    @property
+    def limit(self) -> int:
+        return self.groups.limit
+
     def map(self, change: Callable[[DataFrame], DataFrame]) -> Ordered:
         """Apply a row-wise change that keeps all rows, keys and order columns."""
         return replace(
@@ -197,10 +204,12 @@ class Ordered:
 def ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], groups: Groups | None = None) -> Ordered:
     """Group ``df`` by ``keys`` in ``order``. ``groups`` may be a measure of a superset of these rows."""
     groups = groups or Groups.measure(df, keys)
+    if groups.keys != tuple(keys):
+        raise ValueError("the groups were measured by other keys")
     hot = groups.hot_part(df)
     if hot is not None:
         hot = _number(hot, keys, order, groups.limit)
-    return Ordered(tuple(keys), tuple(order), groups.limit, groups.cold_part(df), hot)
+    return Ordered(groups, tuple(order), groups.cold_part(df), hot)
 
 
 def asof(probes: DataFrame, facts: DataFrame, keys: Sequence[str], at: str, value: str, ahead: bool = False, strict: bool = False) -> DataFrame:
@@ -217,7 +226,7 @@ def asof(probes: DataFrame, facts: DataFrame, keys: Sequence[str], at: str, valu
         .unionByName(facts.select(*keys, at, side.alias("_side"), F.col(value).alias("_fact")), allowMissingColumns=True)
     )
     # rows equal in (at, side) are interchangeable for "last fact", bar equal facts: break ties by the fact
-    rows = merged.withColumn("_tie", F.xxhash64("_probe"))
+    rows = stable(merged.withColumn("_tie", F.xxhash64("_probe")))  # measured, then scanned
     order = [at, "_side", "_fact", "_tie"]
     found = ordered(rows, keys, order).running({"_found": ("last", F.col("_fact"))}, backward=ahead).frame()
     return found.where(F.col("_side") == 1).select("_probe.*", F.col("_found").alias(value))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindle.operators.ordered import key_join, ordered
+from spindle.session import stable
 
 # fixed values: rows per step of a gradual change, and per step between the ends of an incremental one
 TRANSITION = 4
@@ -108,7 +109,7 @@ def drift_schedules(buckets: DataFrame, per_step: int = 30, seed: int = 3003) ->
     """
     large = groups_larger_than(buckets, ["metric", "multiplier"], per_step)
     steps = ordered(large.select("metric", "multiplier").distinct(), ["metric"], ["multiplier"]).numbered("rank").frame()
-    steps = steps.join(steps.groupBy("metric").agg(F.max("rank").alias("ranks")), "metric")
+    steps = stable(steps.join(steps.groupBy("metric").agg(F.max("rank").alias("ranks")), "metric"))  # read by every part
     parts = _schedule_parts(steps, per_step)
     pool = ranked(large.join(steps.select("metric", "multiplier", "rank"), ["metric", "multiplier"]), ["metric", "multiplier"], ["metric", "name"], seed)
     placed = parts.join(pool, ["metric", "rank", "pick"])

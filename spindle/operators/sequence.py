@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindle.functions.scalars import ratio, throughput
-from spindle.operators.ordered import Ordered, ordered
+from spindle.operators.ordered import Groups, Ordered, key_join, ordered
 
 
 def with_history(rows: Ordered, column: str, n: int, prefix: str = "hist") -> Ordered:
@@ -29,9 +29,10 @@ def with_previous(rows: Ordered, columns: Sequence[str], n: int) -> Ordered:
     return rows.shifted(made, before=n)
 
 
-def queue_length(df: DataFrame, keys: Sequence[str], order: str, submit: str = "ts_submit") -> DataFrame:
+def queue_length(df: DataFrame, keys: Sequence[str], order: str, submit: str = "ts_submit", sizes: DataFrame | None = None) -> DataFrame:
     """Requests still queued at submission, the row included: those submitted at the same time so far."""
-    return ordered(df, [*keys, submit], [order]).numbered("queue_len").frame()
+    groups = Groups.measure(df if sizes is None else sizes, [*keys, submit])
+    return ordered(df, [*keys, submit], [order], groups).numbered("queue_len").frame()
 
 
 def rolling_mean(rows: Ordered, columns: Sequence[str], n: int) -> Ordered:
@@ -111,7 +112,8 @@ def pending_and_history(df: DataFrame, keys: Sequence[str], order: str, depth: i
         ),
     )
     is_issue, is_read = F.col("_kind") == 0, F.col("io_type") == 1
-    rows = ordered(events, keys, ["_at", order, "_kind"])
+    groups = Groups.measure(df, keys)  # a group has two events per request
+    rows = ordered(events, keys, ["_at", order, "_kind"], groups)
     rows = rows.running({"_pending": ("sum", F.when(is_issue, F.col("_pages")).otherwise(-F.col("_pages")))})
     both = rows.frame()
     # the pending size a read saw at issue travels with its completion
@@ -119,7 +121,7 @@ def pending_and_history(df: DataFrame, keys: Sequence[str], order: str, depth: i
     done = both.where(~is_issue & is_read).drop("_pending").join(issued, [*keys, order])
     starts = both.where(is_issue & is_read).withColumn("_seen", F.col("_pending")).drop("_pending")
     reads = done.select(*starts.columns).unionByName(starts)
-    rows = ordered(reads, keys, ["_at", order, "_kind"])
+    rows = ordered(reads, keys, ["_at", order, "_kind"], groups)
     rows = rows.running({"_done": ("sum", F.col("_kind").cast("long"))})
     flat = rows.frame()
     # completions by number: the issue that has seen k of them looks up numbers k, k-1, ...
@@ -128,7 +130,7 @@ def pending_and_history(df: DataFrame, keys: Sequence[str], order: str, depth: i
     for i in range(depth):
         lags[f"_l{i}"] = lambda w, i=i: F.lag("_l", i).over(w)
         lags[f"_p{i}"] = lambda w, i=i: F.lag("_p", i).over(w)
-    history = ordered(numbered, keys, ["_nth"]).shifted(lags, before=depth).frame()
+    history = ordered(numbered, keys, ["_nth"], groups).shifted(lags, before=depth).frame()
     wanted = flat.where((F.col("_kind") == 0) & (F.col("_done") >= depth)).drop("_kind", "_at")
     joined = wanted.join(history.withColumnRenamed("_nth", "_done").drop("_l", "_p"), [*keys, "_done"])
     latencies = F.array(*[F.col(f"_l{i}") for i in reversed(range(depth))]).alias("hist_latency")
@@ -161,7 +163,7 @@ def per_tick_aggregates(df: DataFrame, keys: Sequence[str], tick: str, n: int =
         F.count_if(F.col("io_type") == 1).cast("double").alias("_r"),
         F.count_if(F.col("io_type") == 0).cast("double").alias("_w"),
     )
-    rows = ordered(sizes, keys, [tick]).shifted({f"_p{c}": (lambda w, c=c: F.lag(c).over(w)) for c in ("_n", "_r", "_w")}, before=1)
+    rows = ordered(sizes, keys, [tick], Groups.measure(df, keys)).shifted({f"_p{c}": (lambda w, c=c: F.lag(c).over(w)) for c in ("_n", "_r", "_w")}, before=1)
 
     def floor_count(c: str) -> Column:
         return F.when(F.coalesce(F.col(c), F.lit(0.0)) == 0, F.lit(0.001)).otherwise(F.col(c))
@@ -216,7 +218,7 @@ def gc_intervals(rows: Ordered, begin: Column, begin_after_write: Column, stop:
         .when(F.col("wrote"), F.lit("set"))
         .otherwise(F.lit("keep"))
     )
-    chain = ordered(stretches, keys, ["_stretch"]).with_columns({"_change": change})
+    chain = ordered(stretches, keys, ["_stretch"], rows.groups).with_columns({"_change": change})
     chain = chain.running({"_flips": ("sum", (F.col("_change") == "flip").cast("int"))})
     fixed = F.when(F.col("_change") == "set", 1).when(F.col("_change") == "clear", 0)
     chain = chain.running({"_fixed": ("last", F.when(fixed.isNotNull(), F.struct(fixed.alias("state"), F.col("_flips").alias("flips"))))})
@@ -224,7 +226,7 @@ def gc_intervals(rows: Ordered, begin: Column, begin_after_write: Column, stop:
     chain = chain.with_columns({"_out": state}).shifted({"_in": lambda w: F.coalesce(F.lag("_out").over(w), F.lit(0))}, before=1)
     carried = chain.frame().select(*keys, "_stretch", "_in")
     joined = rows.frame().join(carried, [*keys, "_stretch"])
-    again = ordered(joined, keys, rows.order)
+    again = ordered(joined, keys, rows.order, rows.groups)
     last_stop = ("last", F.when(F.col("_z"), F.col("_at")))
     again = again.running({"_stop": last_stop, "_write": ("last", F.when(F.col("_wr"), F.col("_at")))}, exclusive=True)
     since = F.coalesce(F.col("_stop"), F.lit(0))
@@ -238,10 +240,8 @@ def gc_intervals(rows: Ordered, begin: Column, begin_after_write: Column, stop:
 
 def gc_labels(df: DataFrame, keys: Sequence[str], order: Sequence[str], fences: DataFrame) -> DataFrame:
     """Label reads over 4096 bytes from the slopes of latency and throughput against per-group quartile fences."""
-    from spindle.operators.ordered import key_join
-
     joined = key_join(df.withColumn("throughput", throughput(F.col("size"), F.col("latency"))), fences, keys)
-    rows = slopes(ordered(joined, keys, order), ["latency", "throughput"])
+    rows = slopes(ordered(joined, keys, order, Groups.measure(df, keys)), ["latency", "throughput"])
     lat, thr = F.col("slope_latency"), F.col("slope_throughput")
     labelled = gc_intervals(
         rows,

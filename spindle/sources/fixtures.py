@@ -97,4 +97,4 @@ SERIES = f"""series AS (
 
 def with_views(*views: str) -> str:
     """A WITH clause from the view texts above, plus any further CTE texts."""
-    return "WITH " + ",\n".join(views)
+    return "WITH RECURSIVE " + ",\n".join(views)

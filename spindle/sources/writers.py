@@ -17,15 +17,25 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", header: bool = True) ->
     df.write.mode("overwrite").option("sep", sep).option("header", header).csv(path)
 
 
-def write_windows(df: DataFrame, path: str, keys: Sequence[str] = ("disk_id", "window_id"), order: str = "ts_record", rows_per_file: int = 5_000_000) -> None:
-    """Time-ordered files below one folder per key.
-
-    Rows are range-partitioned by keys and time, so a large window is spread over several tasks and files while the
-    rows of a small one stay together; within a window the files are ordered by time too.
+def write_windows(
+    df: DataFrame,
+    path: str,
+    device: str = "disk_id",
+    window: str = "window_id",
+    order: str = "ts_record",
+    windows_per_folder: int = 1440,
+    rows_per_file: int = 5_000_000,
+) -> None:
+    """Time-ordered files below one folder per device and run of windows.
+
+    Rows are range-partitioned by device, window and time, so a large window is spread over several tasks and files.
+    Within a file the rows are sorted, so a filter on the window skips all row groups but its own; a folder per
+    window would leave millions of tiny files.
     """
-    by = [*keys, order]
+    by = [device, window, order]
     ranged = df.repartitionByRange(*by).sortWithinPartitions(*by)
-    ranged.write.mode("overwrite").partitionBy(*keys).option("maxRecordsPerFile", rows_per_file).parquet(path)
+    grouped = ranged.withColumn("windows", F.floor(F.col(window) / windows_per_folder))
+    grouped.write.mode("overwrite").partitionBy(device, "windows").option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
 def write_characteristics(df: DataFrame, path: str, digits: int = 4) -> None:

@@ -7,8 +7,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from spindle.functions.scalars import ratio
 
@@ -53,82 +53,72 @@ def sessions(stream: DataFrame, gap: str) -> DataFrame:
     return closed.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "disk_id", "num_io", "size_sum")
 
 
-class DriftState(StatefulProcessor):
-    """Keeps the last groups of a series and emits the end of every long enough concept.
+def online_concept_ends(stream: DataFrame, threshold: float, offset: float, window: int = 10, stability: int = 14) -> DataFrame:
+    """Ends of stable concepts of each series as its rows arrive, in order per series.
 
-    The calm test needs the rows ahead, so a row is judged once ``window - 1`` later rows have come.
+    The calm test needs the rows ahead, so a row is judged once ``window - 1`` later rows have come. State is the last
+    ``2 * window`` groups of a series and three counters.
     """
+    half = window // 2
 
-    def __init__(self, threshold: float, offset: float, window: int, stability: int) -> None:
-        self.threshold, self.offset, self.window, self.stability = threshold, offset, window, stability
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.memory = handle.getValueState("memory", "groups array<int>, idx bigint, stability bigint, prev_own int")
-
-    def _group(self, value: float) -> int:
+    def group_of(value: float) -> int:
         if value < 0:
             return 0
-        return 1 if value - 1 <= self.offset else int((value - self.offset) / self.threshold) + 2
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ahead = self.window - 1
-        groups, idx, stable, prev_own = [], -1, -1, 0
-        if self.memory.exists():
-            groups, idx, stable, prev_own = self.memory.get()
-            groups = list(groups)
-        batch = pd.concat(list(rows)).sort_values("idx")
+        return 1 if value - 1 <= offset else int((value - offset) / threshold) + 2
+
+    def advance(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        groups, idx, steady, prev_own = state.get if state.exists else ([], -1, -1, 0)
+        groups = list(groups)
         ends = []
-        for value in batch["value"]:
-            groups.append(self._group(value))
-            # groups holds up to ``window`` judged rows and the ones still waiting
-            waiting = len(groups) - min(idx + 1, self.window)
-            if waiting <= ahead:
+        for value in pd.concat(list(parts)).sort_values("idx")["value"]:
+            groups.append(group_of(value))
+            # judged rows first, at most ``window`` of them, then the rows that still wait
+            at = min(idx + 1, window)
+            if len(groups) - at < window:
                 continue
-            at = len(groups) - waiting
-            own_group = groups[at]
-            trailing = groups[max(0, at - self.window) : at + 1]
+            own_group, trailing = groups[at], groups[max(0, at - window) : at + 1]
             own = trailing.count(own_group)
             near = sum(1 for g in trailing if g != own_group and abs(g - own_group) <= 2)
-            half = self.window // 2
-            calm = len(trailing) < self.window or (own > half and groups[at : at + self.window].count(own_group) > half)
-            calm = calm or prev_own > half or near > half
+            ahead = groups[at : at + window].count(own_group)
+            calm = len(trailing) < window or (own > half and ahead > half) or prev_own > half or near > half
             idx += 1
-            if idx > 0 and not calm and stable >= self.stability:
-                ends.append((idx - 1, stable))
-            stable = stable + 1 if calm and idx > 0 else 0
+            if idx > 0 and not calm and steady >= stability:
+                ends.append((idx - 1, steady))
+            steady = steady + 1 if calm and idx > 0 else 0
             prev_own = own
-            groups = groups[max(0, at + 1 - self.window) :]
-        self.memory.update((groups, idx, stable, prev_own))
+            if at == window:
+                groups = groups[1:]
+        state.update((groups, idx, steady, prev_own))
         yield pd.DataFrame({"series": [key[0]] * len(ends), "end_idx": [e[0] for e in ends], "stability": [e[1] for e in ends]})
 
-    def close(self) -> None:
-        pass
-
-
-def online_concept_ends(stream: DataFrame, threshold: float, offset: float, window: int = 10, stability: int = 14) -> DataFrame:
-    """Ends of stable concepts of each series as its rows arrive (in order per series)."""
-    return stream.groupBy("series").transformWithStateInPandas(
-        statefulProcessor=DriftState(threshold, offset, window, stability),
+    return stream.groupBy("series").applyInPandasWithState(
+        advance,
         outputStructType="series string, end_idx bigint, stability bigint",
-        outputMode="Append",
-        timeMode="None",
+        stateStructType="groups array<int>, idx bigint, steady bigint, prev_own int",
+        outputMode="append",
+        timeoutConf=GroupStateTimeout.NoTimeout,
     )
 
 
-def split_late(stream: DataFrame, width_ms: int, delay_ms: int, on_time: str, late: str, checkpoint: str) -> StreamingQuery:
-    """Append rows to one table, and rows behind the watermark to another; replayed batches replace their own output."""
-    seen = {"high": None}
+def split_late(stream: DataFrame, width_ms: int, delay_ms: int, on_time: str, late: str, marks: str, checkpoint: str) -> StreamingQuery:
+    """Append rows to one table, and rows more than ``delay_ms`` behind the newest earlier batch to another.
+
+    The newest time of every batch is kept in ``marks``, so a restarted or repeated batch sees the same border and
+    replaces its own output.
+    """
 
     def route(batch: DataFrame, batch_id: int) -> None:
-        border = None if seen["high"] is None else seen["high"] - delay_ms
-        is_late = F.lit(False) if border is None else F.col("ts_record") < border
-        tagged = batch.withColumn("batch_id", F.lit(batch_id)).withColumn("window_id", F.floor(F.col("ts_record") / width_ms))
+        spark = batch.sparkSession
+        border = None
+        if batch_id > 0:
+            before = spark.read.schema("high double, batch_id bigint").parquet(marks).where(F.col("batch_id") < batch_id)
+            border = before.agg(F.max("high")).first()[0]
+        is_late = F.lit(False) if border is None else F.col("ts_record") < border - delay_ms
+        tagged = batch.withColumn("window_id", F.floor(F.col("ts_record") / width_ms))
         for path, rows in ((on_time, tagged.where(~is_late)), (late, tagged.where(is_late))):
-            rows.drop("batch_id").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-        high = batch.agg(F.max("ts_record")).first()[0]
-        if high is not None:
-            seen["high"] = high if seen["high"] is None else max(high, seen["high"])
+            rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        high = batch.agg(F.max("ts_record").alias("high"))  # one row
+        high.write.mode("overwrite").parquet(f"{marks}/batch_id={batch_id}")
 
     return start_batches(stream, route, checkpoint)
 
