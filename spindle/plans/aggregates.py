@@ -155,10 +155,15 @@ RATES = [
 ]
 
 
+def _digits(column: str) -> int:
+    """Digits that neither cut through the last bits of a metric's sums nor hit its exact halves."""
+    return 3 if "iat" in column else 6 if "latency" in column else 4
+
+
 def _stats_sql(latency: bool) -> str:
     exprs = _metric_exprs(latency)
-    parts = [f"{_moments_sql(m, e, 3)}, {_percentiles_sql(m, e, 3)}" for m, e in exprs.items()]
-    parts.append(f"count(\"offset\") AS offset_count, {_percentiles_sql('offset', chr(34) + 'offset' + chr(34), 3)}")
+    parts = [f"{_moments_sql(m, e, _digits(m))}, {_percentiles_sql(m, e, _digits(m))}" for m, e in exprs.items()]
+    parts.append(f"count(\"offset\") AS offset_count, {_percentiles_sql('offset', chr(34) + 'offset' + chr(34), 4)}")
     return ", ".join(parts)
 
 
@@ -167,8 +172,8 @@ def _shown(wide: DataFrame) -> DataFrame:
     hidden = {f"offset_{m}" for m in ("sum", "avg", "min", "max", "variance", "std")}
     hidden |= {c for c in wide.columns if c.endswith(("_mode", "iat_variance"))}
     names = [c for c in wide.columns if c not in hidden]
-    four = {c: 4 for c in [*RATES, "duration"]}
-    return rounded(wide.select(*names), {c: four.get(c, 3) for c in names} | {"start_time": 3, "end_time": 3})
+    digits = {c: _digits(c) for c in names} | {c: 4 for c in [*RATES, "duration"]}
+    return rounded(wide.select(*names), digits | {"start_time": 3, "end_time": 3})
 
 
 def window_characteristics(spark: SparkSession, folder: str, width: str = "1h") -> DataFrame:

@@ -185,10 +185,10 @@ def ensemble(spark: SparkSession, folder: str) -> DataFrame:
     "ev13_group_sum",
     with_views(TRACE, PREDICTION, _EXPERTS, _WEIGHTS)
     + """, p AS (SELECT row_id, max(label) AS label, count(*) AS models, sum(weight * probability) AS probability FROM experts JOIN weights USING (model) GROUP BY 1)
-  SELECT row_id, label, models, round(probability, 6) AS probability, CASE WHEN probability > 0.5 THEN 1 ELSE 0 END AS prediction FROM p""",
+  SELECT row_id, label, models, round(probability, 9) AS probability, CASE WHEN probability > 0.5 THEN 1 ELSE 0 END AS prediction FROM p""",
 )
 def group_sum(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(ev.ensemble(experts(spark, folder), ["row_id"], _weights(spark, folder), total=True))
+    return rounded(ev.ensemble(experts(spark, folder), ["row_id"], _weights(spark, folder), total=True), 9)
 
 
 _AUCS = """aucs AS (SELECT window_id, model, CASE WHEN count(*) FILTER (WHERE label = 1) = 0 OR count(*) FILTER (WHERE label = 0) = 0 THEN 0 ELSE

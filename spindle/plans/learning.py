@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindle.operators import evaluate as ev
-from spindle.operators import features, joins, ml, policy
+from spindle.operators import features, joins, label, ml, policy
 from spindle.plans.labels import features_of
 from spindle.plans.registry import query, rounded
 from spindle.session import stable
@@ -21,8 +21,9 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def training(spark: SparkSession, folder: str, per_window: int = 5) -> DataFrame:
-    """Scaled features of the reads; a window is ``per_window`` days."""
-    reads = features.model_columns(features_of(spark, folder), ["event_id", "chunk"])
+    """Scaled features of the reads, rejected from the latency knee on; a window is ``per_window`` days."""
+    made = label.knee_label(features_of(spark, folder), ["disk_id", "chunk"]).withColumn("reject", F.col("slow"))
+    reads = features.model_columns(made, ["event_id", "chunk"])
     rows = reads.withColumnRenamed("event_id", "row_id").withColumn("window_id", F.floor(F.col("chunk") / per_window))
     return stable(ml.standardise(ml.assemble(rows)))
 
