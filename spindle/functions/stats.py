@@ -59,17 +59,15 @@ def statistics(
         moments = hot.groupBy(*keys).agg(*mergeable)
         parts.append(key_join(moments, order_statistics(hot, keys, metrics, probs, only_hot, mode=True), keys, "left"))
     wide = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    columns = [c for c in wide.columns if not c.endswith(("_pct", "_mode")) and not _is_moment(c, metrics)]
-    picked = []
+    picked = [f"`{c}`" for c in wide.columns if not c.endswith(("_pct", "_mode")) and not _is_moment(c, metrics)]
     for name in metrics:
-        picked.append(F.col(f"{name}_count"))
-        picked += [F.coalesce(F.col(f"{name}_{m}"), F.lit(0.0)).alias(f"{name}_{m}") for m in ("sum", "avg", "min", "max", "mode")]
-        at = {p: F.coalesce(F.col(f"{name}_pct")[i], F.lit(0.0)) for i, p in enumerate(percentiles)}
+        picked.append(f"`{name}_count`")
+        picked += [f"coalesce(`{name}_{m}`, 0D) AS `{name}_{m}`" for m in ("sum", "avg", "min", "max", "mode", "variance", "std")]
+        at = {p: f"coalesce(`{name}_pct`[{i}], 0D)" for i, p in enumerate(percentiles)}
         if "p50" in at:
-            picked.append(at["p50"].alias(f"{name}_median"))
-        picked += [F.coalesce(F.col(f"{name}_{m}"), F.lit(0.0)).alias(f"{name}_{m}") for m in ("variance", "std")]
-        picked += [c.alias(f"{name}_{p}") for p, c in at.items()]
-    return wide.select(*columns, *picked)
+            picked.append(f"{at['p50']} AS `{name}_median`")
+        picked += [f"{c} AS `{name}_{p}`" for p, c in at.items()]
+    return wide.selectExpr(*picked)
 
 
 def _is_moment(column: str, metrics: dict[str, Column]) -> bool:

@@ -92,42 +92,42 @@ def series_variants(df: DataFrame, keys: Sequence[str], order: str, value: str =
     return ordered(joined, keys, [order]).shifted(made, before=1).frame().withColumnRenamed(value, "real")
 
 
-def tangent_knee(df: DataFrame, keys: Sequence[str], metrics: dict[str, Column], groups: Groups | None = None) -> DataFrame:
+def tangent_knee(
+    df: DataFrame, keys: Sequence[str], metrics: dict[str, Column], groups: Groups | None = None, cuts: DataFrame | None = None
+) -> DataFrame:
     """Knee per metric: where the distribution function is furthest above the diagonal.
 
-    Values up to the 97th percentile are scaled by their maximum. On the grid only the first point at or after a
-    value can be furthest, so values are counted per grid point: at most 10,001 rows per group remain to be ordered.
-    Returns ``<metric>_knee`` (whole number) and ``<metric>_knee_percent``.
+    Values up to the 97th percentile (``cuts``: ``<metric>_cut``, if known already) are scaled by their maximum. On
+    the grid only the first point at or after a value can be furthest, so values are counted per grid point: at most
+    10,000 rows per group and metric remain to be ordered. Returns ``<metric>_knee`` (whole number) and
+    ``<metric>_knee_percent``.
     """
-    groups = groups or Groups.measure(df, keys)
     values = {n: finite(c) for n, c in metrics.items()}
-    cuts = order_statistics(df, keys, values, [KNEE_PERCENT / 100], groups)
+    if cuts is None:
+        cuts = order_statistics(df, keys, values, [KNEE_PERCENT / 100], groups)
+        cuts = cuts.select(*keys, *[F.col(f"{n}_pct")[0].alias(f"{n}_cut") for n in metrics])
     pairs = [F.struct(F.lit(n).alias("metric"), c.alias("_v")) for n, c in values.items()]
     counts = df.select(*keys, F.inline(F.array(*pairs))).where(F.col("_v").isNotNull())
     by = [*keys, "metric"]
     counts = counts.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    limits = cuts.select(*keys, F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"{n}_pct")[0].alias("_cut")) for n in metrics])))
+    limits = cuts.select(*keys, F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"{n}_cut").alias("_cut")) for n in metrics])))
     kept = key_join(counts, limits, by).where(F.col("_v") <= F.col("_cut")).drop("_cut")
     tops = kept.groupBy(*by).agg(F.max("_v").alias("_top"), F.sum("_n").alias("_total"))
     last = KNEE_GRID - 1
-    scaled = key_join(kept, tops, by)
     point = F.when(F.col("_top") > 0, F.ceil(F.col("_v") / F.col("_top") * last)).otherwise(F.lit(0)).cast("long")
-    points = scaled.groupBy(*by, point.alias("_g")).agg(F.sum("_n").alias("_n"))
-    zero = tops.select(*by, F.lit(0).cast("long").alias("_g"), F.lit(0).cast("long").alias("_n"))
-    points = points.unionByName(zero).groupBy(*by, "_g").agg(F.sum("_n").alias("_n"))
-    # bounded: one row per grid point
+    points = key_join(kept, tops, by).groupBy(*by, "_top", "_total", point.alias("_g")).agg(F.sum("_n").alias("_n"))
+    if keys:
+        points = points.repartition(*keys)  # serves the running sum and both aggregates below
     w = Window.partitionBy(*by).orderBy("_g").rowsBetween(Window.unboundedPreceding, 0)
-    curve = key_join(points.withColumn("_upto", F.sum("_n").over(w)), tops, by)
-    y = F.col("_upto") / F.col("_total")
-    x = F.col("_g") / F.lit(float(last))
-    # furthest point, the smallest one on a tie
-    best = curve.groupBy(*by).agg(
-        F.max(F.struct((y - x).alias("t"), (-F.col("_g")).alias("g"), y.alias("y"))).alias("_b"), F.first("_top").alias("_top")
-    )
+    y = F.sum("_n").over(w) / F.col("_total")
+    curve = points.withColumn("_y", y).withColumn("_t", F.col("_y") - F.col("_g") / F.lit(float(last)))
+    # furthest point, the smallest one on a tie; the origin if none lies above the diagonal
+    best = curve.groupBy(*by, "_top").agg(F.max(F.struct("_t", (-F.col("_g")).alias("g"), "_y")).alias("_b"))
+    above = F.col("_b._t") > 0
     knee = best.select(
         *by,
-        F.floor(-F.col("_b.g") / F.lit(float(last)) * F.col("_top")).cast("double").alias("knee"),
-        (F.col("_b.y") * (KNEE_PERCENT / 100) * 100).alias("percent"),
+        F.when(above, F.floor(-F.col("_b.g") / F.lit(float(last)) * F.col("_top"))).otherwise(0).cast("double").alias("knee"),
+        F.when(above, F.col("_b._y") * (KNEE_PERCENT / 100) * 100).otherwise(0.0).alias("percent"),
     )
     wide = [F.max(F.when(F.col("metric") == n, F.col(c))).alias(f"{n}_{a}") for n in metrics for c, a in (("knee", "knee"), ("percent", "knee_percent"))]
     return knee.groupBy(*keys).agg(*wide)

@@ -561,6 +561,9 @@ def trending_segments(rows: DataFrame, min_length: int = 50, reach: int = 3600,
     from spindle.session import stable
 
     slot = F.floor(F.col("idx") / reach)
+    # a segment ends before the last row of its series
+    last = rows.groupBy("series").agg(F.max("idx").alias("_last"))
+    rows = rows.join(last, "series").where(F.col("idx") < F.col("_last"))
     seen = rows.select("series", "idx", "mode", F.explode(F.array(slot, slot - 1)).alias("_slot")).where(F.col("_slot") >= 0)
 
     def ends(key: tuple, part: pd.DataFrame) -> pd.DataFrame:

@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindle.functions.scalars import percent_text, round_half_even, throughput
-from spindle.operators.distribution import cdf_gain, tangent_knee
+from spindle.functions.scalars import finite, percent_text, round_half_even, throughput
+from spindle.operators.distribution import KNEE_PERCENT, cdf_gain, tangent_knee
 from spindle.operators.ordered import Groups, Ordered, key_join, order_statistics, ordered
-from spindle.operators.sequence import in_long_run, tail_state, with_future, with_history
+from spindle.operators.sequence import tail_state, with_future, with_history
 from spindle.session import stable
 
 # fixed values: rows looked back and ahead, and the drop that starts a slow period
@@ -27,9 +27,11 @@ def thresholds(df: DataFrame, keys: Sequence[str], groups: Groups | None = None)
     """Knee and median of latency and throughput per group."""
     groups = groups or Groups.measure(df, keys)
     metrics = {"latency": F.col("latency"), "throughput": F.col("throughput")}
-    medians = order_statistics(df, keys, metrics, [0.5], groups)
-    medians = medians.select(*keys, *[F.col(f"{m}_pct")[0].alias(f"{m}_median") for m in metrics])
-    return key_join(medians, tangent_knee(df, keys, metrics, groups), keys)
+    values = metrics | {f"finite_{m}": finite(c) for m, c in metrics.items()}
+    stats = order_statistics(df, keys, values, [0.5, KNEE_PERCENT / 100], groups)
+    medians = stats.select(*keys, *[F.col(f"{m}_pct")[0].alias(f"{m}_median") for m in metrics])
+    cuts = stats.select(*keys, *[F.col(f"finite_{m}_pct")[1].alias(f"{m}_cut") for m in metrics])
+    return key_join(medians, tangent_knee(df, keys, metrics, groups, cuts), keys)
 
 
 def mark_slow(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Ordered:
@@ -54,14 +56,24 @@ def mark_slow(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Order
 
 
 def mark_outliers(rows: Ordered) -> DataFrame:
-    """``outlier`` 1: fast inside a slow period; 2: slow outside one; 3: a slow period of 3 rows or less once 1 and 2 are gone."""
+    """``outlier`` 1: fast inside a slow period; 2: slow outside one; 3: a slow period of 3 rows or less once 1 and 2 are gone.
+
+    The length of a period is found without dropping rows: slow rows so far minus those before the last kept fast
+    row, counted from both sides.
+    """
     first = (F.col("tail") == 1) & (F.col("latency") <= F.col("latency_median")) & (F.col("throughput") >= F.col("throughput_median"))
     second = (F.col("tail") == 0) & (F.col("latency") > F.col("latency_knee")) & (F.col("throughput") < F.col("throughput_median"))
-    rows = rows.with_columns({"outlier": F.when(first, 1).when(second, 2).otherwise(0)})
-    kept = in_long_run(rows.where(F.col("outlier") == 0), "tail", N_HISTORY, "_long")
-    kept = kept.with_columns({"outlier": F.when((F.col("tail") == 1) & ~F.col("_long"), 3).otherwise(0)})
-    dropped = rows.frame().where(F.col("outlier") != 0)
-    return kept.frame().drop("_long").unionByName(dropped)
+    rows = rows.with_columns({"_o12": F.when(first, 1).when(second, 2).otherwise(0)})
+    kept = F.col("_o12") == 0
+    slow, border = kept & (F.col("tail") == 1), kept & (F.col("tail") == 0)
+    for side, backward in (("_ahead", True), ("_behind", False)):
+        rows = rows.running({side: ("sum", slow.cast("int"))}, backward=backward)
+        rows = rows.running({f"{side}_base": ("last", F.when(border, F.col(side)))}, backward=backward)
+    length = F.lit(-1)
+    for side in ("_ahead", "_behind"):
+        length = length + F.col(side) - F.coalesce(F.col(f"{side}_base"), F.lit(0))
+    marked = rows.frame().withColumn("outlier", F.when(slow & (length <= N_HISTORY), 3).otherwise(F.col("_o12")))
+    return marked.drop("_o12", "_ahead", "_ahead_base", "_behind", "_behind_base")
 
 
 def label_slow(df: DataFrame, keys: Sequence[str], order: Sequence[str], filter_outliers: bool = False) -> DataFrame:

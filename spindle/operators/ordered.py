@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from spindle.session import group_rows, stable
 
-_FIRST, _LAST = Window.unboundedPreceding, Window.unboundedFollowing
+_FIRST = Window.unboundedPreceding
 _PART_BITS = 33  # monotonically_increasing_id keeps the partition number above bit 33
 
 Total = tuple[str, Column]
@@ -49,8 +49,11 @@ class Groups:
     hot: DataFrame | None
 
     @staticmethod
-    def measure(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> Groups:
+    def measure(df: DataFrame, keys: Sequence[str], limit: int | None = None, staged: bool = False) -> Groups:
+        """``staged`` marks rows just written by ``stable``: their total is known from the files' footers."""
         limit = limit or group_rows(df.sparkSession)
+        if staged and df.count() <= limit:
+            return Groups(tuple(keys), limit, None)
         sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
         if sizes.isEmpty():
             return Groups(tuple(keys), limit, None)
@@ -68,8 +71,8 @@ class Groups:
         return key_join(df, self.hot, self.keys, "left_semi", small=True) if self.keys else df
 
 
-def _window(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
-    return Window.partitionBy(*keys).orderBy(*order)
+def _window(keys: Sequence[str], order: Sequence[str], backward: bool = False) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy(*[F.col(o).desc() if backward else F.col(o).asc() for o in order])
 
 
 def _number(rows: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int) -> DataFrame:
@@ -153,21 +156,16 @@ class Ordered:
 
     def running(self, totals: dict[str, Total], exclusive: bool = False, backward: bool = False) -> Ordered:
         """Add running ``sum``/``min``/``max``/``last`` (last non-null) from the group's start, or end if ``backward``."""
-        edge = 1 if exclusive else 0
-        frame = (edge, _LAST) if backward else (_FIRST, -edge)
-        value = {
-            "sum": F.sum,
-            "min": F.min,
-            "max": F.max,
-            "last": (lambda c: F.first(c, ignorenulls=True)) if backward else (lambda c: F.last(c, ignorenulls=True)),
-        }
+        # backward is forward over the reversed order: a frame that ends at the last row would be summed anew per row
+        frame = (_FIRST, -1 if exclusive else 0)
+        value = {"sum": F.sum, "min": F.min, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
         cold, hot = self.cold, self.hot
         if cold is not None:
-            w = _window(self.keys, self.order).rowsBetween(*frame)
+            w = _window(self.keys, self.order, backward).rowsBetween(*frame)
             cold = cold.select("*", *[value[how](c).over(w).alias(name) for name, (how, c) in totals.items()])
         if hot is not None:
             by = [*self.keys, "_blk"]
-            w = _window(by, ["_rn"]).rowsBetween(*frame)
+            w = _window(by, ["_rn"], backward).rowsBetween(*frame)
             local = hot.select("*", *[value[how](c).over(w).alias(name) for name, (how, c) in totals.items()])
             place = -F.col("_rn") if backward else F.col("_rn")
             in_block = {
@@ -177,8 +175,7 @@ class Ordered:
                 "last": lambda c: F.max_by(c, F.when(c.isNotNull(), place)),
             }
             blocks = hot.groupBy(*by).agg(*[in_block[how](c).alias(name) for name, (how, c) in totals.items()])
-            reach = (1, _LAST) if backward else (_FIRST, -1)
-            bw = _window(self.keys, ["_blk"]).rowsBetween(*reach)
+            bw = _window(self.keys, ["_blk"], backward).rowsBetween(_FIRST, -1)
             carry = blocks.select(*by, *[value[how](F.col(n)).over(bw).alias(f"_c_{n}") for n, (how, _) in totals.items()])
             joined = key_join(local, carry, by)
             merge = {
@@ -228,7 +225,8 @@ def asof(probes: DataFrame, facts: DataFrame, keys: Sequence[str], at: str, valu
     # rows equal in (at, side) are interchangeable for "last fact", bar equal facts: break ties by the fact
     rows = stable(merged.withColumn("_tie", F.xxhash64("_probe")))  # measured, then scanned
     order = [at, "_side", "_fact", "_tie"]
-    found = ordered(rows, keys, order).running({"_found": ("last", F.col("_fact"))}, backward=ahead).frame()
+    groups = Groups.measure(rows, keys, staged=True)
+    found = ordered(rows, keys, order, groups).running({"_found": ("last", F.col("_fact"))}, backward=ahead).frame()
     return found.where(F.col("_side") == 1).select("_probe.*", F.col("_found").alias(value))
 
 
@@ -262,7 +260,7 @@ def _large_order_statistics(
     long = df.select(*keys, F.inline(F.array(*pairs))).where(F.col("_value").isNotNull())
     by = [*keys, "_name"]
     counts = stable(long.groupBy(*by, "_value").agg(F.count(F.lit(1)).alias("_n")))
-    ranked = ordered(counts, by, ["_value"], Groups.measure(counts, by, limit)).running({"_upto": ("sum", F.col("_n"))}).frame()
+    ranked = ordered(counts, by, ["_value"], Groups.measure(counts, by, limit, staged=True)).running({"_upto": ("sum", F.col("_n"))}).frame()
     totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
     ranked = key_join(ranked, totals, by)
     picks = []

@@ -157,7 +157,7 @@ RATES = [
 
 def _digits(column: str) -> int:
     """Digits that neither cut through the last bits of a metric's sums nor hit its exact halves."""
-    return 3 if "iat" in column else 6 if "latency" in column else 4
+    return 0 if "iat" in column else 6 if "latency" in column else 4
 
 
 def _stats_sql(latency: bool) -> str:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,17 +26,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def rounded(df: DataFrame, digits: dict[str, int] | int = 6) -> DataFrame:
     """Round double columns, so that the order of additions does not show."""
 
-    def shown(name: str, kind: str) -> Column:
+    def shown(name: str, kind: str) -> str:
         if kind != "double":
-            return F.col(name)
-        return F.round(name, digits if isinstance(digits, int) else digits.get(name, 6)).alias(name)
+            return f"`{name}`"
+        return f"round(`{name}`, {digits if isinstance(digits, int) else digits.get(name, 6)}) AS `{name}`"
 
-    return df.select(*[shown(n, k) for n, k in df.dtypes])
-
-
-def longs(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast("long") for c in columns})
-
-
-def round_sql(columns: Sequence[str], digits: int = 6) -> str:
-    return ", ".join(f"round({c}, {digits}) AS {c}" for c in columns)
+    return df.selectExpr(*[shown(n, k) for n, k in df.dtypes])

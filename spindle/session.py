@@ -23,6 +23,7 @@ def build_session(app: str = "spindle", cores: str | int = "*", partitions: int
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -52,12 +53,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder, so a lost executor cannot change what later steps read."""
+    """Write to the shared scratch folder and read back.
+
+    What later steps read is then fixed: a lost executor cannot renumber or redraw rows, several readers do not
+    compute them again, and each reads only the columns it needs.
+    """
     spark = df.sparkSession
-    folder = scratch_root(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = scratch_path(spark, "stage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def group_rows(spark: SparkSession) -> int:
