@@ -1,9 +1,12 @@
-"""Streaming forms, run to the end over the events as a file stream."""
+"""Streaming forms, run to the end over rows that arrive in parts."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from spindle.operators import drift
 from spindle.plans.registry import query
@@ -12,62 +15,70 @@ from spindle.sources import fixtures
 from spindle.streaming import online
 
 
-def file_stream(rows: DataFrame, spark: SparkSession, name: str, order: str, files: int = 4) -> DataFrame:
-    """The rows as time-ordered Parquet files, read one file per micro-batch."""
+def arrive(rows: DataFrame, name: str, order: str, start: Callable[[DataFrame], StreamingQuery], parts: int = 4) -> None:
+    """Write the rows part by part in ``order``; after each part a query started by ``start`` reads what is new."""
+    spark = rows.sparkSession
     path = scratch_path(spark, name)
-    rows.repartitionByRange(files, order).sortWithinPartitions(order).write.parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    cuts = rows.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01)
+    for i, (low, high) in enumerate(zip([float("-inf"), *cuts], [*cuts, float("inf")])):
+        rows.where((F.col(order) > low) & (F.col(order) <= high)).write.parquet(f"{path}/{i}")
+        start(spark.readStream.schema(rows.schema).parquet(f"{path}/*")).awaitTermination()
 
 
-def drained(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:
-    """Run an append stream to the end into a table, and read that."""
+def drained(rows: DataFrame, name: str, order: str, plan: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What an append stream has put out once all parts have arrived."""
+    spark = rows.sparkSession
     out, state = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-state")
-    run = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    schema = []
 
+    def start(stream: DataFrame) -> StreamingQuery:
+        result = plan(stream)
+        schema[:] = [result.schema]
+        sink = result.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+        return sink.outputMode("append").trigger(availableNow=True).start()
 
-def replayed_stream(spark: SparkSession, folder: str) -> DataFrame:
-    return online.with_event_time(file_stream(fixtures.replayed(spark, folder), spark, "replayed-stream", "ts_record"))
+    arrive(rows, name, order, start)
+    return spark.read.schema(schema[0]).parquet(out)
 
 
 @query("str1_window_stream")
 def window_stream(spark: SparkSession, folder: str) -> DataFrame:
-    return drained(online.window_characteristics(replayed_stream(spark, folder), "1 hour"), spark, "windows")
+    rows = fixtures.replayed(spark, folder)
+    return drained(rows, "windows", "ts_record", lambda s: online.window_characteristics(online.with_event_time(s), "1 hour"))
 
 
 @query("str2_sliding_stream")
 def sliding_stream(spark: SparkSession, folder: str) -> DataFrame:
-    return drained(online.window_characteristics(replayed_stream(spark, folder), "6 hours", "3 hours"), spark, "sliding")
+    rows = fixtures.replayed(spark, folder)
+    return drained(rows, "sliding", "ts_record", lambda s: online.window_characteristics(online.with_event_time(s), "6 hours", "3 hours"))
 
 
 @query("str3_sessions")
 def sessions(spark: SparkSession, folder: str) -> DataFrame:
-    return drained(online.sessions(replayed_stream(spark, folder), "30 minutes"), spark, "sessions")
+    rows = fixtures.replayed(spark, folder)
+    return drained(rows, "sessions", "ts_record", lambda s: online.sessions(online.with_event_time(s), "30 minutes"))
 
 
 @query("str4_online_concept_ends")
 def online_concept_ends(spark: SparkSession, folder: str) -> DataFrame:
     rows = drift.index_series(fixtures.series(spark, folder), "hour")
-    stream = file_stream(rows, spark, "series-stream", "idx")
-    return drained(online.online_concept_ends(stream, 4, 4, stability=5), spark, "ends")
+    return drained(rows, "ends", "idx", lambda s: online.online_concept_ends(s, 4, 4, stability=5))
 
 
 @query("str5_late_rows")
 def late_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Every 50th record arrives a day late."""
+    """Every 50th record arrives two days late."""
     late_by = F.when(F.col("event_id") % 50 == 49, fixtures.DAY_MS * 2).otherwise(0)
     rows = fixtures.trace(spark, folder).withColumn("_arrival", F.col("ts_record") + late_by)
-    stream = file_stream(rows, spark, "late-stream", "_arrival", files=6).drop("_arrival")
-    paths = [scratch_path(spark, n) for n in ("on-time", "late", "late-marks", "late-state")]
-    online.split_late(stream, fixtures.HOUR_MS, fixtures.HOUR_MS, *paths).awaitTermination()
-    sides = [spark.read.schema("ts_record double").parquet(p).withColumn("is_late", F.lit(late)) for p, late in ((paths[0], False), (paths[1], True))]
+    on_time, late, marks, state = (scratch_path(spark, n) for n in ("on-time", "late", "late-marks", "late-state"))
+    delay = fixtures.HOUR_MS
+    arrive(rows, "late-in", "_arrival", lambda s: online.split_late(s.drop("_arrival"), fixtures.HOUR_MS, delay, on_time, late, marks, state), parts=8)
+    sides = [spark.read.schema("ts_record double").parquet(p).withColumn("is_late", F.lit(x)) for p, x in ((on_time, False), (late, True))]
     return sides[0].unionByName(sides[1]).groupBy("is_late").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("str6_scored_batches")
 def scored_batches(spark: SparkSession, folder: str) -> DataFrame:
-    stream = file_stream(fixtures.prediction(spark, folder), spark, "prediction-stream", "row_id")
     out, state = scratch_path(spark, "scores"), scratch_path(spark, "scores-state")
-    online.score_batches(stream, out, state).awaitTermination()
+    arrive(fixtures.prediction(spark, folder), "prediction-in", "row_id", lambda s: online.score_batches(s, out, state))
     return spark.read.parquet(out)
