@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spindle.functions.scalars import ratio, throughput
 from spindle.functions.stats import as_struct, statistics
-from spindle.operators.ordered import Groups, key_join, ordered
+from spindle.operators.ordered import Groups, ordered
 
 
 
@@ -115,7 +115,7 @@ def normalise(df: DataFrame, columns: Sequence[str], by: str, keys: Sequence[str
     aggregate = {"min": F.min, "avg": F.avg, "max": F.max}[by]
     # the aggregate has one row per key; the rows are not sorted or gathered for it
     base = df.groupBy(*keys).agg(*[aggregate(c).alias(f"_b_{c}") for c in columns])
-    joined = key_join(df, base, keys) if keys else df.join(F.broadcast(base))
+    joined = Groups.measure(df, keys).join(df, base) if keys else df.join(F.broadcast(base))  # one row without keys
     out = {}
     for c in columns:
         divisor = F.col(f"_b_{c}") * F.lit(padding) if padding != 1.0 else F.col(f"_b_{c}")

@@ -24,8 +24,7 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: Column, groups: Grou
     counts = counted.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("n"))
     groups = groups or Groups.measure(df, keys)  # there are no more distinct values than rows
     ranked = ordered(counts, keys, ["x"], groups).running({"upto": ("sum", F.col("n"))}).frame()
-    totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
-    return key_join(ranked, totals, keys) if keys else ranked.join(F.broadcast(totals))
+    return groups.join(ranked, counts.groupBy(*keys).agg(F.sum("n").alias("total")))
 
 
 def ecdf(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
@@ -55,12 +54,13 @@ def density(
     df: DataFrame, keys: Sequence[str], value: Column, low: float = 0.0, high: float = 20.0, step: float = 0.1
 ) -> DataFrame:
     """Kernel density on a grid: Silverman's kernel with Scott's bandwidth, 1.06 * std * n**-0.2."""
+    groups = Groups.measure(df, keys)
     rows = df.select(*keys, value.cast("double").alias("x")).where(F.col("x").isNotNull())
     spread = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_total"), (1.06 * F.stddev_samp("x") * F.pow(F.count(F.lit(1)), F.lit(-0.2))).alias("_h")
     )
     counts = rows.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("_n"))
-    joined = key_join(counts, spread, keys) if keys else counts.join(F.broadcast(spread))
+    joined = groups.join(counts, spread)
     points = round((high - low) / step)
     grid = F.explode(F.sequence(F.lit(0), F.lit(points))).alias("_g")
     at = (F.col("_g") * F.lit(step) + F.lit(low)).alias("grid")
@@ -82,14 +82,14 @@ def density_cdf(pdf: DataFrame, keys: Sequence[str], step: float = 0.1) -> DataF
 
 def series_variants(df: DataFrame, keys: Sequence[str], order: str, value: str = "value") -> DataFrame:
     """A series as is, mean-normalised, and both as ratio to the previous value (0 where undefined)."""
-    means = df.groupBy(*keys).agg(F.avg(value).alias("_mean"))
-    joined = key_join(df, means, keys) if keys else df.join(F.broadcast(means))
+    groups = Groups.measure(df, keys)
+    joined = groups.join(df, df.groupBy(*keys).agg(F.avg(value).alias("_mean")))
     joined = joined.withColumn("norm", ratio(F.col(value), F.col("_mean"))).drop("_mean")
     made = {
         "diff": lambda w: ratio(F.col(value), F.lag(value).over(w)),
         "diff_norm": lambda w: ratio(F.col("norm"), F.lag("norm").over(w)),
     }
-    return ordered(joined, keys, [order]).shifted(made, before=1).frame().withColumnRenamed(value, "real")
+    return ordered(joined, keys, [order], groups).shifted(made, before=1).frame().withColumnRenamed(value, "real")
 
 
 def tangent_knee(
@@ -102,6 +102,7 @@ def tangent_knee(
     10,000 rows per group and metric remain to be ordered. Returns ``<metric>_knee`` (whole number) and
     ``<metric>_knee_percent``.
     """
+    groups = groups or Groups.measure(df, keys)
     values = {n: finite(c) for n, c in metrics.items()}
     if cuts is None:
         cuts = order_statistics(df, keys, values, [KNEE_PERCENT / 100], groups)
@@ -110,12 +111,15 @@ def tangent_knee(
     counts = df.select(*keys, F.inline(F.array(*pairs))).where(F.col("_v").isNotNull())
     by = [*keys, "metric"]
     counts = counts.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    limits = cuts.select(*keys, F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"{n}_cut").alias("_cut")) for n in metrics])))
-    kept = key_join(counts, limits, by).where(F.col("_v") <= F.col("_cut")).drop("_cut")
-    tops = kept.groupBy(*by).agg(F.max("_v").alias("_top"), F.sum("_n").alias("_total"))
+    kept = groups.join(counts, cuts).where(F.col("_v") <= _of_metric(metrics, "cut")).drop(*[f"{n}_cut" for n in metrics])
+    here = {n: F.col("metric") == n for n in metrics}
+    tops = [F.max(F.when(t, F.col("_v"))).alias(f"{n}_top") for n, t in here.items()]
+    tops += [F.sum(F.when(t, F.col("_n"))).alias(f"{n}_total") for n, t in here.items()]
+    topped = groups.join(kept, kept.groupBy(*keys).agg(*tops))
+    topped = topped.select(*by, "_v", "_n", _of_metric(metrics, "top").alias("_top"), _of_metric(metrics, "total").alias("_total"))
     last = KNEE_GRID - 1
     point = F.when(F.col("_top") > 0, F.ceil(F.col("_v") / F.col("_top") * last)).otherwise(F.lit(0)).cast("long")
-    points = key_join(kept, tops, by).groupBy(*by, "_top", "_total", point.alias("_g")).agg(F.sum("_n").alias("_n"))
+    points = topped.groupBy(*by, "_top", "_total", point.alias("_g")).agg(F.sum("_n").alias("_n"))
     if keys:
         points = points.repartition(*keys)  # serves the running sum and both aggregates below
     w = Window.partitionBy(*by).orderBy("_g").rowsBetween(Window.unboundedPreceding, 0)
@@ -133,6 +137,11 @@ def tangent_knee(
     return knee.groupBy(*keys).agg(*wide)
 
 
+def _of_metric(metrics: dict[str, Column], field: str) -> Column:
+    """The row's own metric's ``<metric>_<field>``."""
+    return F.coalesce(*[F.when(F.col("metric") == n, F.col(f"{n}_{field}")) for n in metrics])
+
+
 def percentile_curve(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
     """Percentiles 1 to 100 of the finite values (2 decimals) as rows ``p``, ``x``, with five times the median as ``x_max``."""
     probs = [0.5, *[p / 100 for p in range(1, 101)]]
@@ -192,8 +201,8 @@ def cdf_gain(df: DataFrame, keys: Sequence[str], value: Column, accepted: Column
     rows = df.withColumn("_v", value.cast("double"))
     stats = order_statistics(rows, keys, {"v": F.col("_v")}, [0.7], groups)
     limits = stats.select(*keys, F.greatest(F.col("v_pct")[0] * 3, F.lit(1000.0)).alias("limit"))
-    raw = _curve_area(key_join(value_counts(rows, keys, F.col("_v"), groups), limits, keys), keys, groups)
-    best = _curve_area(key_join(value_counts(rows.where(accepted), keys, F.col("_v"), groups), limits, keys), keys, groups)
+    raw = _curve_area(groups.join(value_counts(rows, keys, F.col("_v"), groups), limits), keys, groups)
+    best = _curve_area(groups.join(value_counts(rows.where(accepted), keys, F.col("_v"), groups), limits), keys, groups)
     best = best.select(*keys, F.col("area").alias("best"), F.col("end_x").alias("best_x"), F.col("end_y").alias("best_y"))
     sizes = rows.groupBy(*keys).agg(F.count("_v").alias("_n"))
     joined = key_join(key_join(raw, best, keys, "left"), sizes, keys)
@@ -214,7 +223,7 @@ def accepted_cdf(df: DataFrame, keys: Sequence[str], value: Column, accepted: Co
         value_counts(part, keys, F.col("_v"), groups).select(*keys, F.lit(kind).alias("kind"), "x", y)
         for kind, part in (("raw", rows), ("accepted", rows.where(F.col("_ok"))))
     ]
-    return key_join(key_join(curves[0].unionByName(curves[1]), limits, keys), sizes, keys)
+    return groups.join(curves[0].unionByName(curves[1]), key_join(limits, sizes, keys))
 
 
 def describe(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:

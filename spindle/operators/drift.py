@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from spindle.functions.scalars import value_group
 from spindle.operators.ordered import Ordered, asof, ordered
+from spindle.session import stable
 
 KEY = ["series"]
 
@@ -287,8 +288,6 @@ def classify_shifts(shifts: DataFrame, recurring: DataFrame) -> DataFrame:
 
 def find_drifts(series: DataFrame, settings: DriftSettings = DriftSettings()) -> DataFrame:
     """All drifts of all series: ``series, start, end, type, start_mode, end_mode``."""
-    from spindle.session import stable
-
     rows = stable(stability(series, settings))  # read by every step below
     runs = RunIndex.of(rows)
     similar = similar_rows(rows, settings)
@@ -303,16 +302,25 @@ def find_drifts(series: DataFrame, settings: DriftSettings = DriftSettings()) ->
 def mode_trend(refined: DataFrame, rows: DataFrame, flat: float = 0.01) -> DataFrame:
     """Least-squares slope of the start mode's share along each pair, and whether it falls or rises as it should.
 
-    The rows between the ends are joined per pair; a pair spans at most ``reach`` rows.
+    The sums of the regression over a pair's rows are differences of running sums per (series, mode); only rows whose
+    histogram holds the mode add to them.
     """
-    spans = refined.select("series", "start_idx", "end_idx", "start_mode", "end_mode")
-    spans = spans.withColumn("idx", F.explode(F.sequence(F.col("start_idx") + 1, F.col("end_idx"))))
-    joined = spans.join(rows.select("series", "idx", "trailing"), ["series", "idx"])
-    y = similar_mass(F.col("trailing"), F.col("start_mode"), 0).cast("double")
-    x = (F.col("idx") - F.col("start_idx") - 1).cast("double")
-    fitted = joined.groupBy("series", "start_idx", "end_idx", "start_mode", "end_mode").agg(
-        F.count(F.lit(1)).alias("rows"), F.regr_slope(y, x).alias("slope")
-    )
+    counted = rows.select("series", "idx", F.explode(histogram(F.col("trailing"))).alias("_mode", "_y"))
+    counted = ordered(counted, ["series", "_mode"], ["idx"]).running({"_s": ("sum", F.col("_y")), "_sx": ("sum", F.col("_y") * F.col("idx"))}).frame()
+    facts = stable(counted.select("series", "_mode", F.col("idx").alias("_at"), F.struct("_s", "_sx").alias("_f")))
+    spans = refined.select("series", "start_idx", "end_idx", "start_mode", "end_mode").withColumn("_mode", F.col("start_mode"))
+    spans = asof(spans.withColumn("_at", F.col("start_idx")), facts, ["series", "_mode"], "_at", "_f").withColumnRenamed("_f", "_before")
+    spans = asof(spans.withColumn("_at", F.col("end_idx")), facts, ["series", "_mode"], "_at", "_f")
+
+    def between(name: str) -> Column:
+        return F.coalesce(F.col(f"_f.{name}"), F.lit(0)) - F.coalesce(F.col(f"_before.{name}"), F.lit(0))
+
+    # x counts the pair's rows from 0
+    n = F.col("end_idx") - F.col("start_idx")
+    sum_y, sum_xy = between("_s"), between("_sx") - (F.col("start_idx") + 1) * between("_s")
+    sum_x, sum_xx = n * (n - 1) / 2, (n - 1) * n * (2 * n - 1) / 6
+    slope = F.try_divide(n * sum_xy - sum_x * sum_y, n * sum_xx - sum_x * sum_x)
+    fitted = spans.select("series", "start_idx", "end_idx", "start_mode", "end_mode", n.alias("rows"), slope.alias("slope"))
     steep = F.abs(F.col("slope")) >= flat
     leaving = F.when(F.col("start_mode") < F.col("end_mode"), F.col("slope") <= 0).otherwise(F.col("slope") >= 0)
     return fitted.withColumn("is_trend", F.coalesce(steep & leaving, F.lit(False)))
@@ -401,8 +409,6 @@ def monotone_between(pairs: DataFrame, rows: DataFrame, start: str, end: str) ->
 
 def find_drifts_v1(series: DataFrame, settings: DriftSettings) -> DataFrame:
     """Recurring (same mode), incremental (monotone mode) and sudden (group step of 2 or more) drifts between stationary ends."""
-    from spindle.session import stable
-
     rows = stable(stability_v1(series, settings))
     ends = concept_ends(rows, settings)
     left = ends.select("series", F.col("idx").alias("end_a"), (F.col("idx") - F.col("stability")).alias("_from"))
@@ -558,8 +564,6 @@ def trending_segments(rows: DataFrame, min_length: int = 50, reach: int = 3600,
     slot. Which starts the left-to-right scan picks follows from the starts it jumps to; the chain is followed in
     doubling steps, so no series has to fit one task.
     """
-    from spindle.session import stable
-
     slot = F.floor(F.col("idx") / reach)
     # a segment ends before the last row of its series
     last = rows.groupBy("series").agg(F.max("idx").alias("_last"))

@@ -223,7 +223,7 @@ def retrain_rows(df: DataFrame, keys: Sequence[str], rule: str, level: float = 0
     enough = F.col("_n") > 1000 if rule == "all" else F.col("_n") >= 100
     if min_rows is not None:
         enough = F.col("_n") >= min_rows
-    return key_join(chosen, sizes.where(enough).drop("_n"), keys, "left_semi")
+    return Groups.measure(df, keys).join(chosen, sizes.where(enough).drop("_n"), "left_semi")
 
 
 def needs_renewal(scores: DataFrame, accuracy: float = 0.8) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindle.operators.ordered import asof, ordered
+from spindle.operators.ordered import Groups, asof, ordered
+from spindle.session import stable
 
 
 def select_listed(characteristics: DataFrame, window_list: DataFrame) -> DataFrame:
@@ -17,7 +18,7 @@ def select_listed(characteristics: DataFrame, window_list: DataFrame) -> DataFra
 
 def lookup(df: DataFrame, values: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Left join of per-key values, 0 where there is none."""
-    return df.join(values.select(*keys, *columns), list(keys), "left").fillna(0, subset=list(columns))
+    return Groups.measure(df, keys).join(df, values.select(*keys, *columns), "left").fillna(0, subset=list(columns))
 
 
 def multiplier_pairs(buckets: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -37,24 +38,33 @@ def positional(left: DataFrame, left_order: Sequence[str], right: DataFrame, rig
 def choose_group(df: DataFrame, groups: DataFrame, value: str = "size") -> DataFrame:
     """Model group of each row: its value lies in the group's ``lower``..``upper``; the nearest ``avg`` wins, then the first name.
 
-    The winner depends on the value alone. So only distinct values are matched, against intervals cut at all interval
-    ends: inside a piece the candidate groups are the same. Where no interval fits, a hash of the value picks.
+    The winner depends on the value alone, so only distinct values are matched. Interval ends cut the axis into points
+    and the gaps after them; the groups covering a piece are the same all over it, so the nearest ``avg`` is an as-of
+    lookup below and above the value. Where no interval fits, a hash of the value picks.
     """
     names = ordered(groups, [], ["group"]).numbered("_pick").frame()
-    count = groups.agg(F.count(F.lit(1)).alias("_groups"))
     values = df.select(value).where(F.col(value).isNotNull()).distinct()
-    # interval ends cut the axis; each group covers the pieces between its own ends
-    cuts = groups.select(F.col("lower").alias("cut")).union(groups.select(F.col("upper").alias("cut"))).distinct()
-    pieces = ordered(cuts, [], ["cut"]).shifted({"until": lambda w: F.lead("cut").over(w)}, after=1).frame()
-    covers = pieces.join(groups, (F.col("lower") <= F.col("cut")) & (F.col("cut") <= F.col("upper")))
-    placed = asof(values.withColumn("_at", F.col(value).cast("double")), pieces.select(F.col("cut").cast("double").alias("_at"), "cut"), [], "_at", "cut")
-    near = placed.join(covers, "cut").where(F.col(value) <= F.col("upper"))
-    best = near.groupBy(value).agg(F.min(F.struct(F.abs(F.col("avg") - F.col(value)).alias("d"), F.col("group").alias("g"))).alias("_b"))
-    chosen = values.join(best, value, "left").join(F.broadcast(count))
-    chosen = chosen.withColumn("_pick", F.when(F.col("_b").isNull(), F.pmod(F.col(value).cast("long"), F.col("_groups")) + 1))
+    ends = groups.select(F.col("lower").cast("double").alias("_cut")).union(groups.select(F.col("upper").cast("double"))).distinct()
+    cuts = stable(ordered(ends, [], ["_cut"]).numbered("_n").frame())
+    # a group covers its first to last point, and the gaps between them
+    low = cuts.select(F.col("_cut").alias("lower"), F.col("_n").alias("_first"))
+    high = cuts.select(F.col("_cut").alias("upper"), F.col("_n").alias("_last"))
+    spans = groups.select("group", *[F.col(c).cast("double").alias(c) for c in ("avg", "lower", "upper")]).join(low, "lower").join(high, "upper")
+    covers = spans.select("group", "avg", "_last", F.explode(F.sequence("_first", "_last")).alias("_n"))
+    covers = covers.select("avg", "group", "_n", F.explode(F.when(F.col("_n") < F.col("_last"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("_gap"))
+    facts = stable(covers.groupBy("_n", "_gap", "avg").agg(F.min("group").alias("_g")))
+    facts = facts.select("_n", "_gap", F.col("avg").alias("_at"), F.struct("avg", "_g").alias("_f"))
+    placed = asof(values.withColumn("_at", F.col(value).cast("double")), cuts.withColumn("_at", F.col("_cut")).withColumn("_p", F.struct("_cut", "_n")), [], "_at", "_p")
+    placed = placed.withColumns({"_n": F.col("_p._n"), "_gap": F.col("_at") > F.col("_p._cut")}).drop("_p")
+    below = asof(placed, facts, ["_n", "_gap"], "_at", "_f").withColumnRenamed("_f", "_below")
+    found = asof(below, facts, ["_n", "_gap"], "_at", "_f", ahead=True)
+    near = [F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.avg") - F.col("_at")).alias("d"), F.col(f"{c}._g").alias("g"))) for c in ("_below", "_f")]
+    found = found.withColumn("_best", F.least(*near)["g"])
+    count = F.broadcast(groups.agg(F.count(F.lit(1)).alias("_groups")))  # one row
+    chosen = found.join(count).withColumn("_pick", F.when(F.col("_best").isNull(), F.pmod(F.col(value).cast("long"), F.col("_groups")) + 1))
     chosen = chosen.join(names.select("_pick", F.col("group").alias("_any")), "_pick", "left")
-    picked = chosen.select(value, F.coalesce("_b.g", "_any").alias("group"), F.col("_b").isNotNull().alias("in_interval"))
-    return df.join(picked, value)
+    picked = chosen.select(value, F.coalesce("_best", "_any").alias("group"), F.col("_best").isNotNull().alias("in_interval"))
+    return Groups.measure(df, [value]).join(df, picked)
 
 
 def leaf_overlap(leaves: DataFrame, leaf_counts: DataFrame, rows_key: Sequence[str] = ()) -> DataFrame:

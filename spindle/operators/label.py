@@ -42,7 +42,7 @@ def mark_slow(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Order
     """
     groups = Groups.measure(df, keys)
     rows = rounded_throughput(df)
-    rows = key_join(rows, thresholds(rows, keys, groups), keys)
+    rows = groups.join(rows, thresholds(rows, keys, groups))
     seq = with_future(with_history(ordered(rows, keys, order, groups), "throughput", 1), "throughput", N_FUTURE)
     drop = round_half_even(F.col("hist_0_throughput") / (F.col("throughput") + 0.1), 1)
     fast = (F.col("throughput") > F.col("throughput_knee")) | (F.col("latency") < F.col("latency_knee"))
@@ -99,15 +99,16 @@ def filter_labelled(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     """Drop the outliers of rows that already carry ``reject``; throughput is not rounded here."""
     groups = Groups.measure(df, keys)
     rows = df.withColumn("throughput", throughput(F.col("size"), F.col("latency"))).withColumn("tail", F.col("reject"))
-    rows = key_join(rows, thresholds(rows, keys, groups), keys)
+    rows = groups.join(rows, thresholds(rows, keys, groups))
     marked = mark_outliers(ordered(rows, keys, order, groups))
     return marked.where(F.col("outlier") == 0).select(*df.columns)
 
 
 def knee_label(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``slow`` = latency at or above its knee."""
-    knees = tangent_knee(df, keys, {"latency": F.col("latency")})
-    return key_join(df, knees.select(*keys, "latency_knee"), keys).withColumn("slow", (F.col("latency") >= F.col("latency_knee")).cast("int"))
+    groups = Groups.measure(df, keys)
+    knees = tangent_knee(df, keys, {"latency": F.col("latency")}, groups)
+    return groups.join(df, knees.select(*keys, "latency_knee")).withColumn("slow", (F.col("latency") >= F.col("latency_knee")).cast("int"))
 
 
 def label_report(marked: DataFrame, keys: Sequence[str]) -> DataFrame:

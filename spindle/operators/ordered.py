@@ -33,7 +33,7 @@ def key_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     if small:
         renamed = F.broadcast(renamed)
     if not keys:
-        return left.crossJoin(renamed)
+        return left.join(renamed)  # without keys the right side is a single row
     condition = F.lit(True)
     for k in keys:
         condition = condition & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
@@ -71,6 +71,19 @@ class Groups:
         return key_join(df, self.hot, self.keys, "left_semi", small=True) if self.keys else df
 
 
+    def join(self, rows: DataFrame, per_group: DataFrame, how: str = "inner") -> DataFrame:
+        """Join a table of one row per group. Rows of large groups are not shuffled: they meet a broadcast of their few."""
+        if self.hot is None or not self.keys:
+            return key_join(rows, per_group, self.keys, how, small=not self.keys)
+        cold = key_join(self.cold_part(rows), per_group, self.keys, how)
+        few = key_join(per_group, self.hot, self.keys, "left_semi", small=True)
+        return cold.unionByName(key_join(self.hot_part(rows), few, self.keys, how, small=True))
+
+    def finer(self, df: DataFrame, keys: Sequence[str]) -> Groups:
+        """Groups by more keys: they need measuring only if some group by fewer keys is large."""
+        return Groups(tuple(keys), self.limit, None) if self.hot is None else Groups.measure(df, keys, self.limit)
+
+
 def _window(keys: Sequence[str], order: Sequence[str], backward: bool = False) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*[F.col(o).desc() if backward else F.col(o).asc() for o in order])
 
@@ -262,7 +275,7 @@ def _large_order_statistics(
     counts = stable(long.groupBy(*by, "_value").agg(F.count(F.lit(1)).alias("_n")))
     ranked = ordered(counts, by, ["_value"], Groups.measure(counts, by, limit, staged=True)).running({"_upto": ("sum", F.col("_n"))}).frame()
     totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
-    ranked = key_join(ranked, totals, by)
+    ranked = key_join(ranked, totals, by, small=True)  # one row per large group and column
     picks = []
     for i, p in enumerate(probs):
         position = (F.col("_total") - 1) * F.lit(float(p))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindle.operators.ordered import key_join, ordered
+from spindle.operators.ordered import Groups, key_join, ordered
 from spindle.session import stable
 
 # fixed values: rows per step of a gradual change, and per step between the ends of an incremental one
@@ -73,7 +73,7 @@ def cap_rows(df: DataFrame, strata: Sequence[str], ids: Sequence[str], n: int =
 def groups_larger_than(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     """Rows of the groups with more than ``n`` rows."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > n)
-    return key_join(df, sizes.drop("_n"), keys, "left_semi")
+    return Groups.measure(df, keys).join(df, sizes.drop("_n"), "left_semi")
 
 
 def pool_list(buckets: DataFrame, n: int = 15, seed: int = 42) -> DataFrame:
@@ -172,7 +172,7 @@ def top_up_missing_class(selected: DataFrame, everything: DataFrame, keys: Seque
     missing = F.when(F.col("_zeros") == 0, F.lit(0)).when(F.col("_ones") == 0, F.lit(1))
     amount = F.when(F.col("_zeros") == 0, quarter(F.col("_ones"), F.col("_all_zeros"))).otherwise(quarter(F.col("_zeros"), F.col("_all_ones")))
     need = need.select(*keys, missing.alias("_class"), amount.alias("_amount")).where(F.col("_class").isNotNull())
-    pool = key_join(everything, need, keys).where(F.col(label) == F.col("_class"))
+    pool = Groups.measure(everything, keys).join(everything, need).where(F.col(label) == F.col("_class"))
     extra = ranked(pool, keys, ids, seed).where(F.col("pick") <= F.col("_amount"))
     return selected.unionByName(extra.select(*selected.columns))
 
@@ -184,7 +184,8 @@ def split_rows(df: DataFrame, ids: Sequence[str], test_share: float = 0.2, seed:
 
 def split_by_time(df: DataFrame, keys: Sequence[str], order: Sequence[str], percent: int) -> DataFrame:
     """``is_test`` = 0 for the first ``percent`` of the rows in time order."""
-    numbered = ordered(df, keys, order).numbered("_n").frame()
+    groups = Groups.measure(df, keys)
+    numbered = ordered(df, keys, order, groups).numbered("_n").frame()
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    joined = key_join(numbered, sizes, keys) if keys else numbered.join(F.broadcast(sizes))
+    joined = groups.join(numbered, sizes)
     return joined.withColumn("is_test", F.col("_n") > F.floor(F.col("_rows") * percent / 100)).drop("_n", "_rows")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindle.functions.scalars import ratio, throughput
-from spindle.operators.ordered import Groups, Ordered, key_join, ordered
+from spindle.operators.ordered import Groups, Ordered, ordered
 
 
 def with_history(rows: Ordered, column: str, n: int, prefix: str = "hist") -> Ordered:
@@ -163,7 +163,8 @@ def per_tick_aggregates(df: DataFrame, keys: Sequence[str], tick: str, n: int =
         F.count_if(F.col("io_type") == 1).cast("double").alias("_r"),
         F.count_if(F.col("io_type") == 0).cast("double").alias("_w"),
     )
-    rows = ordered(sizes, keys, [tick], Groups.measure(df, keys)).shifted({f"_p{c}": (lambda w, c=c: F.lag(c).over(w)) for c in ("_n", "_r", "_w")}, before=1)
+    groups = Groups.measure(df, keys)
+    rows = ordered(sizes, keys, [tick], groups).shifted({f"_p{c}": (lambda w, c=c: F.lag(c).over(w)) for c in ("_n", "_r", "_w")}, before=1)
 
     def floor_count(c: str) -> Column:
         return F.when(F.coalesce(F.col(c), F.lit(0.0)) == 0, F.lit(0.001)).otherwise(F.col(c))
@@ -181,7 +182,7 @@ def per_tick_aggregates(df: DataFrame, keys: Sequence[str], tick: str, n: int =
     # the first timestamp has no predecessor and takes no part in the means
     rows = rows.where(F.col("_p_n").isNotNull())
     means = rolling_mean(rows, names, n).frame().select(*keys, tick, *[F.col(f"rolling_{c}").alias(c) for c in names])
-    joined = df.join(means, [*keys, tick], "left")
+    joined = groups.finer(df, [*keys, tick]).join(df, means, "left")
     return joined.fillna(0.0, subset=names)
 
 
@@ -225,7 +226,8 @@ def gc_intervals(rows: Ordered, begin: Column, begin_after_write: Column, stop:
     state = (F.coalesce(F.col("_fixed.state"), F.lit(0)) + F.col("_flips") - F.coalesce(F.col("_fixed.flips"), F.lit(0))) % 2
     chain = chain.with_columns({"_out": state}).shifted({"_in": lambda w: F.coalesce(F.lag("_out").over(w), F.lit(0))}, before=1)
     carried = chain.frame().select(*keys, "_stretch", "_in")
-    joined = rows.frame().join(carried, [*keys, "_stretch"])
+    every = rows.frame()
+    joined = rows.groups.finer(every, [*keys, "_stretch"]).join(every, carried)
     again = ordered(joined, keys, rows.order, rows.groups)
     last_stop = ("last", F.when(F.col("_z"), F.col("_at")))
     again = again.running({"_stop": last_stop, "_write": ("last", F.when(F.col("_wr"), F.col("_at")))}, exclusive=True)
@@ -240,8 +242,9 @@ def gc_intervals(rows: Ordered, begin: Column, begin_after_write: Column, stop:
 
 def gc_labels(df: DataFrame, keys: Sequence[str], order: Sequence[str], fences: DataFrame) -> DataFrame:
     """Label reads over 4096 bytes from the slopes of latency and throughput against per-group quartile fences."""
-    joined = key_join(df.withColumn("throughput", throughput(F.col("size"), F.col("latency"))), fences, keys)
-    rows = slopes(ordered(joined, keys, order, Groups.measure(df, keys)), ["latency", "throughput"])
+    groups = Groups.measure(df, keys)
+    joined = groups.join(df.withColumn("throughput", throughput(F.col("size"), F.col("latency"))), fences)
+    rows = slopes(ordered(joined, keys, order, groups), ["latency", "throughput"])
     lat, thr = F.col("slope_latency"), F.col("slope_throughput")
     labelled = gc_intervals(
         rows,

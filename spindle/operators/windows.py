@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindle.functions.scalars import duration_ms
-from spindle.operators.ordered import key_join, ordered
+from spindle.operators.ordered import Groups, ordered
 
 
 def window_id(ts: Column, width_ms: int, origin: Column | float = 0.0) -> Column:
@@ -38,7 +38,7 @@ def split_window_sizes(df: DataFrame, widths: Sequence[str], ts: str = "ts_recor
 def relative_time(df: DataFrame, keys: Sequence[str], ts: str = "ts_record") -> DataFrame:
     """Shift the clock of every window so that it starts at 0."""
     starts = df.groupBy(*keys).agg(F.min(ts).alias("_start"))
-    return key_join(df, starts, keys).withColumn(ts, F.col(ts) - F.col("_start")).drop("_start")
+    return Groups.measure(df, keys).join(df, starts).withColumn(ts, F.col(ts) - F.col("_start")).drop("_start")
 
 
 def window_validity(
@@ -66,7 +66,7 @@ def regroup_windows(df: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
     grouped = df.withColumn("group_id", F.floor(F.col("window_id") / k).cast("long"))
     short = grouped.select(*keys, "group_id", "window_id").distinct()
     complete = short.groupBy(*keys, "group_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == k)
-    return key_join(grouped, complete.drop("_n"), [*keys, "group_id"], "left_semi")
+    return Groups.measure(grouped, [*keys, "group_id"]).join(grouped, complete.drop("_n"), "left_semi")
 
 
 def concatenate(df: DataFrame, part: str = "chunk") -> DataFrame:
@@ -83,7 +83,7 @@ def concatenate(df: DataFrame, part: str = "chunk") -> DataFrame:
         F.coalesce(F.col("_record"), -F.col("_min")).alias("_shift"),
         F.coalesce(F.col("_submitted"), F.lit(0.0)).alias("_shift_submit"),
     )
-    moved = key_join(df, shifts, [part])
+    moved = Groups.measure(df, [part]).join(df, shifts)
     return moved.withColumns(
         {"ts_record": F.col("ts_record") + F.col("_shift"), "ts_submit": F.col("ts_submit") + F.col("_shift_submit")}
     ).drop("_shift", "_shift_submit")

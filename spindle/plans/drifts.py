@@ -221,6 +221,9 @@ def merged_intervals(spark: SparkSession, folder: str) -> DataFrame:
     return drift.merge_intervals(rows, ["disk_id"], 2)
 
 
+DRIFT_SQL = _sql(SETTINGS, _EDGES, _REFINED, _MASS, _recurring(SETTINGS), _shifts(SETTINGS))
+
+
 @query("dr8_drifts", _sql(SETTINGS, _EDGES, _REFINED, _MASS, _recurring(SETTINGS), _shifts(SETTINGS)) + " SELECT * FROM drifts")
 def drifts(spark: SparkSession, folder: str) -> DataFrame:
     return drift.find_drifts(series(spark, folder), SETTINGS)

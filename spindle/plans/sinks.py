@@ -9,6 +9,8 @@ from spindle.operators import drift, features, label
 from spindle.operators.characteristic import characteristic
 from spindle.operators.distribution import series_variants
 from spindle.operators.windows import split_windows
+from spindle.plans.drifts import SETTINGS, DRIFT_SQL
+from spindle.plans.labels import _FEATURES, _OUTLIERS, _PERIODS, KNEES_SQL
 from spindle.plans.registry import query, rounded
 from spindle.session import scratch_path
 from spindle.sources import fixtures, writers
@@ -92,18 +94,25 @@ def stat_series(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(back)
 
 
-@query("snk7_drift_files")
+@query(
+    "snk7_drift_files",
+    DRIFT_SQL + """ SELECT type, start, "end", count(*) AS rows, sum(value) AS total FROM drifts d JOIN series s ON s.idx >= d.start AND s.idx < d."end" GROUP BY ALL""",
+)
 def drift_files(spark: SparkSession, folder: str) -> DataFrame:
-    settings = drift.DriftSettings(threshold=2, offset=2, stability=5)
     rows = drift.index_series(fixtures.series(spark, folder), "hour")
-    found = drift.find_drifts(rows, settings)
+    found = drift.find_drifts(rows, SETTINGS)
     path = scratch_path(spark, "drifts")
     writers.write_drifts(drift.selected_drifts(found), drift.slice_drifts(rows, found), path)
     back = spark.read.schema("series string, idx bigint, value double, start bigint, `end` bigint, type string").parquet(f"{path}/data")
     return back.groupBy("type", "start", "end").agg(F.count(F.lit(1)).alias("rows"), F.sum("value").alias("total"))
 
 
-@query("snk8_feature_variants")
+@query(
+    "snk8_feature_variants",
+    with_views(TRACE, REPLAYED, KNEES_SQL, _PERIODS, _OUTLIERS, _FEATURES)
+    + """ SELECT CASE WHEN outlier <> 0 THEN 1 ELSE 0 END AS is_outlier, io_type, count(*) AS n, sum(reject)::BIGINT AS rejects
+  FROM features JOIN outliers USING (event_id) GROUP BY ALL""",
+)
 def feature_variants(spark: SparkSession, folder: str) -> DataFrame:
     trace = fixtures.replayed(spark, folder)
     marked = label.label_with_outliers(trace, ["disk_id", "chunk"], ["ts_submit", "event_id"])

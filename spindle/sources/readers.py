@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.operators.ordered import key_join, ordered
+from spindle.operators.ordered import Groups, ordered
 
 # fixed values: column layouts of the formats
 CANONICAL = "ts_record double, disk_id bigint, offset bigint, size bigint, io_type int"
@@ -123,7 +123,7 @@ def standardize_tectonic(raw: DataFrame, file: str = "file") -> DataFrame:
     """Time since the file's first record; offset in the block's 8 MiB; the host as device, or the namespace where there is none."""
     starts = raw.groupBy(file).agg(F.min("op_time").alias("_t0"))
     disk = "host_name" if "host_name" in raw.columns else "user_namespace"
-    return key_join(raw, starts, [file]).select(
+    return Groups.measure(raw, [file]).join(raw, starts).select(
         file,
         (F.col("op_time") - F.col("_t0")).alias("ts_record"),
         F.col(disk).alias("disk_id"),
