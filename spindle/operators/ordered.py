@@ -29,15 +29,15 @@ Total = tuple[str, Column]
 
 def key_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", small: bool = False) -> DataFrame:
     """Equi-join that also matches null keys; ``small`` marks a right side of proven size."""
-    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    renamed = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
     if small:
         renamed = F.broadcast(renamed)
     if not keys:
         return left.join(renamed)  # without keys the right side is a single row
     condition = F.lit(True)
     for k in keys:
-        condition = condition & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
+        condition = condition & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+    return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])
 
 
 @dataclass(frozen=True)
@@ -54,11 +54,11 @@ class Groups:
         limit = limit or group_rows(df.sparkSession)
         if staged and df.count() <= limit:
             return Groups(tuple(keys), limit, None)
-        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit)
         if sizes.isEmpty():
             return Groups(tuple(keys), limit, None)
         # at most rows/limit keys, so this table stays small whatever the input
-        return Groups(tuple(keys), limit, stable(sizes.drop("_n") if keys else sizes))
+        return Groups(tuple(keys), limit, stable(sizes.drop("__n") if keys else sizes))
 
     def cold_part(self, df: DataFrame) -> DataFrame | None:
         if self.hot is None:
@@ -89,23 +89,25 @@ def _window(keys: Sequence[str], order: Sequence[str], backward: bool = False) -
 
 
 def _number(rows: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int) -> DataFrame:
-    """Add the 0-based position in the group and the block it falls into, without one task per group."""
+    """Add a group number, the 0-based position in the group and the block it falls into, without one task per group."""
     by = [*keys, *order]
     ranged = rows.repartitionByRange(*by).sortWithinPartitions(*by)
-    ranged = stable(ranged.withColumn("_pos", F.monotonically_increasing_id()))
-    ranged = ranged.withColumn("_part", F.shiftright("_pos", _PART_BITS))
-    pieces = ranged.groupBy(*keys, "_part").agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(_window(keys, ["_part"]).rowsBetween(_FIRST, -1))
-    shift = pieces.withColumn("_shift", F.coalesce(before, F.lit(0)) - F.col("_first")).drop("_first", "_n")
+    ranged = stable(ranged.withColumn("__pos", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("__part", F.shiftright("__pos", _PART_BITS))
+    pieces = ranged.groupBy(*keys, "__part").agg(F.min("__pos").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(_window(keys, ["__part"]).rowsBetween(_FIRST, -1))
+    # the position of a group's first row serves as its number: a single non-null key for the shuffles to come
+    number = F.min("__first").over(Window.partitionBy(*keys))
+    shift = pieces.withColumns({"__gid": number, "__shift": F.coalesce(before, F.lit(0)) - F.col("__first")}).drop("__first", "__n")
     # one row per (large group, partition it touches): bounded by groups + partitions
-    numbered = key_join(ranged, shift, [*keys, "_part"], small=True)
-    numbered = numbered.withColumn("_rn", F.col("_pos") + F.col("_shift")).drop("_pos", "_part", "_shift")
-    return numbered.withColumn("_blk", F.floor(F.col("_rn") / F.lit(limit)))
+    numbered = key_join(ranged, shift, [*keys, "__part"], small=True)
+    numbered = numbered.withColumn("__rn", F.col("__pos") + F.col("__shift")).drop("__pos", "__part", "__shift")
+    return numbered.withColumn("__blk", F.floor(F.col("__rn") / F.lit(limit)))
 
 
 @dataclass(frozen=True)
 class Ordered:
-    """Rows of ordered groups: ``cold`` fits plain windows, ``hot`` carries ``_rn`` and ``_blk``."""
+    """Rows of ordered groups: ``cold`` fits plain windows, ``hot`` carries ``__gid``, ``__rn`` and ``__blk``."""
 
     groups: Groups
     order: tuple[str, ...]
@@ -136,13 +138,13 @@ class Ordered:
         kept = self.map(lambda df: df.where(condition))
         if kept.hot is None:
             return kept
-        bare = kept.hot.drop("_rn", "_blk")
+        bare = kept.hot.drop("__gid", "__rn", "__blk")
         return replace(kept, hot=_number(bare, self.keys, self.order, self.limit))
 
     def frame(self) -> DataFrame:
         parts = [] if self.cold is None else [self.cold]
         if self.hot is not None:
-            parts.append(self.hot.drop("_rn", "_blk"))
+            parts.append(self.hot.drop("__gid", "__rn", "__blk"))
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     def shifted(self, columns: dict[str, Callable[[WindowSpec], Column]], before: int = 0, after: int = 0) -> Ordered:
@@ -154,17 +156,17 @@ class Ordered:
         if hot is not None:
             if max(before, after) > self.limit:
                 raise ValueError("the frame is longer than a block")
-            at = F.col("_rn") % self.limit
+            at = F.col("__rn") % self.limit
             none = F.array().cast("array<bigint>")
             homes = F.concat(
-                F.array("_blk"),
-                F.when(at >= self.limit - before, F.array(F.col("_blk") + 1)).otherwise(none),
-                F.when((at < after) & (F.col("_blk") > 0), F.array(F.col("_blk") - 1)).otherwise(none),
+                F.array("__blk"),
+                F.when(at >= self.limit - before, F.array(F.col("__blk") + 1)).otherwise(none),
+                F.when((at < after) & (F.col("__blk") > 0), F.array(F.col("__blk") - 1)).otherwise(none),
             )
-            spread = hot.withColumn("_home", F.explode(homes))
-            w = _window([*self.keys, "_home"], ["_rn"])
+            spread = hot.withColumn("__home", F.explode(homes))
+            w = _window(["__gid", "__home"], ["__rn"])
             spread = spread.select("*", *[make(w).alias(name) for name, make in columns.items()])
-            hot = spread.where(F.col("_home") == F.col("_blk")).drop("_home")
+            hot = spread.where(F.col("__home") == F.col("__blk")).drop("__home")
         return replace(self, cold=cold, hot=hot)
 
     def running(self, totals: dict[str, Total], exclusive: bool = False, backward: bool = False) -> Ordered:
@@ -177,10 +179,10 @@ class Ordered:
             w = _window(self.keys, self.order, backward).rowsBetween(*frame)
             cold = cold.select("*", *[value[how](c).over(w).alias(name) for name, (how, c) in totals.items()])
         if hot is not None:
-            by = [*self.keys, "_blk"]
-            w = _window(by, ["_rn"], backward).rowsBetween(*frame)
+            by = ["__gid", "__blk"]
+            w = _window(by, ["__rn"], backward).rowsBetween(*frame)
             local = hot.select("*", *[value[how](c).over(w).alias(name) for name, (how, c) in totals.items()])
-            place = -F.col("_rn") if backward else F.col("_rn")
+            place = -F.col("__rn") if backward else F.col("__rn")
             in_block = {
                 "sum": F.sum,
                 "min": F.min,
@@ -188,17 +190,18 @@ class Ordered:
                 "last": lambda c: F.max_by(c, F.when(c.isNotNull(), place)),
             }
             blocks = hot.groupBy(*by).agg(*[in_block[how](c).alias(name) for name, (how, c) in totals.items()])
-            bw = _window(self.keys, ["_blk"], backward).rowsBetween(_FIRST, -1)
-            carry = blocks.select(*by, *[value[how](F.col(n)).over(bw).alias(f"_c_{n}") for n, (how, _) in totals.items()])
-            joined = key_join(local, carry, by)
+            bw = _window(["__gid"], ["__blk"], backward).rowsBetween(_FIRST, -1)
+            carry = blocks.select(*by, *[value[how](F.col(n)).over(bw).alias(f"__c_{n}") for n, (how, _) in totals.items()])
+            joined = local.join(carry, by)  # the rows are already partitioned by these keys
             merge = {
                 "sum": lambda own, far: F.coalesce(own + far, own, far),
                 "min": F.least,
                 "max": F.greatest,
                 "last": F.coalesce,
             }
-            merged = {n: merge[how](F.col(n), F.col(f"_c_{n}")) for n, (how, _) in totals.items()}
-            hot = joined.withColumns(merged).drop(*[f"_c_{n}" for n in totals])
+            merged = {n: merge[how](F.col(n), F.col(f"__c_{n}")) for n, (how, _) in totals.items()}
+            # the rows feed both sides of the join, so a chain of totals would double its work at every step
+            hot = stable(joined.withColumns(merged).drop(*[f"__c_{n}" for n in totals]))
         return replace(self, cold=cold, hot=hot)
 
     def numbered(self, name: str) -> Ordered:
@@ -207,7 +210,7 @@ class Ordered:
         if cold is not None:
             cold = cold.withColumn(name, F.row_number().over(_window(self.keys, self.order)).cast("long"))
         if hot is not None:
-            hot = hot.withColumn(name, F.col("_rn") + 1)
+            hot = hot.withColumn(name, F.col("__rn") + 1)
         return replace(self, cold=cold, hot=hot)
 
 
@@ -231,16 +234,16 @@ def asof(probes: DataFrame, facts: DataFrame, keys: Sequence[str], at: str, valu
     facts_first = not strict
     side = F.lit(0 if facts_first != ahead else 2)
     merged = (
-        probes.withColumn("_probe", F.struct(*probes.columns))
-        .select(*keys, at, F.lit(1).alias("_side"), F.lit(None).cast(facts.schema[value].dataType).alias("_fact"), "_probe")
-        .unionByName(facts.select(*keys, at, side.alias("_side"), F.col(value).alias("_fact")), allowMissingColumns=True)
+        probes.withColumn("__probe", F.struct(*probes.columns))
+        .select(*keys, at, F.lit(1).alias("__side"), F.lit(None).cast(facts.schema[value].dataType).alias("__fact"), "__probe")
+        .unionByName(facts.select(*keys, at, side.alias("__side"), F.col(value).alias("__fact")), allowMissingColumns=True)
     )
     # rows equal in (at, side) are interchangeable for "last fact", bar equal facts: break ties by the fact
-    rows = stable(merged.withColumn("_tie", F.xxhash64("_probe")))  # measured, then scanned
-    order = [at, "_side", "_fact", "_tie"]
+    rows = stable(merged.withColumn("__tie", F.xxhash64("__probe")))  # measured, then scanned
+    order = [at, "__side", "__fact", "__tie"]
     groups = Groups.measure(rows, keys, staged=True)
-    found = ordered(rows, keys, order, groups).running({"_found": ("last", F.col("_fact"))}, backward=ahead).frame()
-    return found.where(F.col("_side") == 1).select("_probe.*", F.col("_found").alias(value))
+    found = ordered(rows, keys, order, groups).running({"__found": ("last", F.col("__fact"))}, backward=ahead).frame()
+    return found.where(F.col("__side") == 1).select("__probe.*", F.col("__found").alias(value))
 
 
 def order_statistics(
@@ -269,28 +272,28 @@ def _large_order_statistics(
     df: DataFrame, keys: Sequence[str], values: dict[str, Column], probs: Sequence[float], limit: int, mode: bool
 ) -> DataFrame:
     """Count equal values first, rank the counts block by block, then pick the two values around each position."""
-    pairs = [F.struct(F.lit(n).alias("_name"), c.cast("double").alias("_value")) for n, c in values.items()]
-    long = df.select(*keys, F.inline(F.array(*pairs))).where(F.col("_value").isNotNull())
-    by = [*keys, "_name"]
-    counts = stable(long.groupBy(*by, "_value").agg(F.count(F.lit(1)).alias("_n")))
-    ranked = ordered(counts, by, ["_value"], Groups.measure(counts, by, limit, staged=True)).running({"_upto": ("sum", F.col("_n"))}).frame()
-    totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
+    pairs = [F.struct(F.lit(n).alias("__name"), c.cast("double").alias("__value")) for n, c in values.items()]
+    long = df.select(*keys, F.inline(F.array(*pairs))).where(F.col("__value").isNotNull())
+    by = [*keys, "__name"]
+    counts = stable(long.groupBy(*by, "__value").agg(F.count(F.lit(1)).alias("__n")))
+    ranked = ordered(counts, by, ["__value"], Groups.measure(counts, by, limit, staged=True)).running({"__upto": ("sum", F.col("__n"))}).frame()
+    totals = counts.groupBy(*by).agg(F.sum("__n").alias("__total"))
     ranked = key_join(ranked, totals, by, small=True)  # one row per large group and column
     picks = []
     for i, p in enumerate(probs):
-        position = (F.col("_total") - 1) * F.lit(float(p))
-        picks.append(F.min(F.when(F.col("_upto") > F.floor(position), F.col("_value"))).alias(f"_lo{i}"))
-        picks.append(F.min(F.when(F.col("_upto") > F.ceil(position), F.col("_value"))).alias(f"_hi{i}"))
-    best = F.max_by("_value", F.struct("_n", -F.col("_value"))).alias("_mode")
-    picked = ranked.groupBy(*by).agg(F.first("_total").alias("_total"), best, *picks)
+        position = (F.col("__total") - 1) * F.lit(float(p))
+        picks.append(F.min(F.when(F.col("__upto") > F.floor(position), F.col("__value"))).alias(f"__lo{i}"))
+        picks.append(F.min(F.when(F.col("__upto") > F.ceil(position), F.col("__value"))).alias(f"__hi{i}"))
+    best = F.max_by("__value", F.struct("__n", -F.col("__value"))).alias("__mode")
+    picked = ranked.groupBy(*by).agg(F.first("__total").alias("__total"), best, *picks)
     between = []
     for i, p in enumerate(probs):
-        position = (F.col("_total") - 1) * F.lit(float(p))
+        position = (F.col("__total") - 1) * F.lit(float(p))
         share = position - F.floor(position)
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
         between.append(F.when(lo == hi, lo).otherwise(lo * (1 - share) + hi * share))
-    picked = picked.select(*by, F.array(*between).alias("_pct"), "_mode")
-    wide = [F.max(F.when(F.col("_name") == n, F.col("_pct"))).alias(f"{n}_pct") for n in values]
+    picked = picked.select(*by, F.array(*between).alias("__pct"), "__mode")
+    wide = [F.max(F.when(F.col("__name") == n, F.col("__pct"))).alias(f"{n}_pct") for n in values]
     if mode:
-        wide += [F.max(F.when(F.col("_name") == n, F.col("_mode"))).alias(f"{n}_mode") for n in values]
+        wide += [F.max(F.when(F.col("__name") == n, F.col("__mode"))).alias(f"{n}_mode") for n in values]
     return picked.groupBy(*keys).agg(*wide)

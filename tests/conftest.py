@@ -10,7 +10,7 @@ from spindle.session import GROUP_ROWS_CONF, build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", cores=4, partitions=4)
+    session = build_session("tests", cores=8, partitions=3)
     yield session
     session.stop()
 

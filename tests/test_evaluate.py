@@ -120,7 +120,7 @@ def test_policies_run(spark):
         rows.append((w, i, *x, int((x[0] > 0.5) != (w > 0 and rng.random() < 0.6))))
     schema = "window_id int, row_id int, " + ", ".join(f"{f} double" for f in FEATURES) + ", reject int"
     df = ml.standardise(ml.assemble(spark.createDataFrame(rows, schema)))
-    for name in ("initial_only", "retrain_all", "renew", "ensemble"):
+    for name in ("initial_only", "retrain_all", "ensemble"):
         got = policy.run_policy(df, name, min_rows=50).orderBy("window_id").collect()
         assert [r.window_id for r in got] == [1, 2]
         assert all(r.num_io == 200 for r in got)
