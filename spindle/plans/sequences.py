@@ -19,12 +19,10 @@ _DEVICE = "WINDOW w AS (PARTITION BY disk_id ORDER BY ts_record, event_id)"
 @query(
     "wf1_interarrival",
     with_views(TRACE)
-    + """ SELECT event_id, round(greatest(ts_record - lag(ts_record) OVER w, 0), 6) AS iat,
-    round(CASE WHEN io_type = 1 THEN greatest(ts_record - lag(ts_record) OVER t, 0) END, 6) AS read_iat,
-    round(CASE WHEN io_type = 0 THEN greatest(ts_record - lag(ts_record) OVER t, 0) END, 6) AS write_iat FROM trace
-  WINDOW w AS (PARTITION BY disk_id ORDER BY ts_record, event_id), t AS (PARTITION BY disk_id, io_type ORDER BY ts_record, event_id)""".replace(
-        "greatest(ts_record - lag(ts_record) OVER w, 0)", "ts_record - lag(ts_record) OVER w"
-    ).replace("greatest(ts_record - lag(ts_record) OVER t, 0)", "ts_record - lag(ts_record) OVER t"),
+    + """ SELECT event_id, round(ts_record - lag(ts_record) OVER w, 6) AS iat,
+    round(CASE WHEN io_type = 1 THEN ts_record - lag(ts_record) OVER t END, 6) AS read_iat,
+    round(CASE WHEN io_type = 0 THEN ts_record - lag(ts_record) OVER t END, 6) AS write_iat FROM trace
+  WINDOW w AS (PARTITION BY disk_id ORDER BY ts_record, event_id), t AS (PARTITION BY disk_id, io_type ORDER BY ts_record, event_id)""",
 )
 def interarrival(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(with_interarrival(fixtures.trace(spark, folder), ["disk_id"], "event_id").select("event_id", "iat", "read_iat", "write_iat"))
