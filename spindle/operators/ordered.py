@@ -27,8 +27,14 @@ _PART_BITS = 33  # monotonically_increasing_id keeps the partition number above
 Total = tuple[str, Column]
 
 
-def key_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", small: bool = False) -> DataFrame:
-    """Equi-join that also matches null keys; ``small`` marks a right side of proven size."""
+def key_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", small: bool = False, nulls: bool = True
+) -> DataFrame:
+    """Equi-join; ``small`` marks a right side of proven size.
+
+    Null keys match too unless ``nulls`` says there are none: then the rows keep the partitioning by the keys that the
+    window functions after the join need, and are shuffled once instead of twice.
+    """
     renamed = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
     if small:
         renamed = F.broadcast(renamed)
@@ -36,17 +42,18 @@ def key_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
         return left.join(renamed)  # without keys the right side is a single row
     condition = F.lit(True)
     for k in keys:
-        condition = condition & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+        condition = condition & (F.col(k).eqNullSafe(F.col(f"__r_{k}")) if nulls else F.col(k) == F.col(f"__r_{k}"))
     return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])
 
 
 @dataclass(frozen=True)
 class Groups:
-    """Which groups of ``keys`` hold more than ``limit`` rows (``hot`` is None when none do)."""
+    """Which groups of ``keys`` hold more than ``limit`` rows (``hot`` is None when none do), and if a key may be null."""
 
     keys: tuple[str, ...]
     limit: int
     hot: DataFrame | None
+    nulls: bool = True
 
     @staticmethod
     def measure(df: DataFrame, keys: Sequence[str], limit: int | None = None, staged: bool = False) -> Groups:
@@ -54,11 +61,17 @@ class Groups:
         limit = limit or group_rows(df.sparkSession)
         if staged and df.count() <= limit:
             return Groups(tuple(keys), limit, None)
-        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit)
-        if sizes.isEmpty():
-            return Groups(tuple(keys), limit, None)
+        large, null_key = F.col("__n") > limit, F.lit(False)
+        for k in keys:
+            null_key = null_key | F.col(k).isNull()
+        special = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(large | null_key)
+        if special.isEmpty():
+            return Groups(tuple(keys), limit, None, nulls=False)
+        special = stable(special)
+        nulls = not special.where(null_key).isEmpty()
         # at most rows/limit keys, so this table stays small whatever the input
-        return Groups(tuple(keys), limit, stable(sizes.drop("__n") if keys else sizes))
+        hot = special.where(large)
+        return Groups(tuple(keys), limit, None if hot.isEmpty() else hot.drop("__n") if keys else hot, nulls)
 
     def cold_part(self, df: DataFrame) -> DataFrame | None:
         if self.hot is None:
@@ -74,8 +87,8 @@ class Groups:
     def join(self, rows: DataFrame, per_group: DataFrame, how: str = "inner") -> DataFrame:
         """Join a table of one row per group. Rows of large groups are not shuffled: they meet a broadcast of their few."""
         if self.hot is None or not self.keys:
-            return key_join(rows, per_group, self.keys, how, small=not self.keys)
-        cold = key_join(self.cold_part(rows), per_group, self.keys, how)
+            return key_join(rows, per_group, self.keys, how, small=not self.keys, nulls=self.nulls)
+        cold = key_join(self.cold_part(rows), per_group, self.keys, how, nulls=self.nulls)
         few = key_join(per_group, self.hot, self.keys, "left_semi", small=True)
         return cold.unionByName(key_join(self.hot_part(rows), few, self.keys, how, small=True))
 

@@ -127,3 +127,13 @@ def test_no_keys(spark, group_rows):
 def test_empty_input(spark, group_rows):
     df = spark.createDataFrame([], "k string, t int, id int, v int")
     assert ordered(df, ["k"], ["t"]).numbered("n").running({"s": ("sum", F.col("v"))}).frame().count() == 0
+
+
+def test_join_keeps_null_keys_and_all_rows(spark, group_rows):
+    rows, df = skewed(spark)
+    groups = Groups.measure(df, ["k"])
+    assert groups.nulls and not Groups.measure(df.where("k is not null"), ["k"]).nulls
+    sizes = df.groupBy("k").agg(F.count("id").alias("n"))
+    got = groups.join(df, sizes).collect()
+    assert len(got) == len(rows)
+    assert all(r.n == len(grouped(rows)[r.k]) for r in got)
