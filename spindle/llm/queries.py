@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spindle.llm.common import table
+from spindle.llm.decontaminate import contaminated
 from spindle.llm.exact import exact_duplicates
+from spindle.llm.language import identify
 from spindle.llm.secrets import scan_documents
 from spindle.llm.simhash import near_duplicates
+from spindle.llm.spans import without_repeats
+from spindle.llm.tokens import encoded_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +77,24 @@ FROM bodies WINDOW same AS (PARTITION BY body)""",
 )
 def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(table(spark, folder, "documents"))
+
+
+@_query("op8_benchmark_decontamination")
+def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@_query("op10_substring_dedup")
+def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = without_repeats(table(spark, folder, "documents"))
+    return cleaned.select("doc_id", "n_sentences", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+@_query("op5_language_id")
+def language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return identify(table(spark, folder, "documents"))
+
+
+@_query("op3_token_output")
+def token_output(spark: SparkSession, folder: str) -> DataFrame:
+    return encoded_documents(table(spark, folder, "documents"))
