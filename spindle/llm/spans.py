@@ -1,9 +1,9 @@
 """Substring duplicates: runs of consecutive sentences that occur before, in the same document or in another one.
 
-A run starts at any sentence and takes the fewest sentences that make two sentences and ``min_words`` words; sentences
-longer than that are cut into pieces of that many words first, so that a passage needs no full stops to be found. Runs
-are hashed to 128 bits and joined over all documents. The first place of a run, by document and position, stays; at
-every other place all its sentences go.
+Every run of ``RUN`` sentences with ``MIN_WORDS`` words or more is hashed to 128 bits; sentences of more than
+``MOST_WORDS`` words are cut into pieces of that many first, so that a passage needs no full stops to be found. Runs are
+joined over all documents. The first place of a run, by document and position, stays; at every other place all its
+sentences go.
 """
 
 from __future__ import annotations
@@ -19,15 +19,16 @@ from pyspark.sql import functions as F
 
 from spindle.llm.common import staged, text_or_empty
 
-MIN_SENTENCES = 2
-MIN_WORDS = 20
+RUN = 3
+MIN_WORDS = 10
+MOST_WORDS = 20
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 _WORD = re.compile(r"\S+")
 
 Piece = tuple[int, int, int, str]
 
 
-def sentences(text: str, most: int = MIN_WORDS) -> list[Piece]:
+def sentences(text: str, most: int = MOST_WORDS) -> list[Piece]:
     """(start, end, words, normalised text) of each sentence; longer ones in pieces of ``most`` words."""
     found = []
     for m in _SENTENCE.finditer(text):
@@ -44,18 +45,13 @@ def sentences(text: str, most: int = MIN_WORDS) -> list[Piece]:
     return found
 
 
-def runs(pieces: list[Piece], min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> list[tuple[bytes, int, int]]:
-    """(hash, start, end) of the shortest run from each sentence that is long enough."""
-    found, last, words = [], 0, 0
-    for first in range(len(pieces)):
-        while last < len(pieces) and (last - first < min_sentences or words < min_words):
-            words += pieces[last][2]
-            last += 1
-        if last - first < min_sentences or words < min_words:
-            break
-        text = " ".join([p[3] for p in pieces[first:last]])
-        found.append((xxhash.xxh3_128_digest(text.encode()), pieces[first][0], pieces[last - 1][1]))
-        words -= pieces[first][2]
+def runs(pieces: list[Piece], length: int = RUN, min_words: int = MIN_WORDS) -> list[tuple[bytes, int, int]]:
+    """(hash, start, end) of the runs of ``length`` sentences that have enough words."""
+    found = []
+    for part in zip(*[pieces[i:] for i in range(length)]):
+        if sum([p[2] for p in part]) >= min_words:
+            text = " ".join([p[3] for p in part])
+            found.append((xxhash.xxh3_128_digest(text.encode()), part[0][0], part[-1][1]))
     return found
 
 
