@@ -14,6 +14,7 @@ A short document is read from one block (found by its range of ids) and decompre
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,19 +38,25 @@ DICTIONARY_BYTES = 64_000
 LEVEL = 3
 BLOCK_BYTES = 1 << 20
 #: Words whose ids a worker remembers, and the longest of them in bytes.
-WORDS, WORD_BYTES = 400_000, 48
+WORDS, WORD_BYTES = 1_000_000, 48
 BLOCKS = (
     "shard int, block int, first_id long, last_id long, dict_hash string, start long, tokens long, "
     "ids array<long>, offsets array<long>, n_tokens array<long>, payload binary"
 )
 
 
+_PLAIN = re.compile(rb"[a-z]+")
+_MARKS = re.compile(rb"(?<=[a-z0-9])([.,!?;:]+)(?=\s|$)")
+_COMBINED = re.compile("[A-Z][^\x00-\u02ff]")
+
+
 class Encoder:
     """Ids of texts as bytes, equal to those the tokenizer gives for the whole text.
 
     The tokenizer drops white space and never looks across it, so a text's ids are those of its words one after the other;
-    most words of a corpus have been seen before. ASCII texts are lower-cased first, as the tokenizer would, unless
-    they hold what may be a special token.
+    most words of a corpus have been seen before. So that more of them have, marks after a word become a word (the
+    tokenizer splits there too) and ASCII letters are lower-cased first, as it would do; not in texts that may hold a
+    special token, or a capital that a combining character follows. Words of ASCII letters go to its model directly.
     """
 
     def __init__(self, path: str):
@@ -58,17 +65,22 @@ class Encoder:
         self.words: dict[bytes, bytes] = {}
 
     def _encode(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
+        if _PLAIN.fullmatch(word):
+            ids = [t.id for t in self.tokenizer.model.tokenize(word.decode())]
+        else:
+            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+        return np.array(ids, self.dtype).tobytes()
 
     def encode(self, text: str) -> bytes:
         raw = text.encode()
-        words = (raw.lower() if text.isascii() and "<|" not in text else raw).split()
+        if "<|" not in text and (text.isascii() or not _COMBINED.search(text)):
+            raw = _MARKS.sub(rb" \1", raw.lower())
+        words = raw.split()
         if len(self.words) > WORDS:
             self.words.clear()
         known, rare = self.words, {}
-        for word in set(words):
-            if word not in known:
-                (known if len(word) <= WORD_BYTES else rare)[word] = self._encode(word)
+        for word in set(words).difference(known):
+            (known if len(word) <= WORD_BYTES else rare)[word] = self._encode(word)
         if rare:
             known = {w: known[w] if w in known else rare[w] for w in set(words)}
         return b"".join([known[w] for w in words])
