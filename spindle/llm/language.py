@@ -27,8 +27,8 @@ BUCKETS = 1 << 14
 SMOOTHING = 0.5
 #: How steeply loss falls with a margin, and a score with the difference of losses.
 STEEPNESS = 4.0
-#: Texts with a lower score are ambiguous.
-CLEAR = 0.55
+#: Texts with a lower score are ambiguous: the other languages together are as likely.
+CLEAR = 0.5
 UNKNOWN = "und"
 
 
@@ -153,3 +153,14 @@ def identify(docs: DataFrame) -> DataFrame:
     model = train(learning_rows(docs))
     found = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), prediction(model).alias("p"))
     return found.select("doc_id", "held_out", "p.*")
+
+
+def known_language(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose language is told, all columns kept: texts without a letter and ambiguous ones go.
+
+    Where there is nothing to learn from, only texts without a letter go.
+    """
+    model = train(learning_rows(docs))
+    if not model.languages:
+        return docs.where(text_or_empty().rlike(r"\p{L}"))
+    return docs.where(~prediction(model)["ambiguous"])

@@ -11,6 +11,9 @@ from spindle.llm.common import table
 from spindle.llm.decontaminate import contaminated
 from spindle.llm.exact import exact_duplicates
 from spindle.llm.language import identify
+from spindle.llm.lines import repeated_lines
+from spindle.llm.mixing import mix
+from spindle.llm.quotes import linked_messages
 from spindle.llm.secrets import scan_documents
 from spindle.llm.simhash import near_duplicates
 from spindle.llm.spans import without_repeats
@@ -98,3 +101,19 @@ def language_id(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op3_token_output")
 def token_output(spark: SparkSession, folder: str) -> DataFrame:
     return encoded_documents(table(spark, folder, "documents"))
+
+
+@_query("op4_chat_quotes")
+def chat_quotes(spark: SparkSession, folder: str) -> DataFrame:
+    return linked_messages(table(spark, folder, "conversations"))
+
+
+@_query("op7_mix_sources")
+def mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(table(spark, folder, "documents")).drop("source")
+
+
+@_query("op9_line_dedup")
+def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeated_lines(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindle.llm.common import staged, text_or_empty
+from spindle.llm.common import row_digest, staged, text_or_empty
 from spindle.llm.graph import components
 
 SHINGLE_WORDS = 3
@@ -122,6 +122,16 @@ def linked_pairs(fingerprints: DataFrame, full_bucket: int = FULL_BUCKET) -> Dat
     return pairs.distinct()
 
 
+def _placed(docs: DataFrame, full_bucket: int) -> DataFrame:
+    """Rows of (doc_id, fp, ...) with ``root``, a name of the component, and ``component_id``, its least doc_id."""
+    distinct = staged(docs.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(linked_pairs(distinct, full_bucket))
+    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = staged(rooted)
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return docs.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", full_bucket: int = FULL_BUCKET) -> DataFrame:
     """One row per row of ``docs``: its id, ``fingerprint`` (16 hex digits) and ``component_id``.
 
@@ -130,10 +140,20 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     own fingerprint; a component without any id has a null id. An empty table gives an empty result.
     """
     marked = staged(docs.select(F.col(id_column).alias("doc_id"), _fingerprints(text_or_empty(text_column)).alias("fp")))
-    distinct = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(linked_pairs(distinct, full_bucket))
-    placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    placed = staged(placed)
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    shown = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return _placed(marked, full_bucket).select("doc_id", shown, "component_id")
+
+
+def one_of_each(docs: DataFrame, full_bucket: int = FULL_BUCKET) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the row with the least doc_id (null last).
+
+    Of rows with one id and nearly one text, the row with the least hash of all its columns stays; of rows equal in all
+    columns, one. All columns are kept.
+    """
+    digest = row_digest(docs)
+    marked = staged(docs.select("doc_id", digest.alias("digest"), _fingerprints(text_or_empty()).alias("fp")))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("best")
+    chosen = staged(_placed(marked, full_bucket).groupBy("root").agg(best).select("best.doc_id", "best.digest"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), digest.alias("of"))
+    kept = rows.join(chosen, rows["id"].eqNullSafe(chosen["doc_id"]) & (rows["of"] == chosen["digest"]), "left_semi")
+    return kept.dropDuplicates(["id", "of"]).select("row.*")

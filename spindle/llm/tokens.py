@@ -97,8 +97,10 @@ def default_tokenizer() -> str:
 
 def train_dictionary(docs: DataFrame, tokenizer: str, sample_docs: int = SAMPLE_DOCS) -> bytes:
     """A dictionary from the serialised ids of a bounded sample. Too small a sample becomes the dictionary as it is."""
-    few = docs.select("doc_id", text_or_empty().alias("text")).where(F.length("text") <= SAMPLE_CHARS)
-    few = few.orderBy(F.xxhash64("doc_id", "text")).limit(sample_docs)
+    short = docs.select(text_or_empty().alias("text"), "doc_id").where(F.length("text") <= SAMPLE_CHARS)
+    marked = short.select("text", F.xxhash64("doc_id", "text").alias("h"))
+    least = [r["h"] for r in marked.select("h").orderBy("h").limit(sample_docs).collect()]
+    few = marked.where(F.col("h") <= (least[-1] if least else 0)).limit(sample_docs)
     ids = F.udf(lambda t: bytearray(encoder(tokenizer).encode(t)), "binary")
     samples = sorted(bytes(r[0]) for r in few.select(ids("text")).collect())
     try:
