@@ -123,7 +123,7 @@ def permuted(index: str, size: str, key: str, rounds: int = ROUNDS) -> Column:
 def slots(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
     """(shard, slot, sid, block): what the mix takes, in the order of shards. No block is taken more than PASSES times."""
     counts = shard_counts(targets, block_words, shard_slots, seed)
-    numbered = counts.select("shard", "sid", "blocks", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
+    numbered = counts.repartition("shard", "sid").select("shard", "sid", "blocks", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
     numbered = numbered.where(F.col("slot") < PASSES * F.col("blocks"))
     passes = numbered.withColumn("pass", F.expr("slot div blocks")).withColumn("at", F.expr("slot % blocks"))
     return passes.select("shard", "slot", "sid", permuted("at", "blocks", f"{seed}, sid, pass").alias("block"))
@@ -136,7 +136,8 @@ def taken_parts(located: DataFrame, taken: DataFrame, keys: list[str], block_wor
     cut = located.where("size > 0").select(*keys, "sid", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
     low = F.greatest(F.col("block") * block_words, F.col("start")) - F.col("start")
     high = F.least((F.col("block") + 1) * block_words, F.col("start") + F.col("size")) - F.col("start")
-    return cut.join(used, ["sid", "block"]).select(*keys, low.alias("from"), high.alias("to"), "n")
+    # the planner takes slots for few rows, as they come from few shards: they must not be sent to all tasks
+    return cut.join(used.hint("merge"), ["sid", "block"]).select(*keys, low.alias("from"), high.alias("to"), "n")
 
 
 def _located(docs: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
