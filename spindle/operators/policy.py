@@ -5,7 +5,6 @@ The driver loops over window numbers only; fitting, scoring and row selection ar
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,62 +83,3 @@ def _update(models: list, policy: str, rows: DataFrame, scored: DataFrame, score
     else:
         models[:] = [fresh]
     return True
-
-
-@dataclass
-class SurfState:
-    """State of the stable/reactive policy over a table of one accuracy per window and learner."""
-
-    delta: float = 0.1
-    reactive_length: int = 3
-    window: int = 2
-    state: str = "stable"
-    use: str = "pred"
-    best: float = 0.0
-    counter: int = 0
-    trained: dict[str, list[int]] = field(default_factory=lambda: {"pred": [], "stab": [], "reac": []})
-    seen: dict[str, list[float]] = field(default_factory=lambda: {"pred": [], "reac": []})
-
-    def _learn(self, key: str, window: int) -> None:
-        self.trained[key] = [*self.trained[key], window][-self.window :]
-
-    def step(self, window: int, pred: float, stab: float, reac: float) -> str:
-        """Advance by one window given the accuracies of the three learners; returns the state it was handled in."""
-        self.best = max(self.best, pred)
-        if self.state == "stable":
-            known = stab if self.trained["stab"] else 0.0
-            if pred < self.best - self.delta or pred < known - self.delta / 2:
-                self.state, self.counter = "reactive", 0
-                self.trained["reac"] = []
-                self.seen = {"pred": [], "reac": []}
-            else:
-                self._learn("pred", window)
-                self._learn("stab", window)
-        handled = self.state
-        if self.state == "reactive":
-            if self.counter > 0:
-                self.seen["pred"].append(pred)
-                self.seen["reac"].append(reac)
-                self.use = "reac" if reac > pred else "pred"
-            self._learn("pred", window)
-            self._learn("reac", window)
-            self.counter += 1
-            if self.counter == self.reactive_length:
-                self.state = "stable"
-                self.trained["stab"] = []
-                # the last slot of the fixed-length score lists stays 0 in both, so it does not change the order
-                if sum(self.seen["pred"]) < sum(self.seen["reac"]):
-                    self.trained["pred"] = self.trained["reac"]
-                    self.best = max([*self.seen["reac"], 0.0])
-                    self.use = "pred"
-        return handled
-
-
-def stable_reactive(accuracies: DataFrame, **settings) -> DataFrame:
-    """State per window. ``accuracies`` has one row per window (``window_id, pred, stab, reac``), so it is small."""
-    surf = SurfState(**settings)
-    rows = []
-    for r in accuracies.orderBy("window_id").toLocalIterator():
-        handled = surf.step(r["window_id"], r["pred"], r["stab"], r["reac"])
-        rows.append((r["window_id"], handled, surf.use, float(surf.best)))
-    return accuracies.sparkSession.createDataFrame(rows, "window_id bigint, state string, use_model string, best_accuracy double")

@@ -65,7 +65,7 @@ def pick(df: DataFrame, strata: Sequence[str], ids: Sequence[str], n: int, seed:
     return ranked(df, strata, ids, seed).where(F.col("pick") <= n)
 
 
-def cap_rows(df: DataFrame, strata: Sequence[str], ids: Sequence[str], n: int = 50_000, seed: int = 42) -> DataFrame:
+def cap_rows(df: DataFrame, strata: Sequence[str], ids: Sequence[str], n: int, seed: int = 42) -> DataFrame:
     """At most ``n`` random rows per stratum, for a side-by-side comparison."""
     return pick(df, strata, ids, n, seed).drop("pick")
 

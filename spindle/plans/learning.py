@@ -73,14 +73,6 @@ def forest_overlap(spark: SparkSession, folder: str) -> DataFrame:
     return joins.leaf_overlap(newest, counts)
 
 
-@query("ev20_stable_reactive")
-def stable_reactive(spark: SparkSession, folder: str) -> DataFrame:
-    hit = (F.col("label") == F.col("prediction")).cast("double")
-    by_model = fixtures.prediction(spark, folder).groupBy("window_id").pivot("model", ["m0", "m1", "m2"]).agg(F.avg(hit))
-    accuracies = by_model.select("window_id", *[F.coalesce(F.col(m), F.lit(0.0)).alias(n) for m, n in (("m0", "pred"), ("m1", "stab"), ("m2", "reac"))])
-    return policy.stable_reactive(accuracies)
-
-
 @query("ev21_policies")
 def policies(spark: SparkSession, folder: str) -> DataFrame:
     rows = training(spark, folder, per_window=10)

@@ -162,19 +162,39 @@ def read_replayed(spark: SparkSession, folder: str) -> DataFrame:
     names = ["ts_record", "latency", "io_type", "size", "offset", "ts_submit", "size_after_replay"]
     path = scratch_path(spark, "replayed")
     fixtures.replayed(spark, folder).select(*names).write.csv(path)
-    return readers.read_replayed(spark, path)
+    return readers.read_replayed(spark, path).select(*names)
 
 
 @query(
     "src7_read_replayed_device",
-    with_views(TRACE, REPLAYED)
-    + ' SELECT ts_record, latency, io_type, size, "offset", CAST(disk_id AS INTEGER) AS device, ts_submit, size_after_replay FROM replayed',
+    with_views(TRACE, REPLAYED) + ' SELECT ts_record, latency, io_type, size, "offset", ts_submit, CAST(disk_id AS INTEGER) AS device, ts_record AS ts FROM replayed',
 )
 def read_replayed_device(spark: SparkSession, folder: str) -> DataFrame:
-    rows = fixtures.replayed(spark, folder).withColumn("device", F.col("disk_id"))
-    names = spark.createDataFrame([], readers.REPLAYED_DEVICE).columns
     path = scratch_path(spark, "replayed-device")
-    rows.select(*names).write.csv(path)
+    names = _write_replayed_device(fixtures.replayed(spark, folder), path)
+    return readers.read_replayed(spark, path).select(*names)
+
+
+def _write_replayed_device(rows: DataFrame, path: str) -> list[str]:
+    rows = rows.withColumn("device", F.col("disk_id")).withColumn("ts", F.col("ts_record"))
+    names = ["ts_record", "latency", "io_type", "size", "offset", "ts_submit", "device", "ts"]
+    rows.select(*names).write.mode("append").csv(path)
+    return names
+
+
+@query(
+    "src7_mixed_files",
+    with_views(TRACE, REPLAYED)
+    + """ SELECT ts_record, latency, io_type, size, "offset", ts_submit, CASE WHEN event_id % 2 = 0 THEN size_after_replay END AS size_after_replay,
+    CASE WHEN event_id % 2 = 1 THEN CAST(disk_id AS INTEGER) END AS device, CASE WHEN event_id % 2 = 1 THEN ts_record END AS ts FROM replayed""",
+)
+def read_mixed_replayed(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of both forms in one folder."""
+    path = scratch_path(spark, "replayed-mixed")
+    rows = fixtures.replayed(spark, folder)
+    _write_replayed_device(rows.where("event_id % 2 = 1"), path)
+    names = ["ts_record", "latency", "io_type", "size", "offset", "ts_submit", "size_after_replay"]
+    rows.where("event_id % 2 = 0").select(*names).write.mode("append").csv(path)
     return readers.read_replayed(spark, path)
 
 

@@ -18,7 +18,7 @@ TENCENT = "timestamp double, offset bigint, size bigint, read int, volume bigint
 ALIBABA = "device_id int, opcode string, offset bigint, length int, timestamp bigint"
 MSRC = "timestamp bigint, hostname string, disk_id string, type string, offset bigint, size bigint, response_time bigint"
 REPLAYED = "ts_record double, latency bigint, io_type int, size bigint, offset bigint, ts_submit double, size_after_replay bigint"
-REPLAYED_DEVICE = "ts_record double, latency bigint, io_type int, size bigint, offset bigint, device int, ts_submit double, size_after_replay bigint"
+REPLAYED_DEVICE = "ts_record double, latency bigint, io_type int, size bigint, offset bigint, ts_submit double, device int, ts double"
 _TECTONIC = "block_id bigint, io_offset bigint, io_size bigint, op_time double, op_name int"
 TECTONIC = {
     2019: f"{_TECTONIC}, pipeline string, user_namespace string, user_name string",
@@ -140,10 +140,12 @@ def read_tectonic(spark: SparkSession, path: str, year: int) -> DataFrame:
 
 
 def read_replayed(spark: SparkSession, path: str) -> DataFrame:
-    """The 7-column form, or the 8-column form with a device; told apart by the first line."""
-    first = spark.read.text(path).first()
-    wide = first is not None and first[0].count(",") == 7
-    return spark.read.schema(REPLAYED_DEVICE if wide else REPLAYED).csv(path)
+    """The 7-column form and the 8-column form with a device, told apart line by line; what a form lacks is null."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    wide = F.size(F.split("value", ",")) == 8
+    forms = [F.when(chosen, F.from_csv("value", layout)).alias(name) for name, chosen, layout in (("_w", wide, REPLAYED_DEVICE), ("_n", ~wide, REPLAYED))]
+    both = [f"coalesce(_w.{c}, _n.{c}) AS {c}" for c in ("ts_record", "latency", "io_type", "size", "offset", "ts_submit")]
+    return lines.select(*forms).selectExpr(*both, "_n.size_after_replay", "_w.device", "_w.ts")
 
 
 def read_window_lists(spark: SparkSession, path: str) -> DataFrame:

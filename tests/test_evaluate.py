@@ -103,14 +103,6 @@ def test_top_up(spark):
     assert sampling.top_up_missing_class(both, everything, ["w"], ["id"]).count() == 20
 
 
-def test_stable_reactive_states(spark):
-    rows = [(0, 0.9, 0.0, 0.0), (1, 0.9, 0.9, 0.0), (2, 0.6, 0.9, 0.0), (3, 0.6, 0.0, 0.8), (4, 0.6, 0.0, 0.8), (5, 0.85, 0.0, 0.0)]
-    df = spark.createDataFrame(rows, "window_id bigint, pred double, stab double, reac double")
-    got = policy.stable_reactive(df).orderBy("window_id").collect()
-    assert [r.state for r in got] == ["stable", "stable", "reactive", "reactive", "reactive", "stable"]
-    assert [r.use_model for r in got] == ["pred", "pred", "pred", "reac", "pred", "pred"]
-
-
 def test_policies_run(spark):
     rng = random.Random(23)
     rows = []
