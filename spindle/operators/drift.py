@@ -22,6 +22,10 @@ from spindle.session import stable
 KEY = ["series"]
 
 
+#: Width of the slots through which ends are looked up between two rows.
+SLOT_ROWS = 1024
+
+
 @dataclass(frozen=True)
 class DriftSettings:
     threshold: float = 250.0  # height of one value group
@@ -408,7 +412,11 @@ def monotone_between(pairs: DataFrame, rows: DataFrame, start: str, end: str) ->
 
 
 def find_drifts_v1(series: DataFrame, settings: DriftSettings) -> DataFrame:
-    """Recurring (same mode), incremental (monotone mode) and sudden (group step of 2 or more) drifts between stationary ends."""
+    """Recurring (same mode), incremental (monotone mode) and sudden (group step of 2 or more) drifts between stationary ends.
+
+    A start has one recurring drift, to the first end that returns, and other drifts to ends before it. That end is
+    looked up along the series, so only ends that can still count are joined; a drift may be of any length.
+    """
     rows = stable(stability_v1(series, settings))
     ends = concept_ends(rows, settings)
     left = ends.select("series", F.col("idx").alias("end_a"), (F.col("idx") - F.col("stability")).alias("_from"))
@@ -417,36 +425,33 @@ def find_drifts_v1(series: DataFrame, settings: DriftSettings) -> DataFrame:
     starts = runs.run_start_before(left.join(at, ["series", "_from"]), "_from", "_g", "start")
     first = rows.select("series", F.col("idx").alias("start"), F.col("mode").alias("start_mode"), F.col("group").alias("start_group"))
     begins = starts.groupBy("series", "start").agg(F.min("end_a").alias("end_a")).join(first, ["series", "start"])
-    # drifts of at most ``reach`` rows, found through slots as in ``candidate_pairs``
-    slot = F.floor(F.col("idx") / settings.reach)
-    right = ends.select(
-        "series",
-        F.col("idx").alias("end_idx"),
-        F.col("mode").alias("end_mode"),
-        F.col("group").alias("end_group"),
-        F.explode(F.array(slot, slot - 1)).alias("_slot"),
-    )
-    pairs = begins.withColumn("_slot", F.floor(F.col("start") / settings.reach)).join(right, ["series", "_slot"])
-    length = F.col("end_idx") - F.col("start")
-    pairs = pairs.where((F.col("end_a") < F.col("end_idx")) & (length >= settings.min_length) & (length < settings.reach))
-    pairs = stable(pairs.drop("_slot", "end_a"))
-    same = pairs.where(F.col("start_mode") == F.col("end_mode"))
+    begins = begins.withColumn("_from", F.greatest(F.col("end_a") + 1, F.col("start") + settings.min_length))
+    # the first end that returns: in the group of the start, or after a steady row of that group
     steady = rows.where((F.col("stability") > 0) & (F.col("stability_group") > settings.stability))
     facts = steady.select("series", F.col("group").alias("start_group"), F.col("idx").alias("_at"), F.col("idx").alias("_i"))
-    same = asof(same.withColumn("_at", F.col("end_idx")), facts, ["series", "start_group"], "_at", "_i", strict=True).drop("_at")
-    reached = F.when(F.col("start_group") == F.col("end_group"), F.col("end_idx")).when(F.col("_i") >= F.col("start"), F.col("_i"))
-    same = same.withColumn("end", reached).where(F.col("end").isNotNull())
-    # one recurring drift per start: the first end that returns
-    recurring = same.groupBy("series", "start").agg(F.min(F.struct("end_idx", "end")).alias("_e"))
-    recurring = recurring.select("series", "start", F.col("_e.end").alias("end"), F.col("_e.end_idx").alias("_seen"))
+    back = ends.select("series", F.col("mode").alias("start_mode"), F.col("group").alias("start_group"), F.col("idx").alias("_at"), F.col("idx").alias("_e"))
+    seen = asof(begins.withColumn("_at", F.col("_from")), back, ["series", "start_mode", "start_group"], "_at", "_e", ahead=True).withColumnRenamed("_e", "_home")
+    seen = asof(seen.withColumn("_at", F.col("start")), facts, ["series", "start_group"], "_at", "_i", ahead=True)
+    seen = seen.withColumn("_at", F.greatest(F.col("_from"), F.col("_i") + 1))
+    seen = asof(seen, back.drop("start_group"), ["series", "start_mode"], "_at", "_e", ahead=True).drop("_at")
+    seen = stable(seen.withColumn("_seen", F.least("_home", F.when(F.col("_i").isNotNull(), F.col("_e")))).drop("_e", "_i", "end_a"))
+    again = asof(seen.where("_seen is not null").withColumn("_at", F.col("_seen")), facts, ["series", "start_group"], "_at", "_i", strict=True)
+    reached = F.when(F.col("_home") == F.col("_seen"), F.col("_seen")).otherwise(F.col("_i"))
+    recurring = again.select("series", "start", reached.alias("end"))  # one per start
+    # the other drifts of a start end before that: neither a later step nor a later jump counts
+    final = ends.groupBy("series").agg(F.max("idx").alias("_final"))
+    spread = seen.join(final, "series").withColumn("_to", F.coalesce(F.col("_seen") - 1, "_final")).where(F.col("_from") <= F.col("_to"))
+    slots = [F.floor(F.col(c) / SLOT_ROWS) for c in ("_from", "_to", "idx")]
+    right = ends.select(
+        "series", F.col("idx").alias("end_idx"), F.col("mode").alias("end_mode"), F.col("group").alias("end_group"), slots[2].alias("_slot")
+    )
+    pairs = spread.withColumn("_slot", F.explode(F.sequence(slots[0], slots[1]))).join(right, ["series", "_slot"])
+    pairs = stable(pairs.where(F.col("end_idx").between(F.col("_from"), F.col("_to"))).drop("_slot", "_from", "_to", "_final", "_home", "_seen"))
     other = monotone_between(pairs.where(F.col("start_mode") != F.col("end_mode")), rows, "start", "end_idx")
     steady_rise = F.col("is_increasing") | F.col("is_decreasing")
     incremental = other.where(steady_rise).select("series", "start", F.col("end_idx").alias("end"), F.lit("incremental").alias("type"))
     jumps = other.where(~steady_rise & (F.abs(F.col("end_group") - F.col("start_group")) >= 2))
     jumps = runs.run_end_after(jumps, "end_idx", "end_group", "end")
-    # a recurring drift found at an earlier end suppresses the later jumps from the same start
-    jumps = jumps.join(recurring.select("series", "start", "_seen"), ["series", "start"], "left")
-    jumps = jumps.where(F.col("_seen").isNull() | (F.col("_seen") > F.col("end_idx")))
     found = recurring.select("series", "start", "end", F.lit("recurring").alias("type")).unionByName(incremental)
     return found.unionByName(jumps.select("series", "start", "end", F.lit("sudden").alias("type")))
 
@@ -536,49 +541,63 @@ def normal_cdf(z: Column) -> Column:
     return 1 - F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * poly
 
 
-def _first_trend_end(modes: np.ndarray, min_length: int, reach: int, alpha: float) -> int:
-    """Smallest length of a trending segment that starts at the first mode, 0 if there is none."""
-    x = modes[:reach]
-    steps = np.diff(x)
-    counts, ties, s = {}, 0.0, 0
-    for n, value in enumerate(x.tolist(), start=1):
+def _first_trend_end(modes: np.ndarray, min_length: int, alpha: float, complete: bool) -> int:
+    """Smallest length of a trending segment that starts at the first mode, 0 if there is none.
+
+    Once the modes have stepped back by more than 1 both ways no later end can trend. If the rows end before that and
+    are not ``complete``, the answer is -1.
+    """
+    counts, ties, s, down, up = {}, 0.0, 0, 0, 0
+    first = last = modes[0]
+    for n, value in enumerate(modes.tolist(), start=1):
+        down, up, last = min(down, value - last), max(up, value - last), value
+        if down < -1 and up > 1:
+            return 0
         s += sum(c * ((value > other) - (value < other)) for other, c in counts.items())
         t = counts.get(value, 0)
         ties += (t + 1) * t * (2 * t + 7) - t * (t - 1) * (2 * t + 5)
         counts[value] = t + 1
-        if n <= min_length or x[0] == value:
-            continue
-        back = steps[: n - 1]
-        if (x[0] < value and back.min() < -1) or (x[0] > value and back.max() > 1):
+        if n <= min_length or first == value or (down < -1 if first < value else up > 1):
             continue
         variance = (n * (n - 1) * (2 * n + 5) - ties) / 18
         if variance > 0 and math.erfc(max(abs(s) - 1, 0) / math.sqrt(variance) / math.sqrt(2)) < alpha and s != 0:
             return n
-    return 0
+    return 0 if complete else -1
 
 
-def trending_segments(rows: DataFrame, min_length: int = 50, reach: int = 3600, alpha: float = 0.05) -> DataFrame:
+def trending_segments(rows: DataFrame, min_length: int = 50, slot_rows: int = 3600, alpha: float = 0.05) -> DataFrame:
     """Non-overlapping segments whose mode moves one way, found from left to right: ``series, start, end``.
 
-    The first trending end of every start is found independently, in slots of ``reach`` rows that also see the next
-    slot. Which starts the left-to-right scan picks follows from the starts it jumps to; the chain is followed in
-    doubling steps, so no series has to fit one task.
+    The first trending end of every start is found independently, in slots of ``slot_rows`` rows that also see the
+    next slot. Starts whose answer lies further on are looked at again in slots of twice the size, until none is left,
+    so segments may be of any length. Which starts the left-to-right scan picks follows from the starts it jumps to;
+    the chain is followed in doubling steps.
     """
-    slot = F.floor(F.col("idx") / reach)
     # a segment ends before the last row of its series
     last = rows.groupBy("series").agg(F.max("idx").alias("_last"))
-    rows = rows.join(last, "series").where(F.col("idx") < F.col("_last"))
-    seen = rows.select("series", "idx", "mode", F.explode(F.array(slot, slot - 1)).alias("_slot")).where(F.col("_slot") >= 0)
-
-    def ends(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("idx")
-        idx, modes = part["idx"].to_numpy(), part["mode"].to_numpy()
-        mine = np.flatnonzero(idx // reach == key[1])
-        lengths = np.array([_first_trend_end(modes[i : i + reach], min_length, reach, alpha) for i in mine], dtype="int64")
-        hit = mine[lengths > 0]
-        return pd.DataFrame({"series": key[0], "start": idx[hit], "end": idx[hit] + lengths[lengths > 0]})
-
-    found = stable(seen.groupBy("series", "_slot").applyInPandas(ends, "series string, start bigint, `end` bigint"))
+    rows = stable(rows.select("series", "idx", "mode").join(last, "series").where(F.col("idx") < F.col("_last")))
+    found, open_, width = None, rows.select("series", "idx").withColumn("_open", F.lit(True)), slot_rows
+    while not open_.isEmpty():
+
+        def ends(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+            part = part.sort_values("idx")
+            idx, modes = part["idx"].to_numpy(), part["mode"].to_numpy()
+            mine = np.flatnonzero((idx // width == key[1]) & part["_open"].to_numpy(bool))
+            complete = bool(len(idx) and idx[-1] + 1 >= part["_last"].iloc[0])
+            lengths = np.array([_first_trend_end(modes[i:], min_length, alpha, complete) for i in mine], dtype="int64")
+            return pd.DataFrame({"series": key[0], "start": idx[mine], "length": lengths})[lengths != 0]
+
+        slot = F.floor(F.col("idx") / width)
+        tagged = rows.join(open_, ["series", "idx"], "left").withColumn("_open", F.coalesce("_open", F.lit(False)))
+        wanted = open_.select("series", slot.alias("_slot")).distinct()
+        seen = tagged.withColumn("_slot", F.explode(F.array(slot, slot - 1))).join(wanted, ["series", "_slot"], "left_semi")
+        judged = stable(seen.groupBy("series", "_slot").applyInPandas(ends, "series string, start bigint, length bigint"))
+        sure = judged.where("length > 0").select("series", "start", (F.col("start") + F.col("length")).alias("end"))
+        found = sure if found is None else found.unionByName(sure)
+        open_, width = judged.where("length < 0").select("series", F.col("start").alias("idx"), F.lit(True).alias("_open")), 2 * width
+    if found is None:
+        return rows.select("series", F.col("idx").alias("start"), F.col("idx").alias("end"))  # no rows
+    found = stable(found)
     # from a picked segment the scan goes on one row after its end, to the next start that has an end
     facts = found.select("series", F.col("start").alias("_at"), F.col("start").alias("_to"))
     hops = asof(found.withColumn("_at", F.col("end") + 1), facts, KEY, "_at", "_to", ahead=True)

@@ -24,7 +24,7 @@ def _fit(rows: DataFrame, kind: str):
     return ml.fit_classifier(rows, kind)
 
 
-def run_policy(df: DataFrame, policy: str, window: str = "window_id", row: str = "row_id", kind: str = "logistic", min_rows: int = 100, ensemble_limit: int = 5) -> DataFrame:
+def run_policy(df: DataFrame, policy: str, window: str = "window_id", row: str = "row_id", kind: str = "logistic", min_rows: int = 100) -> DataFrame:
     """One row of scores per later window. ``df`` holds window, row id, the scaled features and ``reject``."""
     if policy not in POLICIES:
         raise ValueError(f"unknown policy: {policy}")
@@ -40,7 +40,7 @@ def run_policy(df: DataFrame, policy: str, window: str = "window_id", row: str =
         scores = ev.evaluate(scored, []).join(ev.confidence_cases(scored, []).drop("num_io")).first().asDict()
         retrained = False
         if policy != "initial_only":
-            retrained = _update(models, policy, rows, scored, scores, row, kind, min_rows, ensemble_limit)
+            retrained = _update(models, policy, rows, scored, scores, row, kind, min_rows)
         keep = ("num_io", "accuracy", "auc", "fpr", "fnr", "entropy", "uncertainty", "percent_best_case", "percent_worst_case", "percent_lucky_case", "percent_clueless_case")
         results.append((policy, int(current), *[float(scores[k]) for k in keep], retrained, len(models)))
     schema = "algo string, window_id bigint, " + ", ".join(f"{k} double" for k in keep) + ", retrained boolean, models int"
@@ -57,7 +57,7 @@ def _predict(models: list, rows: DataFrame, row: str) -> DataFrame:
     return stable(ev.ensemble(every, [row]))
 
 
-def _update(models: list, policy: str, rows: DataFrame, scored: DataFrame, scores: dict, row: str, kind: str, min_rows: int, limit: int) -> bool:
+def _update(models: list, policy: str, rows: DataFrame, scored: DataFrame, scores: dict, row: str, kind: str, min_rows: int) -> bool:
     if policy == "renew":
         if scores["accuracy"] >= 0.8:
             return False
@@ -79,7 +79,6 @@ def _update(models: list, policy: str, rows: DataFrame, scored: DataFrame, score
         return False
     if policy == "ensemble":
         models.append(fresh)
-        del models[:-limit]
     else:
         models[:] = [fresh]
     return True

@@ -172,10 +172,62 @@ def test_trending_segments(spark):
     rng = random.Random(16)
     modes = [3 + i // 9 + rng.randint(0, 1) if i < 60 else 9 - (i - 60) // 7 + rng.randint(0, 1) for i in range(110)]
     df = spark.createDataFrame([("a", i, m) for i, m in enumerate(modes)], "series string, idx bigint, mode int")
-    got = sorted((r.start, r.end) for r in drift.trending_segments(df, min_length=8, reach=60).collect())
+    got = sorted((r.start, r.end) for r in drift.trending_segments(df, min_length=8, slot_rows=60).collect())
     assert got == greedy(modes, 8)
 
 
+def test_trending_segments_longer_than_a_slot(spark):
+    rng = random.Random(17)
+    modes = [3 + i // 60 + rng.randint(0, 1) for i in range(90)] + [4] * 60 + [9, 2] + [5 - i // 9 for i in range(45)]
+    df = spark.createDataFrame([("a", i, m) for i, m in enumerate(modes)], "series string, idx bigint, mode int")
+    for slot_rows in (5, 13, 1000):
+        got = sorted((r.start, r.end) for r in drift.trending_segments(df, min_length=8, slot_rows=slot_rows).collect())
+        assert got == greedy(modes, 8)
+    assert drift.trending_segments(df.limit(0)).collect() == []
+
+
+def first_finder(rows, s):
+    """The first finder over all pairs of ends."""
+    n = len(rows)
+    ends = [i for i in range(n - 1) if rows[i].stability >= s.stability and rows[i + 1].stability == 0]
+    group, mode = [r.group for r in rows], [r["mode"] for r in rows]
+    starts = {}
+    for e in ends:
+        at = e - rows[e].stability
+        start = next((i for i in range(at, 0, -1) if group[i] == group[at] and group[i - 1] != group[at]), at)
+        starts[start] = min(starts.get(start, e), e)
+    found = []
+    for start, end_a in starts.items():
+        for e in ends:
+            if e <= end_a or e - start < s.min_length:
+                continue
+            if mode[start] == mode[e]:
+                steady = [i for i in range(start, e) if rows[i].stability > 0 and group[i] == group[start] and rows[i].stability_group > s.stability]
+                if group[start] == group[e] or steady:
+                    found.append((start, e if group[start] == group[e] else steady[-1], "recurring"))
+                    break
+            elif all(mode[i] > mode[i - 1] for i in range(start + 1, e + 1)) or all(mode[i] < mode[i - 1] for i in range(start + 1, e + 1)):
+                found.append((start, e, "incremental"))
+            elif abs(group[start] - group[e]) >= 2:
+                found.append((start, next((i for i in range(e, n - 1) if group[i] == group[e] and group[i + 1] != group[e]), e), "sudden"))
+    return sorted(found)
+
+
+def test_first_finder_has_no_longest_drift(spark):
+    rng = random.Random(18)
+    long = [float((5, 400, 5, 900, 400)[i // 2500 % 5]) for i in range(12_000)]
+    mixed = [float(rng.choice((1, 40, 80, 200)) if i % 40 == 0 else 0) for i in range(900)]
+    for i in range(1, 900):
+        mixed[i] = mixed[i] or mixed[i - 1]
+    settings = drift.DriftSettings(threshold=30, offset=30, stability=6, min_length=10)
+    df = spark.createDataFrame([(k, i, v) for k, x in (("long", long), ("mixed", mixed)) for i, v in enumerate(x)], "series string, idx bigint, value double")
+    states = drift.stability_v1(df, settings).orderBy("series", "idx").collect()
+    got = drift.find_drifts_v1(df, settings).collect()
+    for k in ("long", "mixed"):
+        assert sorted((r.start, r.end, r.type) for r in got if r.series == k) == first_finder([r for r in states if r.series == k], settings)
+    assert any(r.end - r.start > 3600 for r in got)
+
+
 def test_slices(spark):
     rows = spark.createDataFrame([("a", i, float(i)) for i in range(50)], "series string, idx bigint, value double")
     found = spark.createDataFrame([("a", 5, 12, "sudden"), ("a", 10, 10, "gradual")], "series string, start bigint, `end` bigint, type string")
