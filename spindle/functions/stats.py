@@ -55,7 +55,7 @@ def statistics(
     if cold is not None:
         parts.append(cold.groupBy(*keys).agg(*mergeable, *order_statistic_columns(metrics, probs, True)))
     if hot is not None:
-        only_hot = Groups(groups.keys, groups.limit, groups.hot)
+        only_hot = Groups(groups.keys, groups.limit, groups.hot, groups.nulls, groups.few)
         moments = hot.groupBy(*keys).agg(*mergeable)
         parts.append(key_join(moments, order_statistics(hot, keys, metrics, probs, only_hot, mode=True), keys, "left"))
     wide = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

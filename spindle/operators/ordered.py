@@ -24,9 +24,17 @@ from spindle.session import group_rows, stable
 _FIRST = Window.unboundedPreceding
 _PART_BITS = 33  # monotonically_increasing_id keeps the partition number above bit 33
 
+#: Tables of up to so many rows of keys and totals are broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 100_000
+
 Total = tuple[str, Column]
 
 
+def fits(staged: DataFrame) -> bool:
+    """Whether a table that ``stable`` wrote may be broadcast; its rows are counted from the files' footers."""
+    return staged.count() <= BROADCAST_ROWS
+
+
 def key_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", small: bool = False, nulls: bool = True
 ) -> DataFrame:
@@ -48,12 +56,14 @@ def key_join(
 
 @dataclass(frozen=True)
 class Groups:
-    """Which groups of ``keys`` hold more than ``limit`` rows (``hot`` is None when none do), and if a key may be null."""
+    """Which groups of ``keys`` hold more than ``limit`` rows (``hot`` is None when none do), if these are few enough to
+    broadcast their keys, and if a key may be null."""
 
     keys: tuple[str, ...]
     limit: int
     hot: DataFrame | None
     nulls: bool = True
+    few: bool = False
 
     @staticmethod
     def measure(df: DataFrame, keys: Sequence[str], limit: int | None = None, staged: bool = False) -> Groups:
@@ -68,29 +78,33 @@ class Groups:
         if special.isEmpty():
             return Groups(tuple(keys), limit, None, nulls=False)
         special = stable(special)
-        nulls = not special.where(null_key).isEmpty()
-        # at most rows/limit keys, so this table stays small whatever the input
+        n_large, n_null = special.agg(F.count_if(large), F.count_if(null_key)).first()
         hot = special.where(large)
-        return Groups(tuple(keys), limit, None if hot.isEmpty() else hot.drop("__n") if keys else hot, nulls)
+        if keys:
+            hot = hot.drop("__n")
+        return Groups(tuple(keys), limit, hot if n_large else None, n_null > 0, n_large <= BROADCAST_ROWS)
 
     def cold_part(self, df: DataFrame) -> DataFrame | None:
         if self.hot is None:
             return df
-        return key_join(df, self.hot, self.keys, "left_anti", small=True) if self.keys else None
+        return key_join(df, self.hot, self.keys, "left_anti", small=self.few) if self.keys else None
 
     def hot_part(self, df: DataFrame) -> DataFrame | None:
         if self.hot is None:
             return None
-        return key_join(df, self.hot, self.keys, "left_semi", small=True) if self.keys else df
+        return key_join(df, self.hot, self.keys, "left_semi", small=self.few) if self.keys else df
 
 
     def join(self, rows: DataFrame, per_group: DataFrame, how: str = "inner") -> DataFrame:
-        """Join a table of one row per group. Rows of large groups are not shuffled: they meet a broadcast of their few."""
+        """Join a table of one row per group. Rows of large groups are not shuffled: they meet a broadcast of their few.
+
+        More than ``BROADCAST_ROWS`` large groups are joined by a shuffle, whose skewed partitions Spark splits.
+        """
         if self.hot is None or not self.keys:
             return key_join(rows, per_group, self.keys, how, small=not self.keys, nulls=self.nulls)
         cold = key_join(self.cold_part(rows), per_group, self.keys, how, nulls=self.nulls)
-        few = key_join(per_group, self.hot, self.keys, "left_semi", small=True)
-        return cold.unionByName(key_join(self.hot_part(rows), few, self.keys, how, small=True))
+        few = key_join(per_group, self.hot, self.keys, "left_semi", small=self.few)
+        return cold.unionByName(key_join(self.hot_part(rows), few, self.keys, how, small=self.few))
 
     def finer(self, df: DataFrame, keys: Sequence[str]) -> Groups:
         """Groups by more keys: they need measuring only if some group by fewer keys is large."""
@@ -112,8 +126,9 @@ def _number(rows: DataFrame, keys: Sequence[str], order: Sequence[str], limit: i
     # the position of a group's first row serves as its number: a single non-null key for the shuffles to come
     number = F.min("__first").over(Window.partitionBy(*keys))
     shift = pieces.withColumns({"__gid": number, "__shift": F.coalesce(before, F.lit(0)) - F.col("__first")}).drop("__first", "__n")
-    # one row per (large group, partition it touches): bounded by groups + partitions
-    numbered = key_join(ranged, shift, [*keys, "__part"], small=True)
+    # one row per (large group, partition it touches): no more than groups + partitions
+    shift = stable(shift)
+    numbered = key_join(ranged, shift, [*keys, "__part"], small=fits(shift))
     numbered = numbered.withColumn("__rn", F.col("__pos") + F.col("__shift")).drop("__pos", "__part", "__shift")
     return numbered.withColumn("__blk", F.floor(F.col("__rn") / F.lit(limit)))
 
@@ -290,8 +305,8 @@ def _large_order_statistics(
     by = [*keys, "__name"]
     counts = stable(long.groupBy(*by, "__value").agg(F.count(F.lit(1)).alias("__n")))
     ranked = ordered(counts, by, ["__value"], Groups.measure(counts, by, limit, staged=True)).running({"__upto": ("sum", F.col("__n"))}).frame()
-    totals = counts.groupBy(*by).agg(F.sum("__n").alias("__total"))
-    ranked = key_join(ranked, totals, by, small=True)  # one row per large group and column
+    totals = stable(counts.groupBy(*by).agg(F.sum("__n").alias("__total")))  # one row per large group and column
+    ranked = key_join(ranked, totals, by, small=fits(totals))
     picks = []
     for i, p in enumerate(probs):
         position = (F.col("__total") - 1) * F.lit(float(p))

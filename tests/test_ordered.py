@@ -137,3 +137,20 @@ def test_join_keeps_null_keys_and_all_rows(spark, group_rows):
     got = groups.join(df, sizes).collect()
     assert len(got) == len(rows)
     assert all(r.n == len(grouped(rows)[r.k]) for r in got)
+
+
+def test_tables_past_the_broadcast_size_are_shuffled(spark, monkeypatch):
+    from spindle.operators import ordered as module
+
+    rows, df = skewed(spark)
+    monkeypatch.setattr(module, "BROADCAST_ROWS", 0)
+    groups = Groups.measure(df, ["k"], limit=20)
+    assert groups.hot is not None and not groups.few
+    totals = df.groupBy("k").agg(F.count("id").alias("n"))
+    joined = groups.join(df, totals)
+    sizes = {k: len(v) for k, v in grouped(rows).items()}
+    assert sorted((r.id, r.n) for r in joined.collect()) == sorted((r[2], sizes[r[0]]) for r in rows)
+    assert "BroadcastHint" not in joined._jdf.queryExecution().logical().toString() and "strategy=broadcast" not in joined._jdf.queryExecution().logical().toString()
+    numbered = ordered(df, ["k"], ["t", "id"], groups).numbered("n").frame()
+    want = sorted((r[2], n) for part in grouped(rows).values() for n, r in enumerate(part, start=1))
+    assert sorted((r.id, r.n) for r in numbered.collect()) == want
