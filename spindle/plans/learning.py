@@ -77,7 +77,7 @@ def forest_overlap(spark: SparkSession, folder: str) -> DataFrame:
 def policies(spark: SparkSession, folder: str) -> DataFrame:
     rows = training(spark, folder, per_window=10)
     out = None
-    for name in ("initial_only", "retrain_uncertainty", "ensemble"):
+    for name in policy.POLICIES:
         part = policy.run_policy(rows, name, min_rows=50)
         out = part if out is None else out.unionByName(part)
     return out

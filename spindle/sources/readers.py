@@ -68,8 +68,9 @@ def chunk_of(path: Column) -> Column:
 
 
 def discover_chunks(spark: SparkSession, pattern: str, schema: str, sep: str = ",", keep: Column | None = None) -> DataFrame:
-    """Rows of all files a glob matches, each with its ``chunk`` number; ``keep`` filters on the path."""
-    rows = with_path(spark.read.schema(schema).option("sep", sep).csv(pattern))
+    """Rows of all files a glob matches, each with its ``chunk`` number; files whose path ``keep`` refuses are not read."""
+    read = spark.read.schema(schema).option("sep", sep).csv(pattern)
+    rows = read.select("*", F.col("_metadata.file_path").alias(PATH))
     if keep is not None:
         rows = rows.where(keep)
     return rows.withColumn("chunk", chunk_of(F.col(PATH))).drop(PATH)
