@@ -40,7 +40,7 @@ def choose_group(df: DataFrame, groups: DataFrame, value: str = "size") -> DataF
 
     The winner depends on the value alone, so only distinct values are matched. Interval ends cut the axis into points
     and the gaps after them; the groups covering a piece are the same all over it, so the nearest ``avg`` is an as-of
-    lookup below and above the value. Where no interval fits, a hash of the value picks.
+    lookup below and above the value. Where no interval fits, a hash of the value picks. Null values get the first name.
     """
     names = ordered(groups, [], ["group"]).numbered("_pick").frame()
     values = df.select(value).where(F.col(value).isNotNull()).distinct()
@@ -59,12 +59,15 @@ def choose_group(df: DataFrame, groups: DataFrame, value: str = "size") -> DataF
     below = asof(placed, facts, ["_n", "_gap"], "_at", "_f").withColumnRenamed("_f", "_below")
     found = asof(below, facts, ["_n", "_gap"], "_at", "_f", ahead=True)
     near = [F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.avg") - F.col("_at")).alias("d"), F.col(f"{c}._g").alias("g"))) for c in ("_below", "_f")]
-    found = found.withColumn("_best", F.least(*near)["g"])
+    found = stable(found.select(value, F.least(*near)["g"].alias("_best")))
     count = F.broadcast(groups.agg(F.count(F.lit(1)).alias("_groups")))  # one row
-    chosen = found.join(count).withColumn("_pick", F.when(F.col("_best").isNull(), F.pmod(F.col(value).cast("long"), F.col("_groups")) + 1))
-    chosen = chosen.join(names.select("_pick", F.col("group").alias("_any")), "_pick", "left")
-    picked = chosen.select(value, F.coalesce("_best", "_any").alias("group"), F.col("_best").isNotNull().alias("in_interval"))
-    return Groups.measure(df, [value]).join(df, picked)
+    inside = found.where("_best is not null").select(value, F.col("_best").alias("group"), F.lit(True).alias("in_interval"))
+    free = found.where("_best is null").join(count).withColumn("_pick", F.pmod(F.col(value).cast("long"), F.col("_groups")) + 1)
+    outside = free.join(names, "_pick").select(value, "group", F.lit(False).alias("in_interval"))
+    chosen = Groups.measure(df, [value]).join(df, inside.union(outside))
+    first = F.broadcast(groups.agg(F.min("group").alias("group")))  # one row
+    unknown = df.where(F.col(value).isNull()).join(first).withColumn("in_interval", F.lit(False))
+    return chosen.unionByName(unknown)
 
 
 def leaf_overlap(leaves: DataFrame, leaf_counts: DataFrame, rows_key: Sequence[str] = ()) -> DataFrame:

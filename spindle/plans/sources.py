@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,20 +132,39 @@ _TECTONIC_SQL = (
 )
 
 
+def _tectonic_files(spark: SparkSession, folder: str, year: int) -> str:
+    """A third of the records as text in a year's layout, with ``#`` lines and a broken line for every 97th event."""
+    raw = _raw_tectonic(spark, folder, year)
+    lines = raw.select(F.concat_ws(" ", *raw.columns).alias("value"))
+    heads = spark.createDataFrame([("# records",), ("# " + " ".join(raw.columns),)], "value string")
+    third = F.col("event_id") % 3 == (year - 2019) // 2
+    broken = fixtures.trace(spark, folder).where(third & (F.col("event_id") % 97 == 0)).select(F.concat_ws(" ", "event_id", "size", F.lit("x")).alias("value"))
+    path = scratch_path(spark, f"tectonic-{year}")
+    heads.union(lines).union(broken).write.text(path)
+    return path
+
+
 @query("src5_standardize_tectonic", _TECTONIC_SQL)
 def standardize_tectonic(spark: SparkSession, folder: str) -> DataFrame:
     """A third of the records in each year's layout, written and read back as text."""
     out = None
     for year in (2019, 2021, 2023):
-        path = scratch_path(spark, f"tectonic-{year}")
-        _raw_tectonic(spark, folder, year).write.option("sep", " ").csv(path)
         # Spark wrote several files, which stand for one here: the time starts anew in every file
-        rows = readers.read_tectonic(spark, path, year).withColumn("file", F.lit(str(year)))
+        rows = readers.read_tectonic(spark, _tectonic_files(spark, folder, year), year).withColumn("file", F.lit(str(year)))
         part = readers.standardize_tectonic(rows).withColumn("year", F.lit(year)).drop("file")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+@query(
+    "src5_rejected_records",
+    with_views(TRACE) + " SELECT CAST(2019 + 2 * (event_id % 3) AS INTEGER) AS year, count(*) AS rejected FROM trace WHERE event_id % 97 = 0 GROUP BY 1",
+)
+def rejected_tectonic_records(spark: SparkSession, folder: str) -> DataFrame:
+    parts = [readers.rejected_tectonic(spark, _tectonic_files(spark, folder, year), year).withColumn("year", F.lit(year)) for year in (2019, 2021, 2023)]
+    return reduce(DataFrame.union, parts).groupBy("year").agg(F.count(F.lit(1)).alias("rejected"))
+
+
 @query(
     "src6_read_msft",
     with_views(TRACE)

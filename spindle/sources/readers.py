@@ -134,10 +134,26 @@ def standardize_tectonic(raw: DataFrame, file: str = "file") -> DataFrame:
     )
 
 
+def _tectonic_lines(spark: SparkSession, path: str, year: int) -> DataFrame:
+    """Lines with text that are no ``#`` line: ``value``, ``file`` and the parsed record ``_r``."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    lines = lines.where(~F.col("value").startswith("#") & (F.trim("value") != ""))
+    options = {"sep": " ", "columnNameOfCorruptRecord": "_corrupt"}
+    return lines.withColumn("_r", F.from_csv("value", f"{TECTONIC[year]}, _corrupt string", options))
+
+
 def read_tectonic(spark: SparkSession, path: str, year: int) -> DataFrame:
-    """Space-separated file of one year's layout, with the ``file`` it came from; text before the data is skipped."""
-    rows = spark.read.schema(TECTONIC[year]).option("sep", " ").option("mode", "DROPMALFORMED").csv(path)
-    return rows.withColumn("file", F.input_file_name())
+    """Space-separated records of one year's layout, with the ``file`` they came from; ``#`` lines are skipped.
+
+    Lines that are no record of the layout are in ``rejected_tectonic``, whatever columns are used here.
+    """
+    rows = _tectonic_lines(spark, path, year).where("_r._corrupt is null")
+    return rows.select("_r.*", "file").drop("_corrupt")
+
+
+def rejected_tectonic(spark: SparkSession, path: str, year: int) -> DataFrame:
+    """(file, value): the lines that ``read_tectonic`` leaves out, but for ``#`` and empty lines."""
+    return _tectonic_lines(spark, path, year).where("_r._corrupt is not null").select("file", "value")
 
 
 def read_replayed(spark: SparkSession, path: str) -> DataFrame:

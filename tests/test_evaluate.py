@@ -68,6 +68,13 @@ def test_choose_group(spark, group_rows):
         assert r.group == (fit[0][1] if fit else f"g{values[r.id] % 9}")
 
 
+def test_choose_group_keeps_rows_without_a_value(spark, group_rows):
+    df = spark.createDataFrame([(1, 5), (2, None), (3, None), (4, 500)], "id int, size int")
+    groups = spark.createDataFrame([("a", 5.0, 0.0, 9.0), ("b", 20.0, 10.0, 30.0)], "group string, avg double, lower double, upper double")
+    got = sorted((r.id, r.group, r.in_interval) for r in joins.choose_group(df, groups).collect())
+    assert got == [(1, "a", True), (2, "a", False), (3, "a", False), (4, "a", False)]
+
+
 def test_samples_repeat_and_hold_their_sizes(spark, group_rows):
     df = spark.range(3000).select(F.col("id"), (F.col("id") % 3 == 0).cast("int").alias("io_type"), F.col("id").cast("double").alias("ts_record"))
     one = sampling.thin(df, 0.25, ["id"])

@@ -49,6 +49,20 @@ def test_tectonic_layouts(spark, tmp_path):
         assert first.io_type == (0 if year == 2023 else 1)
 
 
+def test_tectonic_keeps_every_record(spark, tmp_path):
+    text = "# a\n# b\n3 10 20 100.5 5 ns u host 1\nbroken line\n4 10 20 x 5 ns u host 1\n\n5 0 8 101.5 1 ns u host 1\n6 0 8 102.5 1 ns u host 1 2\n"
+    (tmp_path / "2021.trace").write_text(text)
+    rows = readers.read_tectonic(spark, str(tmp_path), 2021)
+    for some in (rows, rows.select("op_name"), rows.select("file"), rows.select("block_id", "host_name")):
+        assert len(some.collect()) == some.count() == 2
+    assert sorted(r.block_id for r in rows.collect()) == [3, 5]
+    bad = readers.rejected_tectonic(spark, str(tmp_path), 2021)
+    assert sorted(r.value for r in bad.collect()) == ["4 10 20 x 5 ns u host 1", "6 0 8 102.5 1 ns u host 1 2", "broken line"]
+    assert bad.count() == 3
+    (tmp_path / "2021.trace").write_text("# a\n")
+    assert rows.count() == bad.count() == 0
+
+
 def test_replayed_forms(spark, tmp_path):
     (tmp_path / "a.csv").write_text("1.0,10,1,512,0,1.5,512\n")
     (tmp_path / "b.csv").write_text("1.0,10,1,512,0,1.5,3,2.5\n")
