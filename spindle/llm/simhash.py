@@ -13,6 +13,9 @@ segment as it is and of the index of a codeword near to the next segment:
 Pairs that meet are verified by counting bits. A key that very many fingerprints share is not paired up: fingerprints
 that use it are linked through midpoints instead. Two words that differ in two bits or fewer have a word within one bit
 of both, so each emits itself and its 64 neighbours, and no more than 65 fingerprints can meet at a word.
+
+Two bits find equal and almost equal texts only. ``one_of_each`` with a similarity links documents by the Jaccard
+similarity of their runs of five words instead: MinHash keys find candidates, the sets themselves decide.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from pyspark.sql import types as T
 
 from spindle.llm.common import row_digest, staged, text_or_empty
 from spindle.llm.graph import components
+from spindle.llm.minhash import band_keys, linked_nodes, shared_keys
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -39,6 +43,10 @@ GENERATOR = 0b101011100011
 #: A key with more fingerprints than this goes the way of midpoints.
 FULL_BUCKET = 200
 _CHUNK = 1 << 16
+JACCARD_WORDS = 5
+#: Keys of a set: at a similarity of 0.8 two sets share none of them with the probability 0.0001, above with less.
+JACCARD_BANDS, JACCARD_ROWS = 30, 6
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: str) -> int:
@@ -144,16 +152,86 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return _placed(marked, full_bucket).select("doc_id", shown, "component_id")
 
 
-def one_of_each(docs: DataFrame, full_bucket: int = FULL_BUCKET) -> DataFrame:
+def shingle_set(text: str) -> np.ndarray:
+    """Hashes of all runs of five words, sorted, without repeats; of fewer words, one of them all."""
+    words = text.encode().lower().split()
+    of_words = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    size = min(JACCARD_WORDS, len(words))
+    found = np.full(max(1, len(words) - JACCARD_WORDS + 1), size, np.uint64)
+    for i in range(size):
+        found = (found ^ of_words[i : i + len(found)]) * _FACTOR
+        found ^= found >> np.uint64(29)
+    return np.unique(found)
+
+
+_SET_KEYS = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+
+
+@F.pandas_udf(_SET_KEYS)
+def _set_keys(texts: pd.Series) -> pd.DataFrame:
+    nodes, keys = [], []
+    for text in texts:
+        found = shingle_set(text)
+        nodes.append(xxhash.xxh3_128_digest(found.tobytes()))
+        keys.append(band_keys(found, np.zeros(1, int), JACCARD_BANDS, JACCARD_ROWS)[0])
+    return pd.DataFrame({"node": nodes, "keys": keys})
+
+
+@F.pandas_udf(T.BinaryType())
+def _sets(texts: pd.Series) -> pd.Series:
+    return pd.Series([shingle_set(t).tobytes() for t in texts], dtype=object)
+
+
+def _similar_sets(similarity: float):
+    @F.pandas_udf(T.BooleanType())
+    def similar(left: pd.Series, right: pd.Series) -> pd.Series:
+        found = []
+        for x, y in zip(left, right):
+            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            common = len(np.intersect1d(a, b, assume_unique=True))
+            found.append(common + 1e-9 >= similarity * (len(a) + len(b) - common))
+        return pd.Series(found, dtype=bool)
+
+    return similar
+
+
+def _placed_by_sets(docs: DataFrame, similarity: float) -> DataFrame:
+    """(doc_id, digest, root) of each row of ``docs``; rows with equal sets are one node."""
+    digest = row_digest(docs)
+    marked = staged(docs.select("doc_id", digest.alias("digest"), _set_keys(text_or_empty()).alias("of")).select("doc_id", "digest", "of.*"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest", "keys")).alias("first")
+    nodes = staged(marked.groupBy("node").agg(first).select("node", "first.*"))
+    shared = shared_keys(nodes.select("node", F.explode("keys").alias("key")))
+    wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("id"), F.col("digest").alias("of"))
+    rows = docs.select("doc_id", digest.alias("digest"), text_or_empty().alias("text"))
+    rows = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["id"]) & (rows["digest"] == wanted["of"]))
+    sets = staged(rows.dropDuplicates(["node"]).select("node", _sets("text").alias("set")))
+    similar = _similar_sets(similarity)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        x, y = (sets.select(F.col("node").alias(n), F.col("set").alias(f"set_{n}"), (F.length("set") / 8).alias(f"n_{n}")) for n in "ab")
+        near = F.least("n_a", "n_b") + 1e-6 >= similarity * F.greatest("n_a", "n_b")
+        return staged(pairs.join(x, "a").join(y, "b").where(near).where(similar("set_a", "set_b")).select("a", "b"))
+
+    roots = linked_nodes(shared, verified)
+    return marked.select("doc_id", "digest", "node").join(roots, "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("root"))
+
+
+def one_of_each(docs: DataFrame, full_bucket: int = FULL_BUCKET, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with the least doc_id (null last).
 
+    With a ``similarity``, documents are linked if the Jaccard similarity of their runs of five words is as high or higher.
     Of rows with one id and nearly one text, the row with the least hash of all its columns stays; of rows equal in all
     columns, one. All columns are kept.
     """
     digest = row_digest(docs)
-    marked = staged(docs.select("doc_id", digest.alias("digest"), _fingerprints(text_or_empty()).alias("fp")))
+    if similarity is None:
+        marked = staged(docs.select("doc_id", digest.alias("digest"), _fingerprints(text_or_empty()).alias("fp")))
+        placed = _placed(marked, full_bucket)
+    else:
+        placed = _placed_by_sets(docs, similarity)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("best")
-    chosen = staged(_placed(marked, full_bucket).groupBy("root").agg(best).select("best.doc_id", "best.digest"))
+    chosen = staged(placed.groupBy("root").agg(best).select("best.doc_id", "best.digest"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), digest.alias("of"))
     kept = rows.join(chosen, rows["id"].eqNullSafe(chosen["doc_id"]) & (rows["of"] == chosen["digest"]), "left_semi")
     return kept.dropDuplicates(["id", "of"]).select("row.*")
