@@ -15,18 +15,23 @@ from spindle.sources import fixtures
 from spindle.streaming import online
 
 
-def arrive(rows: DataFrame, name: str, order: str, start: Callable[[DataFrame], StreamingQuery], parts: int = 4) -> None:
-    """Write the rows part by part in ``order``; after each part a query started by ``start`` reads what is new."""
+def arrive(rows: DataFrame, name: str, order: str, start: Callable[[DataFrame], StreamingQuery], parts: int = 4) -> str:
+    """Write the rows part by part in ``order``; after each part a query started by ``start`` reads what is new. The folder."""
     spark = rows.sparkSession
     path = scratch_path(spark, name)
     cuts = rows.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01)
     for i, (low, high) in enumerate(zip([float("-inf"), *cuts], [*cuts, float("inf")])):
         rows.where((F.col(order) > low) & (F.col(order) <= high)).write.parquet(f"{path}/{i}")
         start(spark.readStream.schema(rows.schema).parquet(f"{path}/*")).awaitTermination()
+    return path
 
 
-def drained(rows: DataFrame, name: str, order: str, plan: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What an append stream has put out once all parts have arrived."""
+def drained(rows: DataFrame, name: str, order: str, plan: Callable[[DataFrame], DataFrame], closed_after: int | None = None) -> DataFrame:
+    """What an append stream has put out once all parts have arrived.
+
+    With ``closed_after``, a marker comes last: a row of nulls so far behind the newest row that the watermark passes the
+    end of all that is open. Nothing follows the marker, so what it opens itself is never put out.
+    """
     spark = rows.sparkSession
     out, state = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-state")
     schema = []
@@ -37,26 +42,31 @@ def drained(rows: DataFrame, name: str, order: str, plan: Callable[[DataFrame],
         sink = result.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
         return sink.outputMode("append").trigger(availableNow=True).start()
 
-    arrive(rows, name, order, start)
+    path = arrive(rows, name, order, start)
+    if closed_after is not None:
+        marker = rows.agg(F.max(order).alias("newest")).where("newest is not null")
+        values = [(F.col("newest") + closed_after if c.name == order else F.lit(None)).cast(c.dataType).alias(c.name) for c in rows.schema]
+        marker.select(*values).write.parquet(f"{path}/marker")
+        start(spark.readStream.schema(rows.schema).parquet(f"{path}/*")).awaitTermination()
     return spark.read.schema(schema[0]).parquet(out)
 
 
 @query("str1_window_stream")
 def window_stream(spark: SparkSession, folder: str) -> DataFrame:
     rows = fixtures.replayed(spark, folder)
-    return drained(rows, "windows", "ts_record", lambda s: online.window_characteristics(online.with_event_time(s), "1 hour"))
+    return drained(rows, "windows", "ts_record", lambda s: online.window_characteristics(online.with_event_time(s), "1 hour"), fixtures.DAY_MS)
 
 
 @query("str2_sliding_stream")
 def sliding_stream(spark: SparkSession, folder: str) -> DataFrame:
     rows = fixtures.replayed(spark, folder)
-    return drained(rows, "sliding", "ts_record", lambda s: online.window_characteristics(online.with_event_time(s), "6 hours", "3 hours"))
+    return drained(rows, "sliding", "ts_record", lambda s: online.window_characteristics(online.with_event_time(s), "6 hours", "3 hours"), fixtures.DAY_MS)
 
 
 @query("str3_sessions")
 def sessions(spark: SparkSession, folder: str) -> DataFrame:
     rows = fixtures.replayed(spark, folder)
-    return drained(rows, "sessions", "ts_record", lambda s: online.sessions(online.with_event_time(s), "30 minutes"))
+    return drained(rows, "sessions", "ts_record", lambda s: online.sessions(online.with_event_time(s), "30 minutes"), fixtures.DAY_MS)
 
 
 @query("str4_online_concept_ends")
