@@ -1,9 +1,15 @@
-"""Substring duplicates: runs of consecutive sentences that occur before, in the same document or in another one.
+"""Substring duplicates: passages that occur before, in the same document or in another one.
 
-Every run of ``RUN`` sentences with ``MIN_WORDS`` words or more is hashed to 128 bits; sentences of more than
-``MOST_WORDS`` words are cut into pieces of that many first, so that a passage needs no full stops to be found. Runs are
-joined over all documents. The first place of a run, by document and position, stays; at every other place all its
-sentences go.
+Two kinds of passages are found, both by 128-bit hashes that are joined over all documents:
+
+* runs of ``RUN`` sentences, or of as many as it takes to have ``MIN_WORDS`` words; sentences of more than ``MOST_WORDS``
+  words are cut into pieces of that many first;
+* windows of ``WINDOW`` words, wherever they begin and end. All windows are too many to be joined. So documents first
+  meet by runs of ``GRAM`` words: those with the least hash of all that begin in some window's reach. These depend on
+  the window's words alone, so documents that share a window share one. Only windows that hold a run which
+  occurs more than once are hashed then.
+
+The first place of a passage, by document and position, stays; at every other place all its sentences, or words, go.
 """
 
 from __future__ import annotations
@@ -22,6 +28,11 @@ from spindle.llm.common import staged, text_or_empty
 RUN = 3
 MIN_WORDS = 10
 MOST_WORDS = 20
+WINDOW = 50
+GRAM = 20
+#: Runs of GRAM words that begin in a window.
+REACH = WINDOW - GRAM + 1
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 _WORD = re.compile(r"\S+")
 
@@ -46,15 +57,98 @@ def sentences(text: str, most: int = MOST_WORDS) -> list[Piece]:
 
 
 def runs(pieces: list[Piece], length: int = RUN, min_words: int = MIN_WORDS) -> list[tuple[bytes, int, int]]:
-    """(hash, start, end) of the runs of ``length`` sentences that have enough words."""
-    found = []
-    for part in zip(*[pieces[i:] for i in range(length)]):
-        if sum([p[2] for p in part]) >= min_words:
-            text = " ".join([p[3] for p in part])
-            found.append((xxhash.xxh3_128_digest(text.encode()), part[0][0], part[-1][1]))
+    """(hash, start, end) of the shortest runs from each sentence on that have enough sentences and words."""
+    found, end, words = [], 0, 0
+    for begin in range(len(pieces)):
+        while end < len(pieces) and (end < begin + length or words < min_words):
+            words += pieces[end][2]
+            end += 1
+        if end < begin + length or words < min_words:
+            break
+        text = " ".join([p[3] for p in pieces[begin:end]])
+        found.append((xxhash.xxh3_128_digest(text.encode()), pieces[begin][0], pieces[end - 1][1]))
+        words -= pieces[begin][2]
     return found
 
 
+def word_hashes(text: str) -> np.ndarray:
+    words = text.lower().split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def _rolled(hashes: np.ndarray, length: int, factor: np.uint64) -> np.ndarray:
+    """A hash of each run of ``length`` words: a polynomial in ``factor`` of odd, random coefficients."""
+    found = np.zeros(len(hashes) - length + 1, np.uint64)
+    for i in range(length):
+        found = found * factor + hashes[i : i + len(found)]
+    found ^= found >> np.uint64(32)
+    return found * _FACTORS[0]
+
+
+def _grams(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of GRAM words; those that are the least of some window."""
+    grams = _rolled(hashes, GRAM, _FACTORS[0])
+    least, reach = grams, 1
+    while reach < REACH:
+        step = min(reach, REACH - reach)
+        least = np.minimum(least[:-step], least[step:])
+        reach += step
+    return grams, np.unique(least)
+
+
+def _all_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows, found, several = [], [], []
+        for row, text in enumerate(batch["text"]):
+            hashes = word_hashes(text)
+            if len(hashes) >= WINDOW:
+                grams, least = _grams(hashes)
+                values, counts = np.unique(grams[np.isin(grams, least)], return_counts=True)
+                rows.append(np.full(len(values), row))
+                found.append(values)
+                several.append(counts > 1)
+        if not rows:
+            continue
+        at = np.concatenate(rows)
+        yield pd.DataFrame(
+            {
+                "gram": np.concatenate(found).view(np.int64),
+                "several": np.concatenate(several),
+                "doc_id": batch["doc_id"].to_numpy()[at],
+                "mark": batch["mark"].to_numpy()[at],
+            }
+        )
+
+
+def _all_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for doc_id, mark, text, wanted in zip(batch["doc_id"], batch["mark"], batch["text"], batch["grams"]):
+            hashes = word_hashes(text)
+            grams = _rolled(hashes, GRAM, _FACTORS[0])
+            hits = np.isin(grams, np.asarray(wanted, np.int64).view(np.uint64))
+            upto = np.concatenate([[0], np.cumsum(hits)])
+            begin = np.flatnonzero(upto[REACH:] > upto[:-REACH])  # windows with a hit
+            h1, h2 = (_rolled(hashes, WINDOW, f)[begin].view(np.int64) for f in (_FACTORS[1], _FACTORS[0]))
+            places = np.array([w.span() for w in _WORD.finditer(text)], np.int64)
+            made = pd.DataFrame({"h1": h1, "h2": h2, "doc_id": doc_id, "mark": mark, "start": places[begin, 0], "end": places[begin + WINDOW - 1, 1]})
+            yield made.astype({"doc_id": "Int64"})
+
+
+def repeated_windows(marked: DataFrame) -> DataFrame:
+    """Windows that hold a run of words which occurs more than once, in the form of ``_all_runs``."""
+    grams = staged(marked.mapInPandas(_all_grams, "gram long, several boolean, doc_id long, mark int"))
+    place = F.struct("doc_id", "mark")
+    often = grams.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.max("several").alias("several"))
+    often = often.where("several or a <> b").select("gram")
+    per = grams.join(often, "gram").groupBy("doc_id", "mark").agg(F.collect_set("gram").alias("grams"))
+    per = per.withColumnRenamed("doc_id", "id").withColumnRenamed("mark", "of")
+    held = marked.join(per, marked["doc_id"].eqNullSafe(per["id"]) & (marked["mark"] == per["of"])).select("doc_id", "mark", "text", "grams")
+    return held.mapInPandas(_all_windows, _PLACES)
+
+
+_PLACES = "h1 long, h2 long, doc_id long, mark int, start long, end long"
+
+
 def _all_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         found = [runs(sentences(t)) for t in batch["text"]]
@@ -78,13 +172,13 @@ def _marked(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, spans): for each document the spans of its runs that occur before, sorted by start.
+    """(doc_id, mark, spans): for each document the spans of its runs and windows that occur before, sorted by start.
 
     ``mark`` is a hash of the text. Rows equal in id and text count as one document; of rows that share an id only, the
     one with the lesser mark is first. Null ids come last.
     """
-    schema = "h1 long, h2 long, doc_id long, mark int, start long, end long"
-    found = staged(_marked(docs).mapInPandas(_all_runs, schema))
+    marked = _marked(docs)
+    found = staged(marked.mapInPandas(_all_runs, _PLACES)).union(staged(repeated_windows(marked)))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "start")
     firsts = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("final"))
     firsts = firsts.where("first <> final").select("h1", "h2", "first")
@@ -98,15 +192,25 @@ def _without(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text, spans in zip(batch["text"], batch["spans"]):
             pieces, kept, removed, done = sentences(text), [], 0, 0
             spans = [] if spans is None else [(s["start"], s["end"]) for s in spans]
-            at, reach = 0, -1
-            for start, end, _, _ in pieces:
-                while at < len(spans) and spans[at][0] <= start:
-                    reach = max(reach, spans[at][1])
+            merged: list[list[int]] = []
+            for start, end in spans:
+                if merged and (start <= merged[-1][1] or text[merged[-1][1] : start].isspace()):
+                    merged[-1][1] = max(merged[-1][1], end)
+                else:
+                    merged.append([start, end])
+            at = 0
+            for start, end, _, _ in pieces if merged else []:
+                content = text[start:end]
+                first, last = start + len(content) - len(content.lstrip()), start + len(content.rstrip())
+                while at < len(merged) and merged[at][1] <= first:
                     at += 1
-                if end <= reach:  # the run that covers this sentence begins at a sentence and ends at one
-                    kept.append(text[done:start])
-                    done = end
-                    removed += 1
+                for low, high in merged[at:]:
+                    if low >= last:
+                        break
+                    whole = low <= first and last <= high
+                    removed += whole
+                    kept.append(text[done : start if whole else max(low, first)])
+                    done = end if whole else min(high, last)
             kept.append(text[done:])
             rows.append((len(pieces), removed, "".join(kept)))
         made = pd.DataFrame(rows, columns=["n_sentences", "n_removed", "text"])
@@ -114,9 +218,9 @@ def _without(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_sentences, n_removed and ``text`` without the sentences that repeat.
+    """One row per row of ``docs``: doc_id, n_sentences, n_removed and ``text`` without the sentences and words that repeat.
 
-    What stands between removed sentences stays, so lines keep their breaks. Null texts count as empty. Rows with a null
+    A sentence counts as removed if all of it goes; of one that a window covers in part, the words of the window go. What stands between removed sentences stays, so lines keep their breaks. Null texts count as empty. Rows with a null
     id are taken one by one and come after all others. An empty table gives an empty result.
     """
     spans = repeated_spans(docs).withColumnRenamed("doc_id", "id").withColumnRenamed("mark", "of")
