@@ -124,7 +124,8 @@ def _packer(tokenizer: str, dictionary: bytes):
         ids, sizes, counts, frames = [], [0], [], []
 
         def block() -> pd.DataFrame:
-            row = (shard, made, ids[0], ids[-1], digest, before, sum(counts), list(ids), list(sizes), list(counts), b"".join(frames))
+            known = [x for x in ids if x is not None]  # null ids come first
+            row = (shard, made, known[0] if known else None, ids[-1], digest, before, sum(counts), list(ids), list(sizes), list(counts), b"".join(frames))
             return pd.DataFrame([row], columns=[c.split()[0] for c in BLOCKS.split(", ")])
 
         for batch in batches:
