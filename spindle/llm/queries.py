@@ -12,6 +12,7 @@ from spindle.llm.decontaminate import contaminated
 from spindle.llm.exact import exact_duplicates
 from spindle.llm.language import identify
 from spindle.llm.lines import repeated_lines
+from spindle.llm.merkle import proven_documents
 from spindle.llm.mixing import mix
 from spindle.llm.quotes import linked_messages
 from spindle.llm.secrets import scan_documents
@@ -117,3 +118,54 @@ def mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = repeated_lines(table(spark, folder, "documents"))
     return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
+
+
+#: crc32 of a decimal number in SQL: the table follows from the polynomial, the digits go through it one by one.
+_CRC = """crcs AS (SELECT list(c ORDER BY i) AS crc FROM (
+    SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+    FROM (SELECT unnest(range(256)) AS i))),
+  remainders AS (SELECT doc_id, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+    lambda c, d: xor(c // 256, crc[xor(c % 256, d) + 1]))) AS crc32 FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL), crcs)"""
+
+
+def _leaf_sql(text: str) -> str:
+    parts = [f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(parts)})"
+
+
+#: Levels of one tree per key: nodes of (key, level, pos), each run of eight hashed until a key has one node left.
+_LEVELS = """SELECT key, 0 AS level, pos, h, n FROM {leaves}
+  UNION ALL SELECT key, level + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 7) // 8 FROM {name} WHERE n > 1 GROUP BY key, level, pos // 8"""
+
+MERKLE_SQL = f"""WITH RECURSIVE {_CRC},
+  leaves AS (SELECT doc_id, lang AS key, leaf AS h, claim, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n
+    FROM (SELECT doc_id, lang, {_leaf_sql("text")} AS leaf, CASE WHEN crc32 % 3 = 0 THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS claim
+      FROM documents LEFT JOIN remainders USING (doc_id))),
+  nodes AS ({_LEVELS.format(leaves="leaves", name="nodes")}),
+  tops AS (SELECT key AS lang, h, row_number() OVER (ORDER BY encode(key) NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+  top_leaves AS (SELECT '' AS key, pos, h, n FROM tops),
+  top_nodes AS ({_LEVELS.format(leaves="top_leaves", name="top_nodes")}),
+  heights AS (SELECT key, max(level) AS height FROM nodes GROUP BY key),
+  steps AS (
+    SELECT l.key, l.pos AS leaf, x.level, string_agg(x.h, '' ORDER BY x.pos) FILTER (x.pos < l.pos // CAST(pow(8, x.level) AS BIGINT)) AS before,
+      string_agg(x.h, '' ORDER BY x.pos) FILTER (x.pos > l.pos // CAST(pow(8, x.level) AS BIGINT)) AS after
+    FROM leaves l JOIN nodes x ON x.key IS NOT DISTINCT FROM l.key AND x.n > 1 AND x.pos // 8 = l.pos // CAST(pow(8, x.level + 1) AS BIGINT) GROUP BY ALL
+    UNION ALL
+    SELECT l.key, l.pos, height + x.level, string_agg(x.h, '' ORDER BY x.pos) FILTER (x.pos < t.pos // CAST(pow(8, x.level) AS BIGINT)),
+      string_agg(x.h, '' ORDER BY x.pos) FILTER (x.pos > t.pos // CAST(pow(8, x.level) AS BIGINT))
+    FROM leaves l JOIN heights g ON g.key IS NOT DISTINCT FROM l.key JOIN tops t ON t.lang IS NOT DISTINCT FROM l.key
+      JOIN top_nodes x ON x.n > 1 AND x.pos // 8 = t.pos // CAST(pow(8, x.level + 1) AS BIGINT) GROUP BY ALL),
+  ways AS (SELECT key, leaf, string_agg(coalesce(before, '') || coalesce(after, ''), '' ORDER BY level) AS proof,
+    list({{'a': coalesce(before, ''), 'b': coalesce(after, '')}} ORDER BY level) AS way FROM steps GROUP BY key, leaf),
+  folded AS (
+    SELECT l.key, l.pos, coalesce(l.claim, l.h) AS h, w.way, 1 AS at FROM leaves l LEFT JOIN ways w ON w.key IS NOT DISTINCT FROM l.key AND w.leaf = l.pos
+    UNION ALL SELECT key, pos, sha256(way[at].a || h || way[at].b), way, at + 1 FROM folded WHERE at <= len(way)),
+  ends AS (SELECT key, pos, h FROM folded WHERE at > coalesce(len(way), 0))
+SELECT l.doc_id, l.h AS leaf, t.h AS subroot, r.h AS root, sha256(coalesce(w.proof, '')) AS proof_sha256, e.h AS folded_root, e.h = r.h AS verified
+FROM leaves l JOIN tops t ON t.lang IS NOT DISTINCT FROM l.key JOIN top_nodes r ON r.n = 1
+  JOIN ends e ON e.key IS NOT DISTINCT FROM l.key AND e.pos = l.pos LEFT JOIN ways w ON w.key IS NOT DISTINCT FROM l.key AND w.leaf = l.pos"""
+
+
+@_query("op13_merkle_manifest", MERKLE_SQL)
+def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return proven_documents(table(spark, folder, "documents"))
