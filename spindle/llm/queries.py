@@ -158,9 +158,9 @@ MERKLE_SQL = f"""WITH RECURSIVE {_CRC},
   ways AS (SELECT key, leaf, string_agg(coalesce(before, '') || coalesce(after, ''), '' ORDER BY level) AS proof,
     list({{'a': coalesce(before, ''), 'b': coalesce(after, '')}} ORDER BY level) AS way FROM steps GROUP BY key, leaf),
   folded AS (
-    SELECT l.key, l.pos, coalesce(l.claim, l.h) AS h, w.way, 1 AS at FROM leaves l LEFT JOIN ways w ON w.key IS NOT DISTINCT FROM l.key AND w.leaf = l.pos
-    UNION ALL SELECT key, pos, sha256(way[at].a || h || way[at].b), way, at + 1 FROM folded WHERE at <= len(way)),
-  ends AS (SELECT key, pos, h FROM folded WHERE at > coalesce(len(way), 0))
+    SELECT l.key, l.pos, coalesce(l.claim, l.h) AS h, w.way, 1 AS step FROM leaves l LEFT JOIN ways w ON w.key IS NOT DISTINCT FROM l.key AND w.leaf = l.pos
+    UNION ALL SELECT key, pos, sha256(way[step].a || h || way[step].b), way, step + 1 FROM folded WHERE step <= len(way)),
+  ends AS (SELECT key, pos, h FROM folded WHERE step > coalesce(len(way), 0))
 SELECT l.doc_id, l.h AS leaf, t.h AS subroot, r.h AS root, sha256(coalesce(w.proof, '')) AS proof_sha256, e.h AS folded_root, e.h = r.h AS verified
 FROM leaves l JOIN tops t ON t.lang IS NOT DISTINCT FROM l.key JOIN top_nodes r ON r.n = 1
   JOIN ends e ON e.key IS NOT DISTINCT FROM l.key AND e.pos = l.pos LEFT JOIN ways w ON w.key IS NOT DISTINCT FROM l.key AND w.leaf = l.pos"""
