@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindle.llm.alignment import aligned_documents
 from spindle.llm.common import table
 from spindle.llm.decontaminate import contaminated
 from spindle.llm.exact import exact_duplicates
@@ -169,3 +170,8 @@ FROM leaves l JOIN tops t ON t.lang IS NOT DISTINCT FROM l.key JOIN top_nodes r
 @_query("op13_merkle_manifest", MERKLE_SQL)
 def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return proven_documents(table(spark, folder, "documents"))
+
+
+@_query("op12_tokenizer_alignment")
+def tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return aligned_documents(table(spark, folder, "documents"))
