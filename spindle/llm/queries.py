@@ -15,6 +15,7 @@ from spindle.llm.language import identify
 from spindle.llm.lines import repeated_lines
 from spindle.llm.merkle import proven_documents
 from spindle.llm.mixing import mix
+from spindle.llm.quality import scored_documents
 from spindle.llm.quotes import linked_messages
 from spindle.llm.secrets import scan_documents
 from spindle.llm.simhash import near_duplicates
@@ -175,3 +176,8 @@ def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op12_tokenizer_alignment")
 def tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return aligned_documents(table(spark, folder, "documents"))
+
+
+@_query("op11_quality_classifier")
+def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return scored_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
