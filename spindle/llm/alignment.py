@@ -15,16 +15,19 @@ the tokenizers doesn't give back the bytes have no tokens.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +42,11 @@ RANGE = 1 << 15
 #: Entries (a pair in a document) that a task gathers before it writes their bitmaps.
 ENTRIES = 1 << 22
 #: Words that a worker remembers, and their characters.
-WORDS, WORD_CHARS = 200_000, 4_000_000
+WORDS, WORD_CHARS = 300_000, 6_000_000
+#: Words from this length on go to an encoder whose time grows evenly with the length.
+LONG = 200
+#: Characters of texts that are gone through together.
+SLICE_CHARS = 2_000_000
 #: Rows of bitmaps to a batch.
 FLUSHED = 10_000
 _ROW_BITS = 33
@@ -58,88 +65,131 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the lists, and how many each has."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, sizes.sum()), sizes
+
+
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places starts[i], starts[i] + 1, ... of all i, sizes[i] each."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+def byte_level(path: str) -> dict[bytes, int]:
+    """The tokens of a byte-level BPE file as bytes with their ids, whose order must be that of the merges."""
+    with open(path) as file:
+        stored = json.load(file)
+    special = {t["content"] for t in stored["added_tokens"]}
+    vocabulary, letters = stored["model"]["vocab"], _byte_letters()
+    merged = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in stored["model"]["merges"]]
+    plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    if stored["normalizer"] or not plain.items() <= (stored["pre_tokenizer"] or {}).items() or merged != sorted(merged):
+        raise ValueError(f"{path} is no byte-level BPE with merges in the order of ids")
+    return {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if token not in special}
+
+
 class Aligner:
-    """Tokens of single words under both tokenizers; see ``word``."""
+    """Tokens of single words under both tokenizers, and what follows from them. Words are numbered as they are learned;
+    number 0 is a word that a tokenizer doesn't give back."""
 
     def __init__(self, path_a: str, path_b: str):
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
+        ranks = byte_level(path_a)
+        self.a = tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.long = Tokenizer.from_file(path_a)
+        self.long.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        letters = _byte_letters()
-        vocabulary = self.a.get_vocab()
-        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
-        for token, i in vocabulary.items():
-            self.bytes_a[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        if any(re.search("[^▁]▁|\n", p) for p in pieces) or any(re.search(r"\S[ \n]", t.decode(errors="ignore")) for t in self.bytes_a):
-            raise ValueError("a token goes on after the end of a word: words can't be cut there")
+        tokens = {i: t for t, i in ranks.items()}
+        self.bytes_a = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
         self.bytes_b = [bytes([int(p[1:-1], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces]
+        if any(re.search("[^▁]▁|\n", p) for p in pieces):
+            raise ValueError("a piece goes on after the end of a word: words can't be cut there")
+        self.lengths_a = np.array([len(t) for t in self.bytes_a], np.int64)
+        self.lengths_b = np.array([len(t) for t in self.bytes_b], np.int64)
+        highest = max(len(self.bytes_a), len(self.bytes_b))
+        #: Ids as text, with each mark that may follow.
+        self.spelled = {mark: np.array([f"{i}{mark}" for i in range(highest)], object) for mark in ",|;\n"}
         self.clear()
 
     def clear(self) -> None:
-        """Forget all words. Number 0 is a word that a tokenizer doesn't give back."""
+        """Forget all words."""
         self.numbers: dict[str, int] = {}
+        self.pair_numbers: dict[int, int] = {}
         self.groups: list[str] = [""]
-        self.sizes: list[tuple[int, int, int, int]] = [(0, 0, 0, 0)]
-        self.pairs: list[np.ndarray] = [np.zeros(0, np.int64)]
+        self.sizes = np.zeros((1, 4), np.int64)  # tokens of A and B, groups, links
+        self.starts = np.zeros(1, np.int64)
+        self.links = np.zeros(0, np.int64)  # numbers of the pairs of each word, end to end
+        self.pairs = np.zeros(0, np.int64)  # the pair of each number, as a * 2**32 + b
         self.chars = 0
 
-    def encode(self, word: str) -> tuple[list[int], list[int]]:
-        ids_a = self.a.encode(word, add_special_tokens=False).ids
-        if word[0] == " ":  # the model puts a space before what it gets
-            return ids_a, self.b.encode(word[1:])
-        return ids_a, self.b.encode(word)[1:]  # that space is a piece of its own before a line break
-
-    def links(self, raw: bytes, ids_a: list[int], ids_b: list[int]) -> tuple[list[str], list[int]] | None:
-        """(groups as text, a * 2**32 + b of every link), null if a tokenizer doesn't give the bytes back."""
-        tokens_a, tokens_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-        if b"".join(tokens_a) != raw or b"".join(tokens_b) != raw:
-            return None
-        pairs, groups = [], []
-        i = j = from_i = from_j = 0
-        end_a, end_b = len(tokens_a[0]), len(tokens_b[0])
-        while True:
-            pairs.append(ids_a[i] << 32 | ids_b[j])
-            met = end_a == end_b
-            if met:
-                groups.append(f"{','.join(map(str, ids_a[from_i : i + 1]))}|{','.join(map(str, ids_b[from_j : j + 1]))}")
-                from_i, from_j = i + 1, j + 1
-                if from_i == len(ids_a):
-                    return groups, pairs
-            forth_a, forth_b = end_a <= end_b, end_b <= end_a
-            if forth_a:
-                i += 1
-                end_a += len(tokens_a[i])
-            if forth_b:
-                j += 1
-                end_b += len(tokens_b[j])
-
-    def word(self, word: str) -> int:
-        """Number of a word that starts with a space or line break."""
-        number = self.numbers.get(word)
-        if number is None:
-            ids_a, ids_b = self.encode(word)
-            found = self.links(word.encode(), ids_a, ids_b)
-            number = 0
-            if found:
-                groups, pairs = found
-                number = len(self.groups)
-                self.groups.append(";".join(groups))
-                self.sizes.append((len(ids_a), len(ids_b), len(groups), len(pairs)))
-                self.pairs.append(np.array(pairs, np.int64))
-            self.numbers[word] = number
-            self.chars += len(word)
-        return number
-
-    def words(self, text: str) -> list[int]:
-        """Numbers of the words of a text, empty if the text has no tokens."""
-        if not text:
-            return []
-        words = split(text)
-        numbers = list(map(self.numbers.get, words))
-        if None in numbers:
-            numbers = list(map(self.word, words))
-        return [] if 0 in numbers else numbers
+    def learn(self, words: list[str]) -> None:
+        """Number new words; each starts with a space or line break."""
+        found_a = [self.a.encode_ordinary(w) if len(w) < LONG else self.long.encode(w, add_special_tokens=False).ids for w in words]
+        # the model puts a space before what it gets; before a line break that is a piece of its own
+        found_b = self.b.encode([w[1:] if w[0] == " " else w for w in words], num_threads=1)
+        found_b = [ids if w[0] == " " else ids[1:] for w, ids in zip(words, found_b)]
+        raw = [w.encode() for w in words]
+        same = [r == b"".join([self.bytes_a[i] for i in a]) == b"".join([self.bytes_b[i] for i in b]) for r, a, b in zip(raw, found_a, found_b)]
+        self.numbers.update((w, 0) for w, s in zip(words, same) if not s)
+        words, raw, found_a, found_b = ([x for x, s in zip(xs, same) if s] for xs in (words, raw, found_a, found_b))
+        if not words:
+            return
+        first_number = len(self.groups)
+        self.numbers.update(zip(words, range(first_number, first_number + len(words))))
+        self.chars += sum(map(len, words))
+        # all words are gone through as one text, as both sides have a token end at the end of each
+        (a, sizes_a), (b, sizes_b) = _flat(found_a), _flat(found_b)
+        lengths_a = self.lengths_a[a]
+        ends_a, ends_b = np.cumsum(lengths_a), np.cumsum(self.lengths_b[b])
+        first = np.searchsorted(ends_b, ends_a - lengths_a, side="right")
+        met = np.searchsorted(ends_b, ends_a, side="left") - first + 1  # tokens of B that a token of A meets
+        pairs = (np.repeat(a, met) << 32) | b[_ragged(first, met)]
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        word_ends = np.cumsum([len(r) for r in raw])
+        n_groups = np.diff(np.searchsorted(common, word_ends, side="right"), prepend=0)
+        links_upto = np.cumsum(met)[np.cumsum(sizes_a) - 1]
+        n_links = np.diff(links_upto, prepend=0)
+        self.groups += self._spell(a, b, np.searchsorted(common, ends_a), np.searchsorted(common, ends_b), np.cumsum(n_groups) - 1)
+        self.starts = np.concatenate([self.starts, len(self.links) + links_upto - n_links])
+        self.sizes = np.concatenate([self.sizes, np.stack([sizes_a, sizes_b, n_groups, n_links], axis=1)])
+        distinct, which = np.unique(pairs, return_inverse=True)
+        known = self.pair_numbers
+        numbers = np.array([known.setdefault(p, len(known)) for p in distinct.tolist()], np.int64)
+        self.pairs = np.concatenate([self.pairs, distinct[numbers >= len(self.pairs)]])
+        self.links = np.concatenate([self.links, numbers[which]])
+
+    def _spell(self, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, last_groups: np.ndarray) -> list[str]:
+        """The groups of each word as text; ``last_groups`` are the last ones of the words."""
+        group, side = np.concatenate([group_a, group_b]), np.repeat([0, 1], [len(a), len(b)])
+        order = np.lexsort((side, group))
+        ids, group, side = np.concatenate([a, b])[order], group[order], side[order]
+        ends = np.append((group[1:] != group[:-1]) | (side[1:] != side[:-1]), True)
+        texts = self.spelled[","][ids]
+        for mark, here in (("|", ends & (side == 0)), (";", ends & (side == 1)), ("\n", ends & (side == 1) & np.isin(group, last_groups))):
+            texts[here] = self.spelled[mark][ids[here]]
+        return "".join(texts.tolist()).split("\n")[:-1]
+
+    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words of all texts, end to end, and how many each text has: none if it has no tokens."""
+        cut = [split(t) if t else [] for t in texts]
+        distinct = set(chain.from_iterable(cut))
+        fresh = distinct.difference(self.numbers)
+        if self.numbers and (len(self.numbers) + len(fresh) > self.most or self.chars > WORD_CHARS):
+            self.clear()
+            fresh = distinct
+        if fresh:
+            self.learn(list(fresh))
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        numbers = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(cut)), np.int64, sizes.sum())
+        if not numbers.all():
+            owner = np.repeat(np.arange(len(cut)), sizes)
+            lost = np.isin(np.arange(len(cut)), owner[numbers == 0])
+            numbers, sizes = numbers[~lost[owner]], np.where(lost, 0, sizes)
+        return numbers, sizes
+
+    #: Words to remember.
+    most = WORDS
 
 
 def split(text: str) -> list[str]:
@@ -210,6 +260,8 @@ def bitmaps(pairs: np.ndarray, places: np.ndarray, times: np.ndarray) -> tuple[n
 
 def _heads(keys: np.ndarray) -> np.ndarray:
     """Places where a run of equal keys starts."""
+    if not len(keys):
+        return np.zeros(0, np.int64)
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
 
 
@@ -226,45 +278,64 @@ def _filled(columns: dict) -> pa.RecordBatch:
     return pa.record_batch([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in _PARTS], schema=_PARTS)
 
 
+def _slices(texts: list[str | None]) -> Iterator[slice]:
+    """Runs of texts of about ``SLICE_CHARS``."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        size += len(text or "")
+        if size >= SLICE_CHARS:
+            yield slice(start, i + 1)
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 def _encoder(path_a: str, path_b: str, entries: int, words: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(path_a, path_b)
+        own.most = words
         row = TaskContext.get().partitionId() << _ROW_BITS  # ranges belong to one task; a repeated task numbers alike
         held: list[tuple[np.ndarray, ...]] = []
-        size = 0
 
         def flushed(number: int) -> Iterator[pa.RecordBatch]:
-            nonlocal size
             if held:
                 pairs, planes = bitmaps(*[np.concatenate(x) for x in zip(*held)])
                 for i in range(0, len(pairs), FLUSHED):
                     part = pairs[i : i + FLUSHED]
                     yield _filled({"pair": part, "planes": planes[i : i + FLUSHED], "range": np.full(len(part), number)})
             held.clear()
-            size = 0
 
         for batch in batches:
-            docs = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                if len(own.numbers) > words or own.chars > WORD_CHARS:
-                    own.clear()
-                numbers = own.words(text or "")
-                used, counts = np.unique(np.array(numbers, np.int64), return_counts=True)
-                sizes = np.array([own.sizes[i] for i in used.tolist()], np.int64).reshape(-1, 4)
-                spelled = ";".join([own.groups[i] for i in numbers])
-                digest = hashlib.sha256(spelled.encode()).hexdigest() if numbers else ""
-                docs.append((doc_id, *(counts @ sizes).tolist(), digest, row // RANGE, row % RANGE))
-                if numbers:
-                    pairs, at = np.unique(np.concatenate([own.pairs[i] for i in used.tolist()]), return_inverse=True)
-                    times = np.bincount(at, np.repeat(counts, sizes[:, 3]), len(pairs)).astype(np.int32)
-                    held.append((pairs, np.full(len(pairs), row % RANGE, np.uint16), times))
-                    size += len(pairs)
-                row += 1
-                if size >= entries or row % RANGE == 0:
-                    yield from flushed((row - 1) // RANGE)
-            if docs:
-                yield _filled(dict(zip(_PARTS.names[:8], zip(*docs))))
-        yield from flushed((row - 1) // RANGE)
+            texts, doc_ids = batch["text"].to_pylist(), batch["doc_id"]
+            for piece in _slices(texts):
+                numbers, sizes = own.words(texts[piece])
+                rows = row + np.arange(len(sizes))
+                row += len(sizes)
+                ends = np.cumsum(sizes)
+                totals = np.vstack([np.zeros((1, 4), np.int64), np.cumsum(own.sizes[numbers], axis=0)])
+                spelled = list(map(own.groups.__getitem__, numbers.tolist()))
+                digests = [hashlib.sha256(";".join(spelled[e - n : e]).encode()).hexdigest() if n else "" for n, e in zip(sizes.tolist(), ends.tolist())]
+                counts = dict(zip(_PARTS.names[1:5], (totals[ends] - totals[ends - sizes]).T))
+                yield _filled({"doc_id": doc_ids[piece], **counts, "groups_sha256": digests, "range": rows // RANGE, "place": rows % RANGE})
+                # each word of a text once, then each pair of it once
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                used, times = np.unique(owner << 32 | numbers, return_counts=True)
+                n_links = own.sizes[used & 0xFFFFFFFF, 3]
+                links = own.links[_ragged(own.starts[used & 0xFFFFFFFF], n_links)]
+                keys = np.repeat(used >> 32, n_links) << 32 | links
+                order = np.argsort(keys, kind="stable")
+                heads = _heads(keys[order])
+                keys, times = keys[order][heads], np.add.reduceat(np.repeat(times, n_links)[order], heads) if len(heads) else heads
+                at = rows[keys >> 32]
+                for number in np.unique(at // RANGE).tolist():
+                    if held and number != since:
+                        yield from flushed(since)
+                    since, here = number, at // RANGE == number
+                    held.append((own.pairs[keys[here] & 0xFFFFFFFF], (at[here] % RANGE).astype(np.uint16), times[here].astype(np.int32)))
+                    if sum(len(x[0]) for x in held) >= entries:
+                        yield from flushed(number)
+        if held:
+            yield from flushed(since)
 
     return encode
 
