@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindle.operators.ordered import Groups, key_join, order_statistic_columns, order_statistics
+from spindle.operators.ordered import Groups, key_join
+from spindle.operators.selection import select_ranks
 
 # fixed values: percentile names and their probabilities
 PERCENTILES = {
@@ -20,58 +21,67 @@ MOMENTS = ("count", "sum", "avg", "min", "max", "mode", "median", "variance", "s
 STATISTICS = (*MOMENTS, *PERCENTILES)
 
 
-def _moments(name: str, value: Column) -> list[Column]:
-    value = value.cast("double")
-    return [
-        F.count(value).alias(f"{name}_count"),
-        F.sum(value).alias(f"{name}_sum"),
-        F.avg(value).alias(f"{name}_avg"),
-        F.min(value).alias(f"{name}_min"),
-        F.max(value).alias(f"{name}_max"),
-        F.var_pop(value).alias(f"{name}_variance"),
-        F.stddev_pop(value).alias(f"{name}_std"),
-    ]
+#: What a statistic of whole rows is: an aggregate function and the value it takes of each row.
+Extra = tuple[Callable[[Column], Column], Column]
+_ROW = -1
+
+
+def _moments() -> list[Column]:
+    v = F.col("v")
+    named = {"count": F.count(v), "sum": F.sum(v), "avg": F.avg(v), "min": F.min(v), "max": F.max(v), "variance": F.var_pop(v), "std": F.stddev_pop(v)}
+    return [c.alias(n) for n, c in named.items()]
+
+
+def _long(df: DataFrame, keys: Sequence[str], metrics: dict[str, Column], extra: dict[str, Extra]) -> DataFrame:
+    """A row per metric that has a value, and one (``_ROW``) for the row itself: a few expressions then do for all metrics."""
+    pairs = [F.struct(F.lit(i).alias("_m"), c.cast("double").alias("v")) for i, c in enumerate(metrics.values())]
+    if extra:
+        pairs.append(F.struct(F.lit(_ROW).alias("_m"), F.lit(None).cast("double").alias("v")))
+    rows = df.select(*keys, *[value.alias(f"_e_{n}") for n, (_, value) in extra.items()], F.inline(F.array(*pairs)))
+    return rows.where(F.col("v").isNotNull() | (F.col("_m") == _ROW))
 
 
 def statistics(
     df: DataFrame,
     keys: Sequence[str],
     metrics: dict[str, Column],
-    extra: Sequence[Column] = (),
+    extra: dict[str, Extra] | None = None,
     groups: Groups | None = None,
     percentiles: dict[str, float] | None = None,
 ) -> DataFrame:
     """One row per group with ``<metric>_<statistic>`` columns and the ``extra`` aggregates.
 
     Count, sum, extremes and variance merge across tasks, so they need no care. Percentiles and mode hold the
-    distinct values of a group in memory, so groups over the limit go through ranked value counts instead.
+    distinct values of a group in memory, so groups over the limit go through selection by sketches instead.
     """
-    percentiles = percentiles or PERCENTILES
+    percentiles, extra = percentiles or PERCENTILES, extra or {}
     probs = list(percentiles.values())
     groups = groups or Groups.measure(df, keys)
-    mergeable = [c for name, value in metrics.items() for c in _moments(name, value)] + list(extra)
+    extras = [how(F.when(F.col("_m") == _ROW, F.col(f"_e_{n}"))).alias(f"_e_{n}") for n, (how, _) in extra.items()]
+    by = [*keys, "_m"]
     parts = []
     cold, hot = groups.cold_part(df), groups.hot_part(df)
     if cold is not None:
-        parts.append(cold.groupBy(*keys).agg(*mergeable, *order_statistic_columns(metrics, probs, True)))
+        held = [F.percentile("v", probs).alias("pct"), F.mode("v", True).alias("mode")]
+        parts.append(_long(cold, keys, metrics, extra).groupBy(*by).agg(*extras, *_moments(), *held))
     if hot is not None:
-        only_hot = Groups(groups.keys, groups.limit, groups.hot, groups.nulls, groups.few)
-        moments = hot.groupBy(*keys).agg(*mergeable)
-        parts.append(key_join(moments, order_statistics(hot, keys, metrics, probs, only_hot, mode=True), keys, "left"))
-    wide = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    picked = [f"`{c}`" for c in wide.columns if not c.endswith(("_pct", "_mode")) and not _is_moment(c, metrics)]
-    for name in metrics:
-        picked.append(f"`{name}_count`")
-        picked += [f"coalesce(`{name}_{m}`, 0D) AS `{name}_{m}`" for m in ("sum", "avg", "min", "max", "mode", "variance", "std")]
-        at = {p: f"coalesce(`{name}_pct`[{i}], 0D)" for i, p in enumerate(percentiles)}
+        long = _long(hot, keys, metrics, extra)
+        picked = select_ranks(long.where(F.col("_m") != _ROW).select(*by, "v"), by, probs, groups.limit, mode=True)
+        parts.append(key_join(long.groupBy(*by).agg(*extras, *_moments()), picked, by, "left"))
+    long = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    fields = F.struct("count", "sum", "avg", "min", "max", "mode", "variance", "std", "pct")
+    none = {n: F.lit(0 if how is F.count else None) for n, (how, _) in extra.items()}  # of an empty table without keys
+    wide = [F.coalesce(F.max(F.when(F.col("_m") == _ROW, F.col(f"_e_{n}"))), none[n]).alias(n) for n in extra]
+    wide += [F.max(F.when(F.col("_m") == i, fields)).alias(f"_m{i}") for i in range(len(metrics))]
+    picked = [f"`{c}`" for c in (*keys, *extra)]
+    for i, name in enumerate(metrics):
+        picked.append(f"coalesce(_m{i}.count, 0L) AS `{name}_count`")
+        picked += [f"coalesce(_m{i}.{m}, 0D) AS `{name}_{m}`" for m in ("sum", "avg", "min", "max", "mode", "variance", "std")]
+        at = {p: f"coalesce(_m{i}.pct[{k}], 0D)" for k, p in enumerate(percentiles)}
         if "p50" in at:
             picked.append(f"{at['p50']} AS `{name}_median`")
         picked += [f"{c} AS `{name}_{p}`" for p, c in at.items()]
-    return wide.selectExpr(*picked)
-
-
-def _is_moment(column: str, metrics: dict[str, Column]) -> bool:
-    return any(column == f"{name}_{m}" for name in metrics for m in ("count", "sum", "avg", "min", "max", "variance", "std"))
+    return long.groupBy(*keys).agg(*wide).selectExpr(*picked)
 
 
 def iqr_bounds(df: DataFrame, metric: str) -> DataFrame:

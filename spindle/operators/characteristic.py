@@ -8,11 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindle.functions.scalars import ratio, throughput
-from spindle.functions.stats import as_struct, statistics
+from spindle.functions.stats import Extra, as_struct, statistics
 from spindle.operators.ordered import Groups, ordered
 
 
-
 def _sides(name: str, value: Column, split: bool = True) -> dict[str, Column]:
     if not split:
         return {name: value}
@@ -36,7 +35,7 @@ def with_interarrival(df: DataFrame, keys: Sequence[str], order: str, groups: Gr
 
 
 def characteristic(
-    df: DataFrame, keys: Sequence[str], order: str = "event_id", latency: bool | None = None, extra: Sequence[Column] = ()
+    df: DataFrame, keys: Sequence[str], order: str = "event_id", latency: bool | None = None, extra: dict[str, Extra] | None = None
 ) -> DataFrame:
     """Counts, span, ratios, rates and the statistics of every metric, all and per side, for each group.
 
@@ -51,14 +50,15 @@ def characteristic(
     if latency:
         metrics |= _sides("latency", F.col("latency"))
         metrics |= _sides("throughput", throughput(F.col("size"), F.col("latency")))
-    counts = [
-        F.count(F.lit(1)).alias("num_io"),
-        F.min("ts_record").alias("start_time"),
-        F.max("ts_record").alias("end_time"),
-        F.count_if(F.col("io_type") == 1).alias("read_count"),
-        F.count_if(F.col("io_type") != 1).alias("write_count"),
-    ]
-    wide = statistics(rows, keys, metrics, [*counts, *extra], groups)
+    one = F.lit(1)
+    counts = {
+        "num_io": (F.count, one),
+        "start_time": (F.min, F.col("ts_record")),
+        "end_time": (F.max, F.col("ts_record")),
+        "read_count": (F.count, F.when(F.col("io_type") == 1, one)),
+        "write_count": (F.count, F.when(F.col("io_type") != 1, one)),
+    }
+    wide = statistics(rows, keys, metrics, counts | (extra or {}), groups)
     return with_rates(wide)
 
 
@@ -86,7 +86,8 @@ def with_rates(df: DataFrame) -> DataFrame:
 
 def characteristic_with_overall(df: DataFrame, device: str, window: str = "window_id", order: str = "event_id") -> DataFrame:
     """Window rows and one overall row per device (null window), with accepted and rejected counts."""
-    labels = [F.count_if(F.col("reject") == 1).alias("reject_count"), F.count_if(F.col("reject") != 1).alias("accept_count")]
+    one = F.lit(1)
+    labels = {"reject_count": (F.count, F.when(F.col("reject") == 1, one)), "accept_count": (F.count, F.when(F.col("reject") != 1, one))}
     per_window = characteristic(df, [device, window], order, extra=labels)
     overall = characteristic(df, [device], order, extra=labels)
     both = per_window.unionByName(overall.withColumn(window, F.lit(None).cast(per_window.schema[window].dataType)))

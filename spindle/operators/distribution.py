@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindle.functions.scalars import finite, percent_text, ratio, round_half_even
-from spindle.operators.ordered import Groups, key_join, ordered, order_statistics
+from spindle.operators.ordered import Groups, key_join, ordered
+from spindle.operators.selection import order_statistics
 
 KNEE_GRID = 10_000  # points on [0, 1] the tangent knee is searched on
 KNEE_PERCENT = 97  # the longest 3% are left out

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from spindle.functions.scalars import finite, percent_text, round_half_even, throughput
 from spindle.operators.distribution import KNEE_PERCENT, cdf_gain, tangent_knee
-from spindle.operators.ordered import Groups, Ordered, key_join, order_statistics, ordered
+from spindle.operators.ordered import Groups, Ordered, key_join, ordered
+from spindle.operators.selection import order_statistics
 from spindle.operators.sequence import tail_state, with_future, with_history
 from spindle.session import stable
 

@@ -1,6 +1,6 @@
 """Order-dependent work on groups of any size.
 
-``lag``, running totals, ranks and exact percentiles normally put a whole group into one task. Here the group
+``lag``, running totals and ranks normally put a whole group into one task. Here the group
 sizes are counted first. Groups up to ``spark.spindle.groupRows`` rows go through plain window functions. Larger
 ones are range-partitioned, numbered, and cut into blocks of exactly that many rows, so that a device holding a
 third of the trace is spread over many tasks:
@@ -272,56 +272,3 @@ def asof(probes: DataFrame, facts: DataFrame, keys: Sequence[str], at: str, valu
     groups = Groups.measure(rows, keys, staged=True)
     found = ordered(rows, keys, order, groups).running({"__found": ("last", F.col("__fact"))}, backward=ahead).frame()
     return found.where(F.col("__side") == 1).select("__probe.*", F.col("__found").alias(value))
-
-
-def order_statistics(
-    df: DataFrame, keys: Sequence[str], values: dict[str, Column], probs: Sequence[float], groups: Groups | None = None, mode: bool = False
-) -> DataFrame:
-    """Exact linear-interpolated percentiles (``<name>_pct`` array) and smallest mode (``<name>_mode``) per group."""
-    groups = groups or Groups.measure(df, keys)
-    parts = []
-    cold, hot = groups.cold_part(df), groups.hot_part(df)
-    if cold is not None:
-        parts.append(cold.groupBy(*keys).agg(*order_statistic_columns(values, probs, mode)))
-    if hot is not None:
-        parts.append(_large_order_statistics(hot, keys, values, probs, groups.limit, mode))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-
-
-def order_statistic_columns(values: dict[str, Column], probs: Sequence[float], mode: bool) -> list[Column]:
-    """The aggregates for groups known to be small enough to hold their distinct values in memory."""
-    columns = [F.percentile(c.cast("double"), list(probs)).alias(f"{n}_pct") for n, c in values.items()]
-    if mode:
-        columns += [F.mode(c.cast("double"), True).alias(f"{n}_mode") for n, c in values.items()]
-    return columns
-
-
-def _large_order_statistics(
-    df: DataFrame, keys: Sequence[str], values: dict[str, Column], probs: Sequence[float], limit: int, mode: bool
-) -> DataFrame:
-    """Count equal values first, rank the counts block by block, then pick the two values around each position."""
-    pairs = [F.struct(F.lit(n).alias("__name"), c.cast("double").alias("__value")) for n, c in values.items()]
-    long = df.select(*keys, F.inline(F.array(*pairs))).where(F.col("__value").isNotNull())
-    by = [*keys, "__name"]
-    counts = stable(long.groupBy(*by, "__value").agg(F.count(F.lit(1)).alias("__n")))
-    ranked = ordered(counts, by, ["__value"], Groups.measure(counts, by, limit, staged=True)).running({"__upto": ("sum", F.col("__n"))}).frame()
-    totals = stable(counts.groupBy(*by).agg(F.sum("__n").alias("__total")))  # one row per large group and column
-    ranked = key_join(ranked, totals, by, small=fits(totals))
-    picks = []
-    for i, p in enumerate(probs):
-        position = (F.col("__total") - 1) * F.lit(float(p))
-        picks.append(F.min(F.when(F.col("__upto") > F.floor(position), F.col("__value"))).alias(f"__lo{i}"))
-        picks.append(F.min(F.when(F.col("__upto") > F.ceil(position), F.col("__value"))).alias(f"__hi{i}"))
-    best = F.max_by("__value", F.struct("__n", -F.col("__value"))).alias("__mode")
-    picked = ranked.groupBy(*by).agg(F.first("__total").alias("__total"), best, *picks)
-    between = []
-    for i, p in enumerate(probs):
-        position = (F.col("__total") - 1) * F.lit(float(p))
-        share = position - F.floor(position)
-        lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
-        between.append(F.when(lo == hi, lo).otherwise(lo * (1 - share) + hi * share))
-    picked = picked.select(*by, F.array(*between).alias("__pct"), "__mode")
-    wide = [F.max(F.when(F.col("__name") == n, F.col("__pct"))).alias(f"{n}_pct") for n in values]
-    if mode:
-        wide += [F.max(F.when(F.col("__name") == n, F.col("__mode"))).alias(f"{n}_mode") for n in values]
-    return picked.groupBy(*keys).agg(*wide)

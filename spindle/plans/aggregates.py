@@ -11,6 +11,7 @@ from spindle.operators import characteristic as ch
 from spindle.operators import evaluate as ev
 from spindle.operators import sampling
 from spindle.operators.distribution import describe as describe_column
+from spindle.operators.ordered import Groups
 from spindle.operators.windows import first_time, split_windows
 from spindle.plans.registry import query, rounded
 from spindle.sources import fixtures
@@ -91,6 +92,22 @@ def percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(wide.select("disk_id", *[f"latency_{p}" for p in points], "latency_median"), 4)
 
 
+@query(
+    "ag5_selected_percentiles",
+    with_views(TRACE, REPLAYED)
+    + f""", m AS (SELECT disk_id, CAST(latency AS DOUBLE) AS latency_mode FROM replayed GROUP BY disk_id, latency
+    QUALIFY row_number() OVER (PARTITION BY disk_id ORDER BY count(*) DESC, latency) = 1)
+  SELECT disk_id, latency_mode, {_percentiles_sql("latency", "latency")}, {_percentiles_sql("throughput", "size / latency")}
+  FROM replayed JOIN m USING (disk_id) GROUP BY disk_id, latency_mode""",
+)
+def selected_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    """As for devices with more rows than a task may hold: ranks through sketches and counts."""
+    rows = fixtures.replayed(spark, folder)
+    metrics = {"latency": F.col("latency"), "throughput": F.col("size") / F.col("latency")}
+    wide = stats.statistics(rows, ["disk_id"], metrics, groups=Groups.measure(rows, ["disk_id"], limit=500))
+    return rounded(wide.select("disk_id", "latency_mode", *[f"{m}_{p}" for m in metrics for p in (*P, "median")]), 4)
+
+
 @query(
     "ag6_iqr_bounds",
     with_views(TRACE, REPLAYED)

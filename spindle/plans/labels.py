@@ -256,7 +256,7 @@ fences AS (SELECT disk_id, chunk, quantile_cont(sl, 0.25) AS l25, quantile_cont(
 def gc_fences(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Rows with slopes, and the quartile fences of the slopes per device and chunk."""
     from spindle.functions.scalars import throughput
-    from spindle.operators.ordered import order_statistics
+    from spindle.operators.selection import order_statistics
 
     rows = fixtures.replayed(spark, folder).withColumn("throughput", throughput(F.col("size"), F.col("latency")))
     sloped = sequence.slopes(ordered(rows, KEYS, ORDER), ["latency", "throughput"]).frame()

@@ -9,7 +9,7 @@ from spindle.functions import scalars
 from spindle.functions.predicates import contiguous_chunks, contains_any, matching, minutes, within_any
 from spindle.operators.characteristic import characteristic, long_metrics
 from spindle.operators.features import model_columns, readonly
-from spindle.operators.ordered import order_statistics
+from spindle.operators.selection import order_statistics
 from spindle.operators.sequence import pages
 from spindle.operators.windows import relative_time
 from spindle.plans.labels import FEATURES_SQL, features_of

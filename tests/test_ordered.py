@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spindle.operators.ordered import Groups, asof, order_statistics, ordered
+from spindle.operators.ordered import Groups, asof, ordered
+from spindle.operators.selection import order_statistics
 
 
 def skewed(spark, n=300, seed=1):
