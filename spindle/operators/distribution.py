@@ -7,15 +7,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindle.functions.scalars import finite, percent_text, ratio, round_half_even
-from spindle.operators.ordered import Groups, key_join, ordered
+from spindle.operators.ordered import Groups, fits, key_join, ordered
 from spindle.operators.selection import order_statistics
+from spindle.session import stable
 
 KNEE_GRID = 10_000  # points on [0, 1] the tangent knee is searched on
+#: Width of a segment of values in units of a kernel's decay: what is farther away counts for e**-300 at most.
+SEGMENT = 300.0
 KNEE_PERCENT = 97  # the longest 3% are left out
 
 
@@ -51,28 +55,66 @@ def sampled_cdf(
     return points.union(ends).distinct()
 
 
-def density(
-    df: DataFrame, keys: Sequence[str], value: Column, low: float = 0.0, high: float = 20.0, step: float = 0.1
-) -> DataFrame:
-    """Kernel density on a grid: Silverman's kernel with Scott's bandwidth, 1.06 * std * n**-0.2."""
-    groups = Groups.measure(df, keys)
+def densities(df: DataFrame, keys: Sequence[str], value: Column, grid: tuple[float, float, float] | None = None) -> DataFrame:
+    """Kernel density at every distinct value (``point`` null), and on a grid (low, high, step) if given, with its integral.
+
+    Silverman's kernel with Scott's bandwidth, 1.06 * std * n**-0.2. The kernel is a damped sine, so the sum over all values
+    below a point follows from that at the point before by one complex factor. Seen from the start of a segment of values
+    that is a running sum, and so is the sum over the values above; a segment is so wide that only the next ones still
+    count. No value meets another one: the work is that of sorting the distinct values. Returns keys, x, n, point, pdf, cdf;
+    groups whose values are all equal have none.
+    """
     rows = df.select(*keys, value.cast("double").alias("x")).where(F.col("x").isNotNull())
     spread = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_total"), (1.06 * F.stddev_samp("x") * F.pow(F.count(F.lit(1)), F.lit(-0.2))).alias("_h")
-    )
-    counts = rows.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("_n"))
-    joined = groups.join(counts, spread)
-    points = round((high - low) / step)
-    grid = F.explode(F.sequence(F.lit(0), F.lit(points))).alias("_g")
-    at = (F.col("_g") * F.lit(step) + F.lit(low)).alias("grid")
-    spreaded = joined.where(F.col("_h") > 0).select(*keys, "x", "_n", "_total", "_h", grid).select("*", at)
-    u = F.abs((F.col("grid") - F.col("x")) / F.col("_h")) / F.lit(math.sqrt(2.0))
-    kernel = 0.5 * F.exp(-u) * F.sin(u + F.lit(math.pi / 4))
-    # grid points merge map-side: the shuffle carries one row per grid point and task
-    summed = spreaded.groupBy(*keys, "_g", "grid").agg(
-        (F.sum(F.col("_n") * kernel) / F.first("_total") / F.first("_h")).alias("pdf")
+        F.count(F.lit(1)).alias("_total"),
+        (1.06 * F.stddev_samp("x") * F.pow(F.count(F.lit(1)), F.lit(-0.2))).alias("_h"),
+        F.min("x").alias("_low"),
     )
-    return summed.select(*keys, F.col("_g").cast("long").alias("point"), "grid", "pdf")
+    spread = stable(spread.where(F.col("_h") > 0))
+    counts = rows.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("n"))
+    groups = Groups.measure(df, keys)
+    points = groups.join(counts.withColumn("point", F.lit(None).cast("long")), spread)
+    if grid:
+        low, high, step = grid
+        places = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(round((high - low) / step)).cast("long")))
+        on_grid = spread.select("*", places.alias("point")).withColumns({"x": F.col("point") * F.lit(step) + F.lit(low), "n": F.lit(0).cast("long")})
+        points = points.unionByName(on_grid)
+    far = (F.col("x") - F.col("_low")) / F.col("_h") / F.lit(math.sqrt(2.0))
+    points = points.withColumn("_seg", F.floor(far / SEGMENT)).withColumn("_t", far - F.col("_seg") * SEGMENT)
+    points = stable(points.withColumn("_grid", F.col("point").isNotNull()))  # after the value it falls on
+    by, t, n = [*keys, "_seg"], F.col("_t"), F.col("n")
+    ahead = {"_a": n * F.exp(t) * F.cos(t), "_b": n * F.exp(t) * F.sin(t), "_upto": n}
+    behind = {"_c": n * F.exp(-t) * F.cos(t), "_d": n * F.exp(-t) * F.sin(t)}
+    lines = ordered(points, by, ["x", "_grid"], Groups.measure(points, by, groups.limit, staged=True))
+    lines = lines.running({c: ("sum", v) for c, v in ahead.items()})
+    lines = lines.running({c: ("sum", v) for c, v in behind.items()}, exclusive=True, backward=True).frame()
+    # what the segments on both sides add, seen from the segment's start
+    sums = points.groupBy(*by).agg(*[F.sum(v).alias(c) for c, v in (ahead | behind).items()])
+    w = Window.partitionBy(*keys).orderBy("_seg")
+    before, after = F.lag("_seg").over(w) == F.col("_seg") - 1, F.lead("_seg").over(w) == F.col("_seg") + 1
+    beside = [F.when(before, F.lag(c).over(w)).alias(f"{c}_p") for c in ("_a", "_b")] + [F.when(after, F.lead(c).over(w)).alias(f"{c}_n") for c in ("_c", "_d")]
+    earlier = F.sum("_upto").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier")
+    sums = stable(sums.select(*by, *beside, earlier))
+    lines = key_join(lines, sums, by, small=fits(sums)).fillna(0.0, subset=["_c", "_d", "_a_p", "_b_p", "_c_n", "_d_n"])
+    real, imaginary = [], []
+    for x, y, angle, reach in (("_a", "_b", t, -t), ("_a_p", "_b_p", t + SEGMENT, -t - SEGMENT)):
+        real.append(F.exp(reach) * (F.col(x) * F.cos(angle) + F.col(y) * F.sin(angle)))
+        imaginary.append(F.exp(reach) * (F.col(x) * F.sin(angle) - F.col(y) * F.cos(angle)))
+    for x, y, angle in (("_c", "_d", t), ("_c_n", "_d_n", t - SEGMENT)):
+        real.append(F.exp(angle) * (F.col(x) * F.cos(angle) + F.col(y) * F.sin(angle)))
+        imaginary.append(F.exp(angle) * (F.col(y) * F.cos(angle) - F.col(x) * F.sin(angle)))
+    pdf = (sum(real[1:], real[0]) + sum(imaginary[1:], imaginary[0])) * F.lit(math.sqrt(2.0) / 4) / F.col("_total") / F.col("_h")
+    below = F.col("_upto") + F.coalesce("_earlier", F.lit(0))
+    cdf = (below - 0.5 * (real[0] + real[1]) + 0.5 * (real[2] + real[3])) / F.col("_total")
+    return lines.select(*keys, "x", "n", "point", pdf.alias("pdf"), cdf.alias("cdf"))
+
+
+def density(
+    df: DataFrame, keys: Sequence[str], value: Column, low: float = 0.0, high: float = 20.0, step: float = 0.1
+) -> DataFrame:
+    """Kernel density on a grid; see ``densities``."""
+    found = densities(df, keys, value, (low, high, step)).where(F.col("point").isNotNull())
+    return found.select(*keys, "point", F.col("x").alias("grid"), "pdf")
 
 
 def density_cdf(pdf: DataFrame, keys: Sequence[str], step: float = 0.1) -> DataFrame:
@@ -93,6 +135,31 @@ def series_variants(df: DataFrame, keys: Sequence[str], order: str, value: str =
     return ordered(joined, keys, [order], groups).shifted(made, before=1).frame().withColumnRenamed(value, "real")
 
 
+VARIANTS = ("real", "norm", "diff", "diff_norm")
+
+
+def stat_series(df: DataFrame, keys: Sequence[str], order: str, metrics: Sequence[str], digits: int = 9) -> DataFrame:
+    """Every metric of the series as is, mean-normalised and as ratio to the previous value, each as four statistics.
+
+    Rows (keys, metric, variant, stat, x, y): ``raw`` has the values y in the order x; ``pdf``, ``cdf_from_pdf`` (the density's
+    integral) and ``cdf`` (the share of rows up to x) have one row per distinct value x. A variant that never changes has
+    no density. Values are rounded to ``digits``, so that equal ratios are equal.
+    """
+    long = df.select(*keys, order, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot([*keys, order], list(metrics), "metric", "value")
+    by = [*keys, "metric", "variant"]
+    variants = series_variants(long.where("value IS NOT NULL"), [*keys, "metric"], order)
+    variants = stable(variants.unpivot([*keys, "metric", order], list(VARIANTS), "variant", "y").withColumn("y", F.round("y", digits)))
+    smooth = stable(densities(variants, by, F.col("y")))
+    stats = {
+        "raw": variants.select(*by, F.col(order).cast("double").alias("x"), "y"),
+        "pdf": smooth.select(*by, "x", F.col("pdf").alias("y")),
+        "cdf_from_pdf": smooth.select(*by, "x", F.col("cdf").alias("y")),
+        "cdf": ecdf(variants, by, F.col("y")),
+    }
+    parts = [part.withColumn("stat", F.lit(name)) for name, part in stats.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def tangent_knee(
     df: DataFrame, keys: Sequence[str], metrics: dict[str, Column], groups: Groups | None = None, cuts: DataFrame | None = None
 ) -> DataFrame:

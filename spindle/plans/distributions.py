@@ -74,6 +74,19 @@ def density(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(ds.density(fixtures.replayed(spark, folder), [], F.col("size") / 2500.0))
 
 
+_AT_POINTS = """, s AS (SELECT chunk, count(*) AS n, 1.06::DOUBLE * stddev_samp(x) * pow(count(*), -0.2::DOUBLE) AS h FROM d GROUP BY chunk),
+  k AS (SELECT chunk, p.x, (p.x - d.x) / h / sqrt(2) AS u, n, h FROM (SELECT DISTINCT chunk, x FROM d) p JOIN d USING (chunk) JOIN s USING (chunk))
+  SELECT chunk, round(x, 6) AS x, round(sum(0.5::DOUBLE * exp(-abs(u)) * sin(abs(u) + pi() / 4)) / any_value(n) / any_value(h), 6) AS pdf,
+    round(avg(CASE WHEN u >= 0 THEN 1 - 0.5::DOUBLE * exp(-u) * cos(u) ELSE 0.5::DOUBLE * exp(u) * cos(u) END), 6) AS cdf FROM k GROUP BY chunk, x"""
+
+
+@query("ds5_density_at_points", with_views(TRACE, REPLAYED, "d AS (SELECT chunk, latency / 100.0::DOUBLE AS x FROM replayed)") + _AT_POINTS)
+def density_at_points(spark: SparkSession, folder: str) -> DataFrame:
+    """Density and its integral at every value, per window."""
+    found = ds.densities(fixtures.replayed(spark, folder), ["chunk"], F.col("latency") / 100.0)
+    return rounded(found.select("chunk", "x", "pdf", "cdf"))
+
+
 @query(
     "ds6_density_cdf",
     with_views(TRACE, REPLAYED, _SCALED) + _density_sql("") + " SELECT point, grid, round(sum(pdf) OVER (ORDER BY point) * 0.1, 6) AS cdf FROM pdf",

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.operators import drift, features, label
+from spindle.operators import distribution, drift, features, label
 from spindle.operators.characteristic import characteristic
-from spindle.operators.distribution import series_variants
 from spindle.operators.windows import split_windows
 from spindle.plans.drifts import SETTINGS, DRIFT_SQL
 from spindle.plans.labels import _FEATURES, _OUTLIERS, _PERIODS, KNEES_SQL
@@ -78,20 +77,30 @@ def replay_files(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "snk6_stat_series",
-    with_views(TRACE, SERIES)
-    + """, v AS (SELECT idx, value AS real, value / avg(value) OVER () AS norm FROM series),
-  d AS (SELECT idx, real, norm, coalesce(real / nullif(lag(real) OVER (ORDER BY idx), 0), 0) AS diff,
-    coalesce(norm / nullif(lag(norm) OVER (ORDER BY idx), 0), 0) AS diff_norm FROM v)
-  SELECT 'raw' AS stat, variant, 'num_io' AS metric, idx, round(value, 6) AS value FROM d
-  UNPIVOT (value FOR variant IN (real, norm, diff, diff_norm))""",
+    with_views(TRACE, REPLAYED)
+    + """, w AS (SELECT CAST(floor(ts_record / 3600000) AS BIGINT) AS hour, count(*)::DOUBLE AS num_io, avg(size)::DOUBLE AS size_avg, max(latency)::DOUBLE AS latency_max FROM replayed GROUP BY 1),
+  l AS (SELECT hour, metric, value FROM w UNPIVOT (value FOR metric IN (num_io, size_avg, latency_max))),
+  v AS (SELECT *, value / avg(value) OVER (PARTITION BY metric) AS norm FROM l),
+  d AS (SELECT metric, hour, value AS real, norm, coalesce(value / nullif(lag(value) OVER o, 0), 0) AS diff, coalesce(norm / nullif(lag(norm) OVER o, 0), 0) AS diff_norm
+    FROM v WINDOW o AS (PARTITION BY metric ORDER BY hour)),
+  r AS (SELECT metric, variant, hour, round(y, 9) AS y FROM d UNPIVOT (y FOR variant IN (real, norm, diff, diff_norm))),
+  s AS (SELECT metric, variant, count(*) AS n, 1.06::DOUBLE * stddev_samp(y) * pow(count(*), -0.2::DOUBLE) AS h FROM r GROUP BY ALL),
+  k AS (SELECT metric, variant, p.y AS x, (p.y - r.y) / h / sqrt(2) AS u, n, h FROM (SELECT DISTINCT metric, variant, y FROM r) p JOIN r USING (metric, variant) JOIN s USING (metric, variant) WHERE h > 0),
+  f AS (SELECT metric, variant, x, sum(0.5::DOUBLE * exp(-abs(u)) * sin(abs(u) + pi() / 4)) / any_value(n) / any_value(h) AS pdf,
+    avg(CASE WHEN u >= 0 THEN 1 - 0.5::DOUBLE * exp(-u) * cos(u) ELSE 0.5::DOUBLE * exp(u) * cos(u) END) AS cdf FROM k GROUP BY ALL)
+  SELECT metric, variant, stat, round(x, 6) + 0.0 AS x, round(y, 5) + 0.0 AS y FROM (
+    SELECT metric, variant, 'raw' AS stat, hour::DOUBLE AS x, y FROM r UNION ALL SELECT metric, variant, 'pdf', x, pdf FROM f UNION ALL SELECT metric, variant, 'cdf_from_pdf', x, cdf FROM f
+    UNION ALL SELECT metric, variant, 'cdf', y, sum(count(*)) OVER (PARTITION BY metric, variant ORDER BY y) / sum(count(*)) OVER (PARTITION BY metric, variant) FROM r GROUP BY metric, variant, y)""",
 )
 def stat_series(spark: SparkSession, folder: str) -> DataFrame:
-    rows = drift.index_series(fixtures.series(spark, folder), "hour")
-    variants = series_variants(rows, ["series"], "idx").unpivot(["series", "idx"], ["real", "norm", "diff", "diff_norm"], "variant", "value")
+    """Four statistics of four variants of every metric, written below their names and read back."""
+    hour = F.floor(F.col("ts_record") / 3_600_000).alias("hour")
+    totals = {"num_io": F.count(F.lit(1)), "size_avg": F.avg("size"), "latency_max": F.max("latency")}
+    rows = fixtures.replayed(spark, folder).groupBy(hour).agg(*[c.alias(n) for n, c in totals.items()])
     path = scratch_path(spark, "stats")
-    writers.write_stat_series(variants.withColumnRenamed("series", "metric").withColumn("stat", F.lit("raw")), path)
-    back = spark.read.schema("idx bigint, value double, stat string, variant string, metric string").parquet(path)
-    return rounded(back)
+    writers.write_stat_series(distribution.stat_series(rows, [], "hour", list(totals)), path)
+    back = spark.read.schema("x double, y double, stat string, variant string, metric string").parquet(path)
+    return rounded(back, {"x": 6, "y": 5}).withColumns({c: F.col(c) + F.lit(0.0) for c in ("x", "y")})  # no -0.0
 
 
 @query(
