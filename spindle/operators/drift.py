@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindle.functions.scalars import value_group
+from spindle.operators.intervals import far_pairs, within
 from spindle.operators.ordered import Ordered, asof, ordered
 from spindle.session import stable
 
@@ -335,15 +336,13 @@ def selected_drifts(drifts: DataFrame) -> DataFrame:
     return drifts.select("series", "start", "end", "type", F.lit("n").alias("should_use"))
 
 
-def slice_drifts(series: DataFrame, drifts: DataFrame, closed: bool = False, reach: int = 3600) -> DataFrame:
+def slice_drifts(series: DataFrame, drifts: DataFrame, closed: bool = False) -> DataFrame:
     """Rows of the series inside each drift; the last row belongs to it only if ``closed``.
 
-    Drift rows are looked up by slots of ``reach`` rows: an equi-join whose output is the result.
+    A drift is a few nodes of a dyadic tree over the rows: an equi-join whose output is the result.
     """
-    last = F.col("end") if closed else F.col("end") - 1
-    spread = drifts.withColumn("_slot", F.explode(F.sequence(F.floor(F.col("start") / reach), F.floor(F.greatest(last, F.col("start")) / reach))))
-    rows = series.withColumn("_slot", F.floor(F.col("idx") / reach))
-    return rows.join(spread, [*KEY, "_slot"]).where((F.col("idx") >= F.col("start")) & (F.col("idx") <= last)).drop("_slot")
+    ends = drifts.withColumn("_last", F.col("end") if closed else F.col("end") - 1)
+    return within(series, ends, KEY, "idx", "start", "_last").drop("_last")
 
 
 # --- first version of the finder -------------------------------------------------------------------------------
@@ -397,18 +396,28 @@ def count_turns(rows: DataFrame) -> DataFrame:
     )
 
 
-def monotone_between(pairs: DataFrame, rows: DataFrame, start: str, end: str) -> DataFrame:
-    """Whether the mode strictly rises, or strictly falls, at every step from ``start`` to ``end``.
+def steady_until(rows: DataFrame) -> DataFrame:
+    """For every row of a series, the first rows behind it at which a rise (``rise_ends``) and a steady change (``steady_ends``) end.
 
-    A step that does not rise is marked with its position; the latest such step before ``end`` decides.
+    A rise ends at the first step that does not rise. That step is not held against falling: from there on the change
+    stays steady as long as every further step falls. Null where it goes on to the end of the series.
     """
-    steps = ordered(rows, KEY, ["idx"]).shifted({"_prev": lambda w: F.lag("mode").over(w)}, before=1).frame()
-    out = pairs
-    for name, wrong in (("is_increasing", F.col("mode") <= F.col("_prev")), ("is_decreasing", F.col("mode") >= F.col("_prev"))):
-        facts = steps.where(wrong).select("series", F.col("idx").alias("_at"), F.col("idx").alias("_w"))
-        out = asof(out.withColumn("_at", F.col(end)), facts, KEY, "_at", "_w").drop("_at")
-        out = out.withColumn(name, ~F.coalesce(F.col("_w") > F.col(start), F.lit(False))).drop("_w")
-    return out
+    steps = ordered(rows, KEY, ["idx"]).shifted({"_prev": lambda w: F.lag("mode").over(w)}, before=1)
+    up, down = F.col("mode") > F.col("_prev"), F.col("mode") < F.col("_prev")
+    marked = {"_not_up": ("min", F.when(~up, F.col("idx"))), "_not_down": ("min", F.when(~down, F.col("idx")))}
+    next_ = steps.running(marked, exclusive=True, backward=True).frame().select("series", "idx", "_not_up", "_not_down")
+    next_ = stable(next_)
+    after = next_.select("series", F.col("idx").alias("_not_up"), F.col("_not_down").alias("steady_ends"))
+    return next_.join(after, ["series", "_not_up"], "left").select("series", "idx", F.col("_not_up").alias("rise_ends"), "steady_ends")
+
+
+def monotone_between(pairs: DataFrame, rows: DataFrame, start: str, end: str) -> DataFrame:
+    """Whether the mode rises at every step from ``start`` to ``end``, and whether it falls at every step behind the first one
+    that does not rise (see ``steady_until``)."""
+    until = steady_until(rows).withColumnRenamed("idx", start)
+    rising, steady = (F.coalesce(F.col(c) > F.col(end), F.lit(True)) for c in ("rise_ends", "steady_ends"))
+    joined = pairs.join(until, ["series", start]).withColumns({"is_increasing": rising, "is_decreasing": rising | steady})
+    return joined.drop("rise_ends", "steady_ends")
 
 
 def find_drifts_v1(series: DataFrame, settings: DriftSettings) -> DataFrame:
@@ -440,18 +449,18 @@ def find_drifts_v1(series: DataFrame, settings: DriftSettings) -> DataFrame:
     recurring = again.select("series", "start", reached.alias("end"))  # one per start
     # the other drifts of a start end before that: neither a later step nor a later jump counts
     final = ends.groupBy("series").agg(F.max("idx").alias("_final"))
-    spread = seen.join(final, "series").withColumn("_to", F.coalesce(F.col("_seen") - 1, "_final")).where(F.col("_from") <= F.col("_to"))
-    slots = [F.floor(F.col(c) / SLOT_ROWS) for c in ("_from", "_to", "idx")]
-    right = ends.select(
-        "series", F.col("idx").alias("end_idx"), F.col("mode").alias("end_mode"), F.col("group").alias("end_group"), slots[2].alias("_slot")
-    )
-    pairs = spread.withColumn("_slot", F.explode(F.sequence(slots[0], slots[1]))).join(right, ["series", "_slot"])
-    pairs = stable(pairs.where(F.col("end_idx").between(F.col("_from"), F.col("_to"))).drop("_slot", "_from", "_to", "_final", "_home", "_seen"))
-    other = monotone_between(pairs.where(F.col("start_mode") != F.col("end_mode")), rows, "start", "end_idx")
-    steady_rise = F.col("is_increasing") | F.col("is_decreasing")
-    incremental = other.where(steady_rise).select("series", "start", F.col("end_idx").alias("end"), F.lit("incremental").alias("type"))
-    jumps = other.where(~steady_rise & (F.abs(F.col("end_group") - F.col("start_group")) >= 2))
-    jumps = runs.run_end_after(jumps, "end_idx", "end_group", "end")
+    begins = seen.join(final, "series").withColumn("_to", F.coalesce(F.col("_seen") - 1, "_final")).drop("_final", "_home", "_seen", "_at")
+    until = steady_until(rows).select("series", F.col("idx").alias("start"), "steady_ends")
+    begins = stable(begins.join(until, ["series", "start"]).where(F.col("_from") <= F.col("_to")))
+    right = ends.select("series", F.col("idx").alias("end_idx"), F.col("mode").alias("end_mode"), F.col("group").alias("end_group"))
+    # up to where the change is no more steady, every end of another mode is an incremental drift; behind that, far groups count
+    steady = begins.withColumn("_last", F.least("_to", F.coalesce(F.col("steady_ends") - 1, "_to")))
+    incremental = within(right, steady, KEY, "end_idx", "_from", "_last").where(F.col("start_mode") != F.col("end_mode"))
+    incremental = incremental.select("series", "start", F.col("end_idx").alias("end"), F.lit("incremental").alias("type"))
+    broken = begins.where("steady_ends IS NOT NULL").withColumn("_first", F.greatest("_from", "steady_ends"))
+    jumps = far_pairs(broken, right, KEY, "_first", "_to", "end_idx", "start_group", "end_group", 2)
+    jumps = jumps.where(F.col("start_mode") != F.col("end_mode")).select("series", "start", "end_idx", "end_group")
+    jumps = runs.run_end_after(stable(jumps), "end_idx", "end_group", "end")
     found = recurring.select("series", "start", "end", F.lit("recurring").alias("type")).unionByName(incremental)
     return found.unionByName(jumps.select("series", "start", "end", F.lit("sudden").alias("type")))
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spindle.operators.intervals import depth_for, nodes_of_interval, nodes_of_point
 from spindle.operators.ordered import Groups, asof, ordered
 from spindle.session import stable
 
@@ -39,27 +40,30 @@ def choose_group(df: DataFrame, groups: DataFrame, value: str = "size") -> DataF
     """Model group of each row: its value lies in the group's ``lower``..``upper``; the nearest ``avg`` wins, then the first name.
 
     The winner depends on the value alone, so only distinct values are matched. Interval ends cut the axis into points
-    and the gaps after them; the groups covering a piece are the same all over it, so the nearest ``avg`` is an as-of
-    lookup below and above the value. Where no interval fits, a hash of the value picks. Null values get the first name.
+    and the gaps after them. An interval is a few nodes of a dyadic tree over these; a value asks each node above it for the
+    nearest ``avg`` below and above, an as-of lookup, and keeps the nearest of all. Where no interval fits, a hash of the
+    value picks. Null values get the first name.
     """
     names = ordered(groups, [], ["group"]).numbered("_pick").frame()
     values = df.select(value).where(F.col(value).isNotNull()).distinct()
-    ends = groups.select(F.col("lower").cast("double").alias("_cut")).union(groups.select(F.col("upper").cast("double"))).distinct()
+    ends = groups.select(F.col("lower").cast("double").alias("_cut")).union(groups.select(F.col("upper").cast("double"))).where("_cut IS NOT NULL").distinct()
     cuts = stable(ordered(ends, [], ["_cut"]).numbered("_n").frame())
-    # a group covers its first to last point, and the gaps between them
-    low = cuts.select(F.col("_cut").alias("lower"), F.col("_n").alias("_first"))
-    high = cuts.select(F.col("_cut").alias("upper"), F.col("_n").alias("_last"))
+    depth = depth_for(2 * cuts.count() + 1)
+    # a group covers its first to last point, and the gaps between them: cut n is place 2n, the gap behind it 2n + 1
+    low = cuts.select(F.col("_cut").alias("lower"), (2 * F.col("_n")).alias("_first"))
+    high = cuts.select(F.col("_cut").alias("upper"), (2 * F.col("_n")).alias("_last"))
     spans = groups.select("group", *[F.col(c).cast("double").alias(c) for c in ("avg", "lower", "upper")]).join(low, "lower").join(high, "upper")
-    covers = spans.select("group", "avg", "_last", F.explode(F.sequence("_first", "_last")).alias("_n"))
-    covers = covers.select("avg", "group", "_n", F.explode(F.when(F.col("_n") < F.col("_last"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("_gap"))
-    facts = stable(covers.groupBy("_n", "_gap", "avg").agg(F.min("group").alias("_g")))
-    facts = facts.select("_n", "_gap", F.col("avg").alias("_at"), F.struct("avg", "_g").alias("_f"))
+    covers = spans.select("group", F.col("avg").alias("_at"), F.explode(nodes_of_interval(F.col("_first"), F.col("_last"), depth)).alias("_node"))
+    facts = stable(covers.groupBy("_node", "_at").agg(F.min("group").alias("_g")).withColumn("_f", F.struct(F.col("_at").alias("avg"), "_g")).drop("_g"))
     placed = asof(values.withColumn("_at", F.col(value).cast("double")), cuts.withColumn("_at", F.col("_cut")).withColumn("_p", F.struct("_cut", "_n")), [], "_at", "_p")
-    placed = placed.withColumns({"_n": F.col("_p._n"), "_gap": F.col("_at") > F.col("_p._cut")}).drop("_p")
-    below = asof(placed, facts, ["_n", "_gap"], "_at", "_f").withColumnRenamed("_f", "_below")
-    found = asof(below, facts, ["_n", "_gap"], "_at", "_f", ahead=True)
+    place = 2 * F.col("_p._n") + (F.col("_at") > F.col("_p._cut")).cast("int")
+    asked = placed.where("_p IS NOT NULL").select(value, "_at", F.explode(nodes_of_point(place, depth)).alias("_node"))
+    asked = asked.join(facts.select("_node").distinct(), "_node", "left_semi")
+    below = asof(asked, facts, ["_node"], "_at", "_f").withColumnRenamed("_f", "_below")
+    found = asof(below, facts, ["_node"], "_at", "_f", ahead=True)
     near = [F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.avg") - F.col("_at")).alias("d"), F.col(f"{c}._g").alias("g"))) for c in ("_below", "_f")]
-    found = stable(found.select(value, F.least(*near)["g"].alias("_best")))
+    best = found.groupBy(value).agg(F.min(F.least(*near))["g"].alias("_best"))
+    found = stable(values.join(best, value, "left"))
     count = F.broadcast(groups.agg(F.count(F.lit(1)).alias("_groups")))  # one row
     inside = found.where("_best is not null").select(value, F.col("_best").alias("group"), F.lit(True).alias("in_interval"))
     free = found.where("_best is null").join(count).withColumn("_pick", F.pmod(F.col(value).cast("long"), F.col("_groups")) + 1)

@@ -311,8 +311,10 @@ def turn_counts(spark: SparkSession, folder: str) -> DataFrame:
     "wf23_monotone_test",
     _V1
     + """, pr AS (SELECT idx AS a, idx + 1 + idx % 4 AS b FROM rows WHERE idx + 1 + idx % 4 <= (SELECT max(idx) FROM rows)),
-  st AS (SELECT idx, mode, lag(mode) OVER (ORDER BY idx) AS prev FROM rows)
-  SELECT a, b, bool_and(mode > prev) AS is_increasing, bool_and(mode < prev) AS is_decreasing FROM pr JOIN st ON st.idx > a AND st.idx <= b GROUP BY ALL""",
+  st AS (SELECT idx, mode, lag(mode) OVER (ORDER BY idx) AS prev FROM rows),
+  f AS (SELECT a, b, min(st.idx) FILTER (mode <= prev) AS first FROM pr JOIN st ON st.idx > a AND st.idx <= b GROUP BY ALL)
+  SELECT a, b, first IS NULL AS is_increasing, coalesce(bool_and(mode < prev) FILTER (st.idx > first), TRUE) AS is_decreasing
+  FROM f JOIN st ON st.idx > a AND st.idx <= b GROUP BY a, b, first""",
 )
 def monotone_test(spark: SparkSession, folder: str) -> DataFrame:
     from spindle.session import stable
@@ -332,7 +334,9 @@ same AS (SELECT *, CASE WHEN start_group = end_group THEN end_idx ELSE (SELECT m
     AND z."group" = c.start_group AND z.stability_group > {FIRST.stability}) END AS "end" FROM cand c WHERE start_mode = end_mode),
 rec AS (SELECT start, "end", end_idx AS seen FROM same WHERE "end" IS NOT NULL QUALIFY row_number() OVER (PARTITION BY start ORDER BY end_idx) = 1),
 steps AS (SELECT idx, mode, lag(mode) OVER (ORDER BY idx) AS prev FROM rows),
-oth AS (SELECT c.*, (SELECT bool_and(mode > prev) OR bool_and(mode < prev) FROM steps WHERE idx > c.start AND idx <= c.end_idx) AS steady FROM cand c WHERE start_mode <> end_mode),
+oth AS (SELECT c.*, coalesce(bool_and(s.mode < s.prev) FILTER (s.idx > c.first), TRUE) AS steady
+  FROM (SELECT c.*, min(s.idx) FILTER (s.mode <= s.prev) AS first FROM cand c JOIN steps s ON s.idx > c.start AND s.idx <= c.end_idx WHERE start_mode <> end_mode GROUP BY ALL) c
+  JOIN steps s ON s.idx > c.start AND s.idx <= c.end_idx GROUP BY ALL),
 found AS (SELECT start, "end", 'recurring' AS type FROM rec UNION ALL SELECT start, end_idx, 'incremental' FROM oth WHERE steady
   UNION ALL SELECT o.start, {_run_end("o.end_idx", "o.end_group")}, 'sudden' FROM oth o LEFT JOIN rec r ON r.start = o.start
     WHERE NOT steady AND abs(end_group - start_group) >= 2 AND (r.seen IS NULL OR r.seen > o.end_idx))"""

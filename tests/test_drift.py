@@ -186,6 +186,27 @@ def test_trending_segments_longer_than_a_slot(spark):
     assert drift.trending_segments(df.limit(0)).collect() == []
 
 
+def monotone(modes):
+    """The two flags, step by step: the step that ends a rise is not held against falling."""
+    up = down = True
+    for a, b in zip(modes, modes[1:]):
+        if up:
+            up = b > a
+        elif down:
+            down = b < a
+    return up, down
+
+
+def test_monotone_between_steps(spark):
+    rng = random.Random(19)
+    modes = [3, 5, 5, 4, 2, 1] + [rng.randint(1, 4) for _ in range(60)]
+    rows = spark.createDataFrame([("a", i, m) for i, m in enumerate(modes)], "series string, idx bigint, mode int")
+    spans = [(i, j) for i in range(len(modes)) for j in range(i + 1, min(i + 9, len(modes)))]
+    got = drift.monotone_between(spark.createDataFrame([("a", i, j) for i, j in spans], "series string, s bigint, e bigint"), rows, "s", "e").collect()
+    assert {(r.s, r.e): (r.is_increasing, r.is_decreasing) for r in got} == {(i, j): monotone(modes[i : j + 1]) for i, j in spans}
+    assert monotone(modes[:6]) == (False, True)
+
+
 def first_finder(rows, s):
     """The first finder over all pairs of ends."""
     n = len(rows)
@@ -206,7 +227,7 @@ def first_finder(rows, s):
                 if group[start] == group[e] or steady:
                     found.append((start, e if group[start] == group[e] else steady[-1], "recurring"))
                     break
-            elif all(mode[i] > mode[i - 1] for i in range(start + 1, e + 1)) or all(mode[i] < mode[i - 1] for i in range(start + 1, e + 1)):
+            elif any(monotone(mode[start : e + 1])):
                 found.append((start, e, "incremental"))
             elif abs(group[start] - group[e]) >= 2:
                 found.append((start, next((i for i in range(e, n - 1) if group[i] == group[e] and group[i + 1] != group[e]), e), "sudden"))
@@ -228,12 +249,28 @@ def test_first_finder_has_no_longest_drift(spark):
     assert any(r.end - r.start > 3600 for r in got)
 
 
+def test_first_finder_forms_only_pairs_that_become_drifts(spark, monkeypatch):
+    """Thousands of ends that never return: what is joined is what is found."""
+    from spindle.operators import intervals
+
+    level = [1 + 30 * (i // 8) for i in range(16_000)]  # 2000 plateaus, each higher than all before
+    settings = drift.DriftSettings(threshold=30, offset=30, stability=3, min_length=4)
+    df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(level)], "series string, idx bigint, value double")
+    ends = drift.concept_ends(drift.stability_v1(df, settings), settings).count()
+    formed = []
+    whole = drift.far_pairs
+    monkeypatch.setattr(drift, "far_pairs", lambda *a: formed.append(whole(*a)) or formed[-1])
+    found = drift.find_drifts_v1(df, settings)
+    kinds = {r["type"]: r.n for r in found.groupBy("type").agg(F.count("start").alias("n")).collect()}
+    assert ends > 1900 and formed[0].count() == kinds.get("sudden", 0) and intervals.depth_for(15_999) == 14
+
+
 def test_slices(spark):
     rows = spark.createDataFrame([("a", i, float(i)) for i in range(50)], "series string, idx bigint, value double")
     found = spark.createDataFrame([("a", 5, 12, "sudden"), ("a", 10, 10, "gradual")], "series string, start bigint, `end` bigint, type string")
-    open_ = drift.slice_drifts(rows, found, reach=4).groupBy("type").agg(F.count("idx").alias("n")).collect()
+    open_ = drift.slice_drifts(rows, found).groupBy("type").agg(F.count("idx").alias("n")).collect()
     assert {r.type: r.n for r in open_} == {"sudden": 7}
-    closed = drift.slice_drifts(rows, found, closed=True, reach=4).groupBy("type").agg(F.count("idx").alias("n")).collect()
+    closed = drift.slice_drifts(rows, found, closed=True).groupBy("type").agg(F.count("idx").alias("n")).collect()
     assert {r.type: r.n for r in closed} == {"sudden": 8, "gradual": 1}
 
 
