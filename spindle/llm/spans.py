@@ -1,15 +1,11 @@
-"""Substring duplicates: passages that occur before, in the same document or in another one.
+"""Substring duplicates: sentences of passages that occur before, in the same document or in another one.
 
-Two kinds of passages are found, both by 128-bit hashes that are joined over all documents:
+Every run of ``RUN`` consecutive sentences, or of as many as it takes to have ``MIN_WORDS`` words or ``MIN_CHARS`` characters,
+is hashed to 128 bits and joined over all documents. The first place of a run, by document and position, stays; at every
+other place all its sentences go. Sentences end at their marks and at line breaks. One of more than ``MOST_WORDS`` words is
+cut before words whose own hash says so (one in ``CUT``), so that a passage falls into the same pieces wherever it begins.
 
-* runs of ``RUN`` sentences, or of as many as it takes to have ``MIN_WORDS`` words; sentences of more than ``MOST_WORDS``
-  words are cut into pieces of that many first;
-* windows of ``WINDOW`` words, wherever they begin and end. All windows are too many to be joined. So documents first
-  meet by runs of ``GRAM`` words: those with the least hash of all that begin in some window's reach. These depend on
-  the window's words alone, so documents that share a window share one. Only windows that hold a run which
-  occurs more than once are hashed then.
-
-The first place of a passage, by document and position, stays; at every other place all its sentences, or words, go.
+Counting comes first: places are only gathered of hashes that occur more than once.
 """
 
 from __future__ import annotations
@@ -26,127 +22,58 @@ from pyspark.sql import functions as F
 from spindle.llm.common import staged, text_or_empty
 
 RUN = 3
-MIN_WORDS = 10
-MOST_WORDS = 20
-WINDOW = 50
-GRAM = 20
-#: Runs of GRAM words that begin in a window.
-REACH = WINDOW - GRAM + 1
-_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
-_SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
+#: A run has so many words, or characters where words are not told apart by spaces.
+MIN_WORDS, MIN_CHARS = 10, 60
+#: Sentences up to so many words stay whole; of longer ones no piece has more than ``LARGEST`` words.
+MOST_WORDS, CUT, LARGEST = 20, 12, 40
+SALTS = 16
+_SENTENCE = re.compile(r"[^.!?。！？\n]+[.!?。！？]*")
 _WORD = re.compile(r"\S+")
 
 Piece = tuple[int, int, int, str]
 
 
-def sentences(text: str, most: int = MOST_WORDS) -> list[Piece]:
-    """(start, end, words, normalised text) of each sentence; longer ones in pieces of ``most`` words."""
+def starts_piece(word: str) -> bool:
+    """Whether a long sentence is cut before this word: a matter of the word alone."""
+    return xxhash.xxh3_64_intdigest(word) % CUT == 0
+
+
+def sentences(text: str) -> list[Piece]:
+    """(start, end, words, normalised text) of each sentence; long ones in pieces."""
     found = []
     for m in _SENTENCE.finditer(text):
         words = m[0].lower().split()
-        if len(words) <= most:
+        if len(words) <= MOST_WORDS:
             if words:
                 found.append((m.start(), m.end(), len(words), " ".join(words)))
             continue
         places = [w.span() for w in _WORD.finditer(text, m.start(), m.end())]
-        for i in range(0, len(places), most):
-            part = places[i : i + most]
-            start, end = part[0][0], part[-1][1]
-            found.append((start, end, len(part), " ".join(text[start:end].lower().split())))
+        begin = 0
+        for i in range(1, len(places) + 1):
+            if i == len(places) or i - begin == LARGEST or starts_piece(words[i]):
+                found.append((places[begin][0], places[i - 1][1], i - begin, " ".join(words[begin:i])))
+                begin = i
     return found
 
 
-def runs(pieces: list[Piece], length: int = RUN, min_words: int = MIN_WORDS) -> list[tuple[bytes, int, int]]:
-    """(hash, start, end) of the shortest runs from each sentence on that have enough sentences and words."""
-    found, end, words = [], 0, 0
+def runs(pieces: list[Piece], length: int = RUN) -> list[tuple[bytes, int, int]]:
+    """(hash, start, end) of the shortest runs from each sentence on that have enough sentences, and words or characters."""
+    found, end, words, chars = [], 0, 0, 0
     for begin in range(len(pieces)):
-        while end < len(pieces) and (end < begin + length or words < min_words):
+        while end < len(pieces) and (end < begin + length or (words < MIN_WORDS and chars < MIN_CHARS)):
             words += pieces[end][2]
+            chars += len(pieces[end][3])
             end += 1
-        if end < begin + length or words < min_words:
+        if end < begin + length or (words < MIN_WORDS and chars < MIN_CHARS):
             break
         text = " ".join([p[3] for p in pieces[begin:end]])
         found.append((xxhash.xxh3_128_digest(text.encode()), pieces[begin][0], pieces[end - 1][1]))
         words -= pieces[begin][2]
+        chars -= len(pieces[begin][3])
     return found
 
 
-def word_hashes(text: str) -> np.ndarray:
-    words = text.lower().split()
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-
-
-def _rolled(hashes: np.ndarray, length: int, factor: np.uint64) -> np.ndarray:
-    """A hash of each run of ``length`` words: a polynomial in ``factor`` of odd, random coefficients."""
-    found = np.zeros(len(hashes) - length + 1, np.uint64)
-    for i in range(length):
-        found = found * factor + hashes[i : i + len(found)]
-    found ^= found >> np.uint64(32)
-    return found * _FACTORS[0]
-
-
-def _grams(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of GRAM words; those that are the least of some window."""
-    grams = _rolled(hashes, GRAM, _FACTORS[0])
-    least, reach = grams, 1
-    while reach < REACH:
-        step = min(reach, REACH - reach)
-        least = np.minimum(least[:-step], least[step:])
-        reach += step
-    return grams, np.unique(least)
-
-
-def _all_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows, found, several = [], [], []
-        for row, text in enumerate(batch["text"]):
-            hashes = word_hashes(text)
-            if len(hashes) >= WINDOW:
-                grams, least = _grams(hashes)
-                values, counts = np.unique(grams[np.isin(grams, least)], return_counts=True)
-                rows.append(np.full(len(values), row))
-                found.append(values)
-                several.append(counts > 1)
-        if not rows:
-            continue
-        at = np.concatenate(rows)
-        yield pd.DataFrame(
-            {
-                "gram": np.concatenate(found).view(np.int64),
-                "several": np.concatenate(several),
-                "doc_id": batch["doc_id"].to_numpy()[at],
-                "mark": batch["mark"].to_numpy()[at],
-            }
-        )
-
-
-def _all_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for doc_id, mark, text, wanted in zip(batch["doc_id"], batch["mark"], batch["text"], batch["grams"]):
-            hashes = word_hashes(text)
-            grams = _rolled(hashes, GRAM, _FACTORS[0])
-            hits = np.isin(grams, np.asarray(wanted, np.int64).view(np.uint64))
-            upto = np.concatenate([[0], np.cumsum(hits)])
-            begin = np.flatnonzero(upto[REACH:] > upto[:-REACH])  # windows with a hit
-            h1, h2 = (_rolled(hashes, WINDOW, f)[begin].view(np.int64) for f in (_FACTORS[1], _FACTORS[0]))
-            places = np.array([w.span() for w in _WORD.finditer(text)], np.int64)
-            made = pd.DataFrame({"h1": h1, "h2": h2, "doc_id": doc_id, "mark": mark, "start": places[begin, 0], "end": places[begin + WINDOW - 1, 1]})
-            yield made.astype({"doc_id": "Int64"})
-
-
-def repeated_windows(marked: DataFrame) -> DataFrame:
-    """Windows that hold a run of words which occurs more than once, in the form of ``_all_runs``."""
-    grams = staged(marked.mapInPandas(_all_grams, "gram long, several boolean, doc_id long, mark int"))
-    place = F.struct("doc_id", "mark")
-    often = grams.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.max("several").alias("several"))
-    often = often.where("several or a <> b").select("gram")
-    per = grams.join(often, "gram").groupBy("doc_id", "mark").agg(F.collect_set("gram").alias("grams"))
-    per = per.withColumnRenamed("doc_id", "id").withColumnRenamed("mark", "of")
-    held = marked.join(per, marked["doc_id"].eqNullSafe(per["id"]) & (marked["mark"] == per["of"])).select("doc_id", "mark", "text", "grams")
-    return held.mapInPandas(_all_windows, _PLACES)
-
-
-_PLACES = "h1 long, h2 long, doc_id long, mark int, start long, end long"
+_PLACES = "h1 long, h2 long, doc_id long, m1 long, m2 long, start int, end int"
 
 
 def _all_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,58 +86,51 @@ def _all_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "h1": halves[:, 0],
                 "h2": halves[:, 1],
                 "doc_id": batch["doc_id"].repeat(sizes).to_numpy(),
-                "mark": batch["mark"].repeat(sizes).to_numpy(),
-                "start": np.array([r[1] for x in found for r in x], np.int64),
-                "end": np.array([r[2] for x in found for r in x], np.int64),
+                "m1": batch["m1"].repeat(sizes).to_numpy(),
+                "m2": batch["m2"].repeat(sizes).to_numpy(),
+                "start": np.array([r[1] for x in found for r in x], np.int32),
+                "end": np.array([r[2] for x in found for r in x], np.int32),
             }
         )
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    """Documents with a mark that tells apart rows of one id."""
-    return docs.select("doc_id", text_or_empty().alias("text")).withColumn("mark", F.hash("text"))
+    """Documents with a mark of 128 bits that tells apart rows of one id."""
+    body = docs.select("doc_id", text_or_empty().alias("text"))
+    return body.withColumns({"m1": F.xxhash64("text"), "m2": F.xxhash64(F.lit("second"), "text")})
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, spans): for each document the spans of its runs and windows that occur before, sorted by start.
+    """(doc_id, m1, m2, spans): for each document the spans of its runs that occur before, sorted by start.
 
-    ``mark`` is a hash of the text. Rows equal in id and text count as one document; of rows that share an id only, the
-    one with the lesser mark is first. Null ids come last.
+    ``m1`` and ``m2`` are hashes of the text. Rows equal in id and text count as one document; of rows that share an id
+    only, the one with the lesser hashes is first. Null ids come last.
     """
-    marked = _marked(docs)
-    found = staged(marked.mapInPandas(_all_runs, _PLACES)).union(staged(repeated_windows(marked)))
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "start")
-    firsts = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("final"))
-    firsts = firsts.where("first <> final").select("h1", "h2", "first")
-    later = found.join(firsts, ["h1", "h2"]).where(place != F.col("first"))
-    return later.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    found = staged(_marked(docs).mapInPandas(_all_runs, _PLACES))
+    often = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
+    held = staged(found.join(staged(often), ["h1", "h2"], "left_semi"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "m1", "m2", "start")
+    firsts = held.groupBy("h1", "h2").agg(F.min(place).alias("first"))
+    # a passage that very many documents share is dealt out
+    firsts = staged(firsts.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))))
+    salted = held.withColumn("salt", F.pmod(F.hash("m1", "start"), F.lit(SALTS)))
+    later = salted.join(firsts, ["h1", "h2", "salt"]).where(place != F.col("first"))
+    return later.groupBy("doc_id", "m1", "m2").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
 
 def _without(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for text, spans in zip(batch["text"], batch["spans"]):
-            pieces, kept, removed, done = sentences(text), [], 0, 0
-            spans = [] if spans is None else [(s["start"], s["end"]) for s in spans]
-            merged: list[list[int]] = []
-            for start, end in spans:
-                if merged and (start <= merged[-1][1] or text[merged[-1][1] : start].isspace()):
-                    merged[-1][1] = max(merged[-1][1], end)
-                else:
-                    merged.append([start, end])
-            at = 0
-            for start, end, _, _ in pieces if merged else []:
-                content = text[start:end]
-                first, last = start + len(content) - len(content.lstrip()), start + len(content.rstrip())
-                while at < len(merged) and merged[at][1] <= first:
+            pieces, kept, removed, done, at, reached = sentences(text), [], 0, 0, 0, -1
+            spans = [] if spans is None else spans
+            for start, end, _, _ in pieces:
+                while at < len(spans) and spans[at]["start"] <= start:
+                    reached = max(reached, spans[at]["end"])
                     at += 1
-                for low, high in merged[at:]:
-                    if low >= last:
-                        break
-                    whole = low <= first and last <= high
-                    removed += whole
-                    kept.append(text[done : start if whole else max(low, first)])
-                    done = end if whole else min(high, last)
+                if end <= reached:
+                    kept.append(text[done:start])
+                    removed, done = removed + 1, end
             kept.append(text[done:])
             rows.append((len(pieces), removed, "".join(kept)))
         made = pd.DataFrame(rows, columns=["n_sentences", "n_removed", "text"])
@@ -218,12 +138,13 @@ def _without(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_sentences, n_removed and ``text`` without the sentences and words that repeat.
+    """One row per row of ``docs``: doc_id, n_sentences, n_removed and ``text`` without the sentences that repeat.
 
-    A sentence counts as removed if all of it goes; of one that a window covers in part, the words of the window go. What stands between removed sentences stays, so lines keep their breaks. Null texts count as empty. Rows with a null
-    id are taken one by one and come after all others. An empty table gives an empty result.
+    What stands between removed sentences stays, so lines keep their breaks. Null texts count as empty. Rows with a null id
+    are told apart by their texts and come after all others. Extra columns are ignored; an empty table gives an empty result.
     """
-    spans = repeated_spans(docs).withColumnRenamed("doc_id", "id").withColumnRenamed("mark", "of")
+    spans = repeated_spans(docs).withColumnsRenamed({"doc_id": "id", "m1": "of1", "m2": "of2"})
     marked = _marked(docs)
-    joined = marked.join(spans, marked["doc_id"].eqNullSafe(spans["id"]) & (marked["mark"] == spans["of"]), "left")
+    same = marked["doc_id"].eqNullSafe(spans["id"]) & (marked["m1"] == spans["of1"]) & (marked["m2"] == spans["of2"])
+    joined = marked.join(spans, same, "left")
     return joined.select("doc_id", "text", "spans").mapInPandas(_without, "doc_id long, n_sentences long, n_removed long, text string")
