@@ -4,8 +4,6 @@ Every run of ``RUN`` consecutive sentences, or of as many as it takes to have ``
 is hashed to 128 bits and joined over all documents. The first place of a run, by document and position, stays; at every
 other place all its sentences go. Sentences end at their marks and at line breaks. One of more than ``MOST_WORDS`` words is
 cut before words whose own hash says so (one in ``CUT``), so that a passage falls into the same pieces wherever it begins.
-
-Counting comes first: places are only gathered of hashes that occur more than once.
 """
 
 from __future__ import annotations
@@ -26,7 +24,8 @@ RUN = 3
 MIN_WORDS, MIN_CHARS = 10, 60
 #: Sentences up to so many words stay whole; of longer ones no piece has more than ``LARGEST`` words.
 MOST_WORDS, CUT, LARGEST = 20, 12, 40
-SALTS = 16
+#: A hash with so many places is met by a broadcast, and of these there are so many at most.
+HOT, MOST_HOT = 10_000, 50_000
 _SENTENCE = re.compile(r"[^.!?。！？\n]+[.!?。！？]*")
 _WORD = re.compile(r"\S+")
 
@@ -107,14 +106,18 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     only, the one with the lesser hashes is first. Null ids come last.
     """
     found = staged(_marked(docs).mapInPandas(_all_runs, _PLACES))
-    often = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
-    held = staged(found.join(staged(often), ["h1", "h2"], "left_semi"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "m1", "m2", "start")
-    firsts = held.groupBy("h1", "h2").agg(F.min(place).alias("first"))
-    # a passage that very many documents share is dealt out
-    firsts = staged(firsts.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))))
-    salted = held.withColumn("salt", F.pmod(F.hash("m1", "start"), F.lit(SALTS)))
-    later = salted.join(firsts, ["h1", "h2", "salt"]).where(place != F.col("first"))
+    often = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    often = staged(often.where("n > 1"))
+    # no more than MOST_HOT hashes can have so many places; those meet a broadcast, their places are not shuffled
+    hot = often.where(F.col("n") > max(HOT, found.count() // MOST_HOT)).drop("n")
+    rest = found
+    if several := not hot.isEmpty():
+        hot = F.broadcast(staged(hot))
+        rest = found.join(hot, ["h1", "h2"], "left_anti")
+    later = rest.join(often.drop("n"), ["h1", "h2"]).where(place != F.col("first"))
+    if several:
+        later = later.union(found.join(hot, ["h1", "h2"]).where(place != F.col("first")))
     return later.groupBy("doc_id", "m1", "m2").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
 
