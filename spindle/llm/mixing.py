@@ -22,6 +22,8 @@ BLOCK_WORDS = 64
 SHARD_SLOTS = 65_536
 ROUNDS = 10
 SEED = 17
+#: Slots to a run, and to a task.
+RUN_SLOTS, TASK_SLOTS = 4096, 100_000
 #: Documents whose running sizes one task adds up.
 BUCKET_ROWS = 100_000
 #: Tables of sources up to this many rows are sent to all tasks.
@@ -123,7 +125,13 @@ def permuted(index: str, size: str, key: str, rounds: int = ROUNDS) -> Column:
 def slots(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
     """(shard, slot, sid, block): what the mix takes, in the order of shards. No block is taken more than PASSES times."""
     counts = shard_counts(targets, block_words, shard_slots, seed)
-    numbered = counts.repartition("shard", "sid").select("shard", "sid", "blocks", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
+    counts = staged(counts)
+    # few rows make many slots: they are cut into runs first, and these dealt out to as many tasks as the slots need
+    tasks = int(counts.agg(F.sum("n")).first()[0] or 0) // TASK_SLOTS + 1
+    runs = counts.withColumn("from", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1, F.lit(RUN_SLOTS).cast("long"))))
+    last = F.least(F.col("from") + RUN_SLOTS, F.col("first") + F.col("n")) - 1
+    runs = runs.select("shard", "sid", "blocks", "from", last.alias("to")).repartition(tasks, "shard", "sid", "from")
+    numbered = runs.select("shard", "sid", "blocks", F.explode(F.sequence("from", "to")).alias("slot"))
     numbered = numbered.where(F.col("slot") < PASSES * F.col("blocks"))
     passes = numbered.withColumn("pass", F.expr("slot div blocks")).withColumn("at", F.expr("slot % blocks"))
     return passes.select("shard", "slot", "sid", permuted("at", "blocks", f"{seed}, sid, pass").alias("block"))
@@ -167,10 +175,12 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots
     """The mix as documents, all columns kept: for c = 1 .. PASSES, each document with the words that are taken c times or
     more. Whole texts stay as they are; of others the words that are taken are joined by spaces. ``n_chars`` follows.
 
-    Documents of which nothing is taken are not in the mix; texts without words never are.
+    Documents of which nothing is taken are not in the mix; texts without words never are. Rows that share an id are taken
+    one by one, in the order of the table; rows equal in all columns are rows of their own. An empty table gives an empty mix.
     """
     kept = docs.columns
-    numbered = staged(docs.withColumn("row_number_", F.monotonically_increasing_id()))
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")  # extra columns may have any name
+    numbered = staged(docs.select(row, "doc_id", "source", "text").withColumn("row_number_", F.monotonically_increasing_id()))
     located, targets = _located(numbered, ["row_number_", "doc_id"], ["doc_id", "row_number_"])
     parts = taken_parts(located, slots(targets, block_words, shard_slots, seed), ["row_number_", "size"], block_words)
     copies = parts.select("row_number_", "size", "from", "to", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy_"))
@@ -183,4 +193,5 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots
         w -> flatten(transform(parts_, p -> slice(w, cast(p.from + 1 as int), cast(p.to - p.from as int)))))), ' ')""".replace("\\", "\\\\")
     )
     made = joined.withColumn("text", F.when(F.col("sum_") == F.col("size"), F.col("text")).otherwise(some))
-    return made.withColumn("n_chars", F.length("text").cast("long")).select(*kept)
+    made = made.withColumn("n_chars", F.length("text").cast("long"))
+    return made.select(*[F.col(c) if c in ("text", "n_chars") else F.col(f"row.`{c}`") for c in kept])

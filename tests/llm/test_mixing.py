@@ -82,7 +82,7 @@ def test_odd_rows(spark, documents, monkeypatch):
 
 def test_mixed_documents_hold_the_words_that_are_taken(spark, documents):
     rows = [(i, " ".join(f"w{i}-{j}" for j in range(i % 40)), None, f"s{i % 5 // 2}") for i in range(300)]
-    docs = documents(rows).withColumn("extra", F.lit(1))
+    docs = documents(rows).withColumn("extra", F.lit(1)).withColumn("size", F.lit(2)).withColumn("sid", F.lit("x")).withColumn("row", F.lit(3))
     taken = {r["doc_id"]: r["taken"] for r in mixing.mix(docs, block_words=16).collect()}
     made = mixing.mixed_documents(docs, block_words=16)
     assert made.columns == docs.columns
