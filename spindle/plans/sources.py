@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import re
+import tarfile
 from functools import reduce
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +29,30 @@ def read_trace(spark: SparkSession, folder: str) -> DataFrame:
     return readers.read_trace(spark, path)
 
 
+@query("src1_read_archives", _TRACE_SQL)
+def read_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """Devices by turns in plain files, compressed archives and bare ones, all read from one list of paths."""
+    path = scratch_path(spark, "mixed")
+    rows = fixtures.trace(spark, folder).select(*_CANONICAL)
+    rows.where("disk_id % 3 = 0").write.option("sep", " ").csv(f"{path}/plain")
+
+    def pack(disk: pd.DataFrame) -> pd.DataFrame:
+        device = int(disk["disk_id"].iloc[0])
+        name = f"{path}/disk_{device}.{'tgz' if device % 3 == 1 else 'tar'}"
+        where, inside = fs.FileSystem.from_uri(re.sub(r"^(file:/+|/)", "file:///", name))
+        with where.open_output_stream(inside, compression=None) as file, tarfile.open(fileobj=file, mode="w|gz" if device % 3 == 1 else "w|") as archive:
+            for n, part in enumerate((disk.iloc[::2], disk.iloc[1::2])):
+                text = part.to_csv(sep=" ", header=False, index=False).encode()
+                member = tarfile.TarInfo(f"trace/part_{n}.csv")
+                member.size = len(text)
+                archive.addfile(member, io.BytesIO(text))
+        return pd.DataFrame({"name": [name]})
+
+    packed = rows.where("disk_id % 3 <> 0").groupBy("disk_id").applyInPandas(pack, "name string")
+    names = [r["name"] for r in packed.collect()]  # a few names; the files are written by the tasks
+    return readers.read_trace(spark, [f"{path}/plain", *names])
+
+
 def _raw_alibaba(spark: SparkSession, folder: str) -> DataFrame:
     return fixtures.trace(spark, folder).select(
         F.col("disk_id").cast("int").alias("device_id"),

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import io
+import re
 import tarfile
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,31 +33,79 @@ TECTONIC_BLOCK = 8 * 1024 * 1024
 TECTONIC_READS = (1, 2, 5)
 SECTOR = 512
 PATH = "_path"
+ARCHIVES = (".tar", ".tar.gz", ".tgz")
+#: Stores whose files a task can open by itself.
+STREAMED = ("file", "s3", "gs")
 DRIFT_TYPES = "sudden|gradual|incremental|recurring|0\\.5|1\\.5"
 
 
 def read_trace(spark: SparkSession, path: str | Sequence[str], schema: str = CANONICAL, sep: str = " ") -> DataFrame:
-    """Delimited text, plain or gzipped; ``.tar.gz`` and ``.tgz`` archives go through ``read_archives``."""
+    """Delimited text, plain or gzipped, and ``.tar``, ``.tar.gz`` and ``.tgz`` archives of it (``read_archives``), also mixed."""
     paths = [path] if isinstance(path, str) else list(path)
-    if all(p.endswith((".tar.gz", ".tgz", ".tar")) for p in paths):
-        return read_archives(spark, paths, schema, sep)
-    return spark.read.schema(schema).option("sep", sep).option("mode", "PERMISSIVE").csv(paths)
+    archives = [p for p in paths if p.endswith(ARCHIVES)]
+    plain = [p for p in paths if not p.endswith(ARCHIVES)]
+    parts = [spark.read.schema(schema).option("sep", sep).option("mode", "PERMISSIVE").csv(plain)] if plain else []
+    if archives:
+        parts.append(read_archives(spark, archives, schema, sep))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _scheme(path: str) -> str:
+    return path.split(":", 1)[0] if re.match(r"\w+:", path) else "file"
+
+
+def _stream(path: str):
+    """The bytes of a file one after the other."""
+    found, inside = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    return found.open_input_stream(inside, compression=None)
+
+
+class _Forward(io.RawIOBase):
+    """A member of a streamed archive, which can only be read on."""
+
+    def __init__(self, file):
+        self.file = file
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        data = self.file.read(len(buffer))
+        buffer[: len(data)] = data
+        return len(data)
+
+
+def _members(file, schema: list[str], sep: str, rows: int) -> Iterator[pd.DataFrame]:
+    """Rows of the files in an archive, in batches; the archive is read once, from start to end."""
+    with tarfile.open(fileobj=file, mode="r|*") as archive:
+        for member in archive:
+            if member.isfile() and member.size:
+                yield from pd.read_csv(io.BufferedReader(_Forward(archive.extractfile(member)), 1 << 20), sep=sep, names=schema, chunksize=rows)
 
 
 def read_archives(spark: SparkSession, paths: Sequence[str], schema: str, sep: str = " ", rows: int = 100_000) -> DataFrame:
-    """Rows of the files inside tar archives, streamed in batches; one task per archive."""
-    archives = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
+    """Rows of the files inside tar archives, a task per archive, which streams it in batches whatever its size.
+
+    Archives in a store that only Spark can open come as one value each, and are limited to 2 GB.
+    """
     names = spark.createDataFrame([], schema).columns
+    found = spark.read.format("binaryFile").load(list(paths))
+    streamed = all(_scheme(p) in STREAMED for p in paths)
 
     def unpack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for content in part["content"]:
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as archive:
-                    for member in archive:
-                        if member.isfile():
-                            yield from pd.read_csv(archive.extractfile(member), sep=sep, names=names, chunksize=rows)
-
-    return archives.mapInPandas(unpack, schema)
+            if streamed:
+                for path in part["path"]:
+                    with _stream(path) as file:
+                        yield from _members(file, names, sep, rows)
+            else:
+                for content in part["content"]:
+                    yield from _members(io.BytesIO(content), names, sep, rows)
+
+    if not streamed:
+        return found.select("content").mapInPandas(unpack, schema)
+    listed = found.select("path")  # names only: the contents are not read here
+    return listed.repartition(max(1, listed.count()), "path").mapInPandas(unpack, schema)
 
 
 def with_path(df: DataFrame) -> DataFrame:

@@ -21,6 +21,12 @@ def test_read_archives_and_plain_files_agree(spark, tmp_path):
             info.size = len(data)
             out.addfile(info, io.BytesIO(data))
     a = readers.read_trace(spark, str(plain))
+    bare = tmp_path / "trace.tar"
+    with tarfile.open(bare, "w") as out:
+        out.add(plain, arcname="deep/trace.csv")
+        out.addfile(tarfile.TarInfo("deep/empty.csv"))
+    mixed = readers.read_trace(spark, [str(plain), str(archive), str(bare)])
+    assert mixed.count() == 750 and mixed.distinct().exceptAll(a).count() == 0
     b = readers.read_trace(spark, [str(archive)])
     assert a.exceptAll(b).count() == 0 and b.count() == 250
 
