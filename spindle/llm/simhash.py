@@ -213,7 +213,8 @@ def _placed_by_sets(docs: DataFrame, similarity: float) -> DataFrame:
         near = F.least("n_a", "n_b") + 1e-6 >= similarity * F.greatest("n_a", "n_b")
         return staged(pairs.join(x, "a").join(y, "b").where(near).where(similar("set_a", "set_b")).select("a", "b"))
 
-    roots = linked_nodes(shared, verified)
+    share = similarity / (1 + similarity)
+    roots = linked_nodes(shared, verified, sets, similarity, lambda m, n: share * (m + n))
     return marked.select("doc_id", "digest", "node").join(roots, "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("root"))
 
 

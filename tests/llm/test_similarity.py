@@ -1,8 +1,14 @@
 """Near-duplicates of the pipeline against the Jaccard similarity of all pairs."""
 
 import random
+from itertools import combinations
+
+import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from spindle.llm.graph import components
+from spindle.llm.minhash import linked_nodes
 from tests.conftest import SF
 
 
@@ -58,3 +64,43 @@ def test_given_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = slow_kept([(r["doc_id"], r["text"]) for r in docs.collect()])
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == want
+
+
+def test_open_keys_meet_by_their_rare_members(spark):
+    """Sets that all share a key: few are linked, some only to a set that is no head; half of each is one passage."""
+    rng = np.random.default_rng(5)
+    passage = rng.integers(0, 1 << 63, 40, np.uint64)
+    sets = [np.unique(np.concatenate([passage, rng.integers(0, 1 << 63, 40, np.uint64)])) for _ in range(30)]
+    for i in range(0, 30, 3):
+        for changed in (4, 8):
+            copy = sets[i].copy()
+            copy[rng.choice(len(copy), changed, replace=False)] = rng.integers(0, 1 << 63, changed, np.uint64)
+            sets.append(np.unique(copy))
+    sets += [passage[:1], passage[:2]]
+    held = [set(x.tolist()) for x in sets]
+
+    def jaccard(a, b):
+        return len(held[a] & held[b]) / len(held[a] | held[b])
+
+    want = {frozenset(p) for p in combinations(range(len(sets)), 2) if jaccard(*p) >= 0.8}
+    nodes = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sets)], "node long, set binary")
+    shared = nodes.select("node", F.lit(1).cast("long").alias("key"), F.lit(0).cast("long").alias("head"))
+    asked = []
+
+    def verified(pairs):
+        rows = [tuple(r) for r in pairs.select("a", "b").collect()]
+        asked.extend(rows)
+        return spark.createDataFrame([p for p in rows if jaccard(*p) >= 0.8], "a long, b long")
+
+    got = linked_nodes(shared, verified, nodes, 0.8, lambda m, n: 0.8 / 1.8 * (m + n), full=4)
+    root = {r["node"]: r["root"] for r in got.collect()}
+    linked = spark.createDataFrame([tuple(sorted(p)) for p in want], "a long, b long")
+    expected = {r["node"]: r["root"] for r in components(linked).collect()}
+    groups = [{frozenset(n for n in x if x[n] == r) for r in x.values()} for x in (root, expected)]
+    assert groups[0] == groups[1] and len(asked) < 4 * len(sets)
+
+
+def test_no_open_keys(spark):
+    none = spark.createDataFrame([], "node long, key long, head long")
+    sets = spark.createDataFrame([], "node long, set binary")
+    assert linked_nodes(none, lambda pairs: pairs, sets, 0.8, lambda m, n: 0.8 * F.greatest(m, n)).count() == 0
