@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spindle.functions.scalars import duration_ms
 from spindle.operators import windows
+from spindle.operators.restarts import restarted_windows
 from spindle.plans.registry import query, rounded
 from spindle.sources import fixtures
 from spindle.sources.fixtures import HOUR_MS, REPLAYED, TRACE, with_views
@@ -36,6 +37,28 @@ def validity(spark: SparkSession, folder: str) -> DataFrame:
     return windows.window_validity(rows, ["disk_id"], duration_ms("1d"), tolerance_s=1800, tail_tolerance_s=360)
 
 
+@query(
+    "tw2_restarted_windows",
+    with_views(TRACE)
+    + """, times AS (SELECT DISTINCT disk_id, CAST(round(ts_record * 10) AS BIGINT) AS t FROM trace),
+  step AS (SELECT disk_id, 0 AS k, min(t) - 1 AS l, NULL::BIGINT AS s, true AS closed FROM times GROUP BY disk_id
+    UNION ALL SELECT disk_id, k + 1, l2, greatest(s1, min(v.t)), abs(l2 - greatest(s1, min(v.t)) - 432000000) <= 18000000 FROM (
+      SELECT disk_id, k, CASE WHEN closed THEN f ELSE s END AS s1, max(u.t) AS l2 FROM (
+        SELECT disk_id, k, l, s, closed, min(t.t) AS f FROM step JOIN times t USING (disk_id) WHERE t.t > l GROUP BY ALL) a
+      JOIN times u USING (disk_id) WHERE u.t >= f AND u.t < CASE WHEN f <= l + 432000000 THEN l + 1 ELSE f END + 432000000 GROUP BY ALL) b
+    JOIN times v USING (disk_id) WHERE v.t >= l2 - 432000000 GROUP BY disk_id, k, l2, s1),
+  w AS (SELECT disk_id, s, l, row_number() OVER (PARTITION BY disk_id ORDER BY k) - 1 AS window_id FROM step WHERE closed AND k > 0)
+  SELECT disk_id, window_id, count(*) AS num_io, min(ts_record) AS start_ts, max(ts_record) AS end_ts, sum(size)::BIGINT AS bytes
+  FROM trace JOIN w USING (disk_id) WHERE round(ts_record * 10) BETWEEN s AND l GROUP BY ALL""",
+)
+def restarted(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows of half a day that start anew after gaps; the tolerance of half an hour fits the sparse records."""
+    rows = restarted_windows(fixtures.trace(spark, folder), ["disk_id"], duration_ms("12h"), tolerance_s=1800)
+    return rows.groupBy("disk_id", "window_id").agg(
+        F.count(F.lit(1)).alias("num_io"), F.min("ts_record").alias("start_ts"), F.max("ts_record").alias("end_ts"), F.sum("size").alias("bytes")
+    )
+
+
 @query(
     "tw3_regroup_windows",
     with_views(TRACE)
