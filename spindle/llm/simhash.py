@@ -15,7 +15,8 @@ that use it are linked through midpoints instead. Two words that differ in two b
 of both, so each emits itself and its 64 neighbours, and no more than 65 fingerprints can meet at a word.
 
 Two bits find equal and almost equal texts only. ``one_of_each`` with a similarity links documents by the Jaccard
-similarity of their runs of five words instead: MinHash keys find candidates, the sets themselves decide.
+similarity of their runs of five words: fingerprints that meet under Golay keys and differ in two bits or fewer are
+candidates, MinHash keys find those further apart, and the sets themselves decide.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 
 from spindle.llm.common import row_digest, staged, text_or_empty
 from spindle.llm.graph import components
-from spindle.llm.minhash import band_keys, linked_nodes, shared_keys
+from spindle.llm.minhash import linked_nodes, set_keys, shared_keys
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -164,7 +165,9 @@ def shingle_set(text: str) -> np.ndarray:
     return np.unique(found)
 
 
-_SET_KEYS = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+_SET_KEYS = T.StructType(
+    [T.StructField("node", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("fp", T.LongType())]
+)
 
 
 @F.pandas_udf(_SET_KEYS)
@@ -173,8 +176,8 @@ def _set_keys(texts: pd.Series) -> pd.DataFrame:
     for text in texts:
         found = shingle_set(text)
         nodes.append(xxhash.xxh3_128_digest(found.tobytes()))
-        keys.append(band_keys(found, np.zeros(1, int), JACCARD_BANDS, JACCARD_ROWS)[0])
-    return pd.DataFrame({"node": nodes, "keys": keys})
+        keys.append(set_keys(found, JACCARD_BANDS, JACCARD_ROWS))
+    return pd.DataFrame({"node": nodes, "keys": keys, "fp": [fingerprint(t) for t in texts]})
 
 
 @F.pandas_udf(T.BinaryType())
@@ -195,14 +198,28 @@ def _similar_sets(similarity: float):
     return similar
 
 
-def _placed_by_sets(docs: DataFrame, similarity: float) -> DataFrame:
+def close_nodes(marked: DataFrame, full_bucket: int = FULL_BUCKET) -> DataFrame:
+    """Candidates (a, b) among the nodes of (node, fp): those whose fingerprints are linked by ``linked_pairs``.
+
+    The nodes of one fingerprint all meet its least node, and of two linked fingerprints the least nodes meet.
+    """
+    heads = staged(marked.groupBy("fp").agg(F.min("node").alias("head")))
+    equal = marked.join(heads, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    x, y = (heads.select(F.col("fp").alias(f"fp_{n}"), F.col("head").alias(n)) for n in "ab")
+    pairs = linked_pairs(heads, full_bucket).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b"))
+    return staged(equal.union(pairs.join(x, "fp_a").join(y, "fp_b").where("a <> b").select("a", "b")).distinct())
+
+
+def _placed_by_sets(docs: DataFrame, similarity: float, full_bucket: int = FULL_BUCKET) -> DataFrame:
     """(doc_id, digest, root) of each row of ``docs``; rows with equal sets are one node."""
     digest = row_digest(docs)
     marked = staged(docs.select("doc_id", digest.alias("digest"), _set_keys(text_or_empty()).alias("of")).select("doc_id", "digest", "of.*"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest", "keys")).alias("first")
     nodes = staged(marked.groupBy("node").agg(first).select("node", "first.*"))
     shared = shared_keys(nodes.select("node", F.explode("keys").alias("key")))
-    wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("id"), F.col("digest").alias("of"))
+    close = close_nodes(marked.select("node", "fp").distinct(), full_bucket)
+    met = shared.select("node").union(close.select("a")).union(close.select("b")).distinct()
+    wanted = nodes.join(met, "node", "left_semi").select("node", F.col("doc_id").alias("id"), F.col("digest").alias("of"))
     rows = docs.select("doc_id", digest.alias("digest"), text_or_empty().alias("text"))
     rows = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["id"]) & (rows["digest"] == wanted["of"]))
     sets = staged(rows.dropDuplicates(["node"]).select("node", _sets("text").alias("set")))
@@ -214,7 +231,7 @@ def _placed_by_sets(docs: DataFrame, similarity: float) -> DataFrame:
         return staged(pairs.join(x, "a").join(y, "b").where(near).where(similar("set_a", "set_b")).select("a", "b"))
 
     share = similarity / (1 + similarity)
-    roots = linked_nodes(shared, verified, sets, similarity, lambda m, n: share * (m + n))
+    roots = linked_nodes(shared, verified, sets, similarity, lambda m, n: share * (m + n), first=close)
     return marked.select("doc_id", "digest", "node").join(roots, "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("root"))
 
 
@@ -230,7 +247,7 @@ def one_of_each(docs: DataFrame, full_bucket: int = FULL_BUCKET, similarity: flo
         marked = staged(docs.select("doc_id", digest.alias("digest"), _fingerprints(text_or_empty()).alias("fp")))
         placed = _placed(marked, full_bucket)
     else:
-        placed = _placed_by_sets(docs, similarity)
+        placed = _placed_by_sets(docs, similarity, full_bucket)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("best")
     chosen = staged(placed.groupBy("root").agg(best).select("best.doc_id", "best.digest"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), digest.alias("of"))

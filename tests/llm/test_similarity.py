@@ -7,8 +7,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from spindle.llm import simhash
 from spindle.llm.graph import components
-from spindle.llm.minhash import linked_nodes
+from spindle.llm.minhash import band_keys, linked_nodes, merged, set_keys
 from tests.conftest import SF
 
 
@@ -104,3 +105,34 @@ def test_no_open_keys(spark):
     none = spark.createDataFrame([], "node long, key long, head long")
     sets = spark.createDataFrame([], "node long, set binary")
     assert linked_nodes(none, lambda pairs: pairs, sets, 0.8, lambda m, n: 0.8 * F.greatest(m, n)).count() == 0
+
+
+def test_close_copies_meet_under_golay_keys(spark, documents, monkeypatch):
+    """Op1's keys alone, without any MinHash key, link copies within two bits whose sets are similar enough."""
+    rng = random.Random(7)
+    texts = []
+    for _ in range(40):
+        base = rng.choices([f"w{i}" for i in range(4000)], k=1500)
+        texts += [" ".join(base), " ".join([*base[:700], "other", *base[701:]])]
+    texts += ["one two three", "one two three four", None, ""]
+    monkeypatch.setattr(simhash, "shared_keys", lambda keyed: keyed.limit(0).selectExpr("node", "key", "node AS head"))
+    got = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, documents(list(enumerate(texts))), SF).collect()}
+    far = {i for i in range(0, 80, 2) if bin((simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[i + 1])) & (2**64 - 1)).count("1") > 2}
+    assert len(far) < 30 and got == set(range(0, 80, 2)) | {i + 1 for i in far} | {80, 81, 82}
+
+
+def test_keys_of_one_set_are_those_of_many():
+    rng = np.random.default_rng(3)
+    for size in (1, 127, 128, 129, 1000):
+        found = np.unique(rng.integers(0, 1 << 63, size, np.uint64))
+        assert (set_keys(found, 30, 6) == band_keys(found, np.zeros(1, int), 30, 6)[0]).all()
+
+
+def test_links_are_merged_into_components(spark):
+    links = [(1, 2), (3, 4), (5, 6), (8, 9)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    roots = merged(merged(components(frame(links)), frame([(2, 3), (10, 11)])), frame([(4, 11), (1, 3)]))
+    groups = {}
+    for r in roots.collect():
+        groups.setdefault(r["root"], set()).add(r["node"])
+    assert sorted(map(sorted, groups.values())) == [[1, 2, 3, 4, 10, 11], [5, 6], [8, 9]]
