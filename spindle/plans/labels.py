@@ -335,7 +335,7 @@ vectors AS (SELECT disk_id, event_id, seen AS pending, list_transform(done[-4:],
 
 @query("wf18_pending_pages", with_views(TRACE, REPLAYED, _PENDING) + " SELECT event_id, pending FROM vectors")
 def pending_pages(spark: SparkSession, folder: str) -> DataFrame:
-    return sequence.pending_and_history(fixtures.replayed(spark, folder), ["disk_id"], "event_id").select("event_id", "pending")
+    return sequence.pending(fixtures.replayed(spark, folder), ["disk_id"], "event_id").select("event_id", "pending")
 
 
 @query("wf19_completed_reads", with_views(TRACE, REPLAYED, _PENDING) + " SELECT event_id, hist_pending, hist_latency, latency FROM vectors")

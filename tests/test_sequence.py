@@ -6,10 +6,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from spindle.operators import ordered as ordered_module
 from spindle.operators import distribution, label, sequence
 from spindle.operators.characteristic import characteristic, with_interarrival
 from spindle.operators.features import feature_set
 from spindle.operators.ordered import ordered
+from spindle.session import GROUP_ROWS_CONF
 
 
 def test_tail_state(spark, group_rows):
@@ -259,3 +261,18 @@ def test_characteristic_of_odd_windows(spark, group_rows):
     assert (got[1].iat_max, got[1].size_median, got[1].read_ratio, got[1].rw_ratio) == (0.0, 1024.0, 0.0, 0.0)
     empty = characteristic(spark.createDataFrame([], schema), ["w"])
     assert empty.count() == 0 and "write_throughput_p999" in empty.columns
+
+
+def test_no_wider_rows_than_needed_are_written(spark, monkeypatch):
+    """Columns that pending sizes are not made of stay out of the steps that are written on the way."""
+    written, write = [], ordered_module.stable
+    for module in (ordered_module, sequence):
+        monkeypatch.setattr(module, "stable", lambda df: written.append(df.columns) or write(df), raising=False)
+    spark.conf.set(GROUP_ROWS_CONF, "12")
+    try:
+        df = spark.range(60).selectExpr("id", "0 AS d", "id * 1.0D AS ts_submit", "id % 7 * 1000 AS latency", "4096 AS size", "1 AS io_type", "uuid() AS payload")
+        rows = sequence.pending_and_history(df, ["d"], "id").collect()
+    finally:
+        spark.conf.unset(GROUP_ROWS_CONF)
+    assert len(rows) > 40 and written and not any("payload" in columns for columns in written)
+    assert sum("__pos" in columns for columns in written) == 1  # rows are put into order once
