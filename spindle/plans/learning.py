@@ -22,7 +22,9 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 def training(spark: SparkSession, folder: str, per_window: int = 5) -> DataFrame:
     """Scaled features of the reads, rejected from the latency knee on; a window is ``per_window`` days."""
-    made = label.knee_label(features_of(spark, folder), ["disk_id", "chunk"]).withColumn("reject", F.col("slow"))
+    # the knee takes several passes, which read the features instead of making them anew
+    made = stable(features_of(spark, folder).select("event_id", "disk_id", "chunk", "io_type", "latency", *features.FEATURES))
+    made = label.knee_label(made, ["disk_id", "chunk"]).withColumn("reject", F.col("slow"))
     reads = features.model_columns(made, ["event_id", "chunk"])
     rows = reads.withColumnRenamed("event_id", "row_id").withColumn("window_id", F.floor(F.col("chunk") / per_window))
     return stable(ml.standardise(ml.assemble(rows)))
@@ -76,8 +78,4 @@ def forest_overlap(spark: SparkSession, folder: str) -> DataFrame:
 @query("ev21_policies")
 def policies(spark: SparkSession, folder: str) -> DataFrame:
     rows = training(spark, folder, per_window=10)
-    out = None
-    for name in policy.POLICIES:
-        part = policy.run_policy(rows, name, min_rows=50)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return policy.run_policies(rows, min_rows=50)
