@@ -53,7 +53,8 @@ def validity(spark: SparkSession, folder: str) -> DataFrame:
 )
 def restarted(spark: SparkSession, folder: str) -> DataFrame:
     """Windows of half a day that start anew after gaps; the tolerance of half an hour fits the sparse records."""
-    rows = restarted_windows(fixtures.trace(spark, folder), ["disk_id"], duration_ms("12h"), tolerance_s=1800)
+    trace = fixtures.trace(spark, folder).select("disk_id", "ts_record", "size")  # all columns given go through the shuffles
+    rows = restarted_windows(trace, ["disk_id"], duration_ms("12h"), tolerance_s=1800)
     return rows.groupBy("disk_id", "window_id").agg(
         F.count(F.lit(1)).alias("num_io"), F.min("ts_record").alias("start_ts"), F.max("ts_record").alias("end_ts"), F.sum("size").alias("bytes")
     )

@@ -3,6 +3,8 @@
 import random
 
 from spindle.operators.restarts import reached, restarted_windows
+from spindle.plans import windows
+from tests.conftest import SF
 
 SCHEMA = "k string, ts_record double, size long, g long"
 
@@ -51,3 +53,10 @@ def test_reached(spark):
     roots = spark.createDataFrame([(1, 1), (2, 5), (3, 9)], "g long, node long")
     got = sorted(tuple(r) for r in reached(edges, roots).collect())
     assert got == [(1, n) for n in range(1, 101, 3)] + [(2, 5), (3, 9)]
+
+
+def test_query_hands_on_no_column_it_does_not_need(spark, monkeypatch):
+    seen, restarted = [], windows.restarted_windows
+    monkeypatch.setattr(windows, "restarted_windows", lambda df, *rest, **more: seen.append(df.columns) or restarted(df, *rest, **more))
+    windows.restarted(spark, SF).schema
+    assert [sorted(c) for c in seen] == [["disk_id", "size", "ts_record"]]
