@@ -1,6 +1,7 @@
 """Near-duplicates of the pipeline against the Jaccard similarity of all pairs."""
 
 import random
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from spindle.llm import simhash
 from spindle.llm.graph import components
-from spindle.llm.minhash import band_keys, linked_nodes, merged, set_keys
+from spindle.llm.minhash import band_keys, linked_nodes, merged, prefix_keys, set_keys
 from tests.conftest import SF
 
 
@@ -107,6 +108,19 @@ def test_no_open_keys(spark):
     assert linked_nodes(none, lambda pairs: pairs, sets, 0.8, lambda m, n: 0.8 * F.greatest(m, n)).count() == 0
 
 
+def test_counts_of_members_are_no_objects_in_the_driver(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, i, rng.integers(0, 1 << 63, 20_000, np.uint64).tobytes()) for i in range(8)]
+    sets = spark.createDataFrame(rows, "node long, root long, set binary").localCheckpoint()
+    tracemalloc.start()
+    try:
+        prefix_keys(sets, 0.8)
+        peak = tracemalloc.get_traced_memory()[1] / 2**20
+    finally:
+        tracemalloc.stop()
+    assert peak < 24, peak  # the counts themselves have 4 MB
+
+
 def test_close_copies_meet_under_golay_keys(spark, documents, monkeypatch):
     """Op1's keys alone, without any MinHash key, link copies within two bits whose sets are similar enough."""
     rng = random.Random(7)
