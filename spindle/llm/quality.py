@@ -107,9 +107,15 @@ def labelled(stats: DataFrame, labels: DataFrame) -> DataFrame:
     nothing: each counts. Ids and labels that are null are left out; the ids of one half are never in the other."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     means = usable.groupBy("doc_id").agg(F.avg((F.col("quality") > 0).cast("double")).alias("y"))
+    return staged(_met(stats, means).select(((_remainder(F.col("doc_id")) - 1) % 2).cast("int").alias("half"), "stats", "y"))
+
+
+def _met(stats: DataFrame, means: DataFrame) -> DataFrame:
+    """``stats`` joined with ``means`` by doc_id. Both are shuffled: Spark takes the repeated means for as small as the file
+    of labels, and would gather them all on the driver to broadcast them."""
     means = means.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
     rows = stats.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
-    return staged(rows.join(means, ["doc_id", "salt"]).select(((_remainder(F.col("doc_id")) - 1) % 2).cast("int").alias("half"), "stats", "y"))
+    return rows.join(means.hint("merge"), ["doc_id", "salt"])
 
 
 @dataclass

@@ -115,3 +115,13 @@ def test_odd_rows(spark, documents):
     assert {r["score"] for r in bare} == {0.5}
     one_sided = quality.scored_documents(documents(rows), labels(spark, [(i, 1, 0) for i in range(100)])).collect()
     assert all(r["predicted"] == 1 for r in one_sided)
+
+
+def test_labels_are_not_gathered_on_the_driver(spark, documents):
+    """Few bytes of labels become ``SALTS`` times as many rows; Spark does not see that and would broadcast them."""
+    stats = quality.with_statistics(documents([(i, f"text {i}") for i in range(50)] + [(3, "again"), (None, "none")]))
+    means = labels(spark, [(i, i % 2, 0) for i in range(0, 60, 2)] + [(3, 1, 0)]).selectExpr("doc_id", "double(quality) as y")
+    met = quality._met(stats, means)
+    assert sorted(r["doc_id"] for r in met.collect()) == sorted([*range(0, 50, 2), 3, 3])
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
